@@ -73,7 +73,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
     A conversation is one text, so its turns meet in one row; nothing else does.
     """
-    role = F.regexp_replace(escape(F.col("role")), "\n", "\\\\\\\\\n")
+    role = F.regexp_replace(escape(F.col("role")), "\n", "\\\\\n")
     rows = turns.select(
         "conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), flatten_parts(F.col("parts")).alias("content"), role.alias("head"), attachments(F.col("parts")).alias("attached")).alias("t")
     )

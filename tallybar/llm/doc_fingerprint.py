@@ -48,7 +48,7 @@ def likeness(a: bytes, b: bytes) -> float:
     return 1.0 if a == b else 0.0
 
 
-def clashes(spark: SparkSession, docs: DataFrame, digests: DataFrame) -> DataFrame:
+def clashes(spark: SparkSession, docs: DataFrame, digests: DataFrame, name_of=digest) -> DataFrame:
     """Fingerprints whose documents differ in canonical bytes; digests: a column `fingerprint` for each document."""
     buckets = digests.groupBy("fingerprint").count().where("count > 1")
     slot = F.pmod(F.conv(F.substring("fingerprint", 1, 15), 16, 10).cast("long"), F.lit(MAP_BITS))
@@ -64,7 +64,7 @@ def clashes(spark: SparkSession, docs: DataFrame, digests: DataFrame) -> DataFra
             out = []
             for text in batch["text"]:
                 canon = canonical(text)
-                name = digest(canon)
+                name = name_of(canon)
                 at = int(name[:15], 16) % MAP_BITS
                 if packed is not None and packed[at >> 3] >> (7 - (at & 7)) & 1:
                     out.append((name, canon))

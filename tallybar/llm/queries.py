@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybar.llm import chat_format, decontaminate, doc_fingerprint, html_extract, license_scan, mixing
+from tallybar.llm import chat_format, decontaminate, doc_fingerprint, html_extract, license_scan, mixing, simhash
 from tallybar.llm.common import columns, read_table
 
 #: A conversation whose two turns are nothing but control strings of a template.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(spark, read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(read_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
@@ -50,6 +55,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op4_html_extract, op5_chat_format, op6_doc_fingerprint, op9_source_mixing, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_license_scan, op4_html_extract, op5_chat_format, op6_doc_fingerprint, op9_source_mixing, op10_decontaminate)}
 
 ORACLES: dict[str, str] = {}
