@@ -20,6 +20,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 10
 MAX_SET = 50_000
+#: Words of a window that the first look-up hashes.
+PREFIX = 3
 
 
 def words(text: Column) -> Column:
@@ -31,26 +33,32 @@ def _starts(size: Column, n: int) -> Column:
 
 
 def benchmark_windows(bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, n (words of the window), gram (words joined by a space) and its hash, each once."""
+    """item_id, n (words of the window), gram (words joined by a space), its hash and that of its first words, each once."""
     items = columns(bench, item_id="string", text="string").select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     n = F.least(F.size("w"), F.lit(window))
     grams = items.select("item_id", n.alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice("w", i, n))).alias("g"))
-    return grams.select("item_id", "n", F.array_join("g", " ").alias("gram"), F.xxhash64("g").alias("hash")).distinct()
+    return grams.select("item_id", "n", F.array_join("g", " ").alias("gram"), F.xxhash64("g").alias("hash"), F.xxhash64(F.slice("g", 1, PREFIX)).alias("prefix")).distinct()
 
 
-def _verified(n: int, hashes: list, grams: list) -> Column:
-    """The windows of n words whose hash is in the set and whose words are too."""
-    piece = lambda i: F.slice("w", i, n)
-    found = F.filter(_starts(F.size("w"), n), lambda i: F.xxhash64(piece(i)).isin(hashes) & F.array_join(piece(i), " ").isin(grams))
-    return F.transform(found, lambda i: F.struct(i.alias("start"), (i + n).alias("end"), F.array_join(piece(i), " ").alias("gram")))
+def _words_at(i: Column, n: int) -> list[Column]:
+    return [F.get("w", i + (k - 1)) for k in range(n)]
+
+
+def _verified(n: int, grams: list) -> Column:
+    """The windows of n words that are in the set: by a hash of the first words, by that of all, then by the words.
+
+    Words are fetched one by one; taking a slice would walk the whole array for every window.
+    """
+    text = lambda i: F.concat_ws(" ", *_words_at(i, n))
+    first = min(n, PREFIX)
+    in_set = lambda i: F.xxhash64(*_words_at(i, n)).isin(sorted({g["hash"] for g in grams})) & text(i).isin(sorted({g["gram"] for g in grams}))
+    found = F.filter(_starts(F.size("w"), n), lambda i: F.xxhash64(*_words_at(i, first)).isin(sorted({g["prefix"] for g in grams})) & in_set(i))
+    return F.transform(found, lambda i: F.struct(i.alias("start"), (i + n).alias("end"), text(i).alias("gram")))
 
 
 def _hits(sized: DataFrame, grams: list) -> DataFrame:
     """Adds hits: array of (start, end, gram) of the verified windows in order of their start."""
-    arrays = [
-        _verified(n, sorted({g["hash"] for g in grams if g["n"] == n}), sorted({g["gram"] for g in grams if g["n"] == n}))
-        for n in sorted({g["n"] for g in grams})
-    ]
+    arrays = [_verified(n, [g for g in grams if g["n"] == n]) for n in sorted({g["n"] for g in grams})]
     kind = "array<struct<start:int,end:int,gram:string>>"
     return sized.withColumn("hits", F.sort_array(F.concat(*arrays)) if arrays else F.array().cast(kind))
 
@@ -61,9 +69,9 @@ def _hits_by_join(spark: SparkSession, sized: DataFrame, grams: DataFrame) -> Da
     distinct = grams.select("n", "gram", "hash").distinct()
     lengths = [r["n"] for r in distinct.select("n").distinct().collect()]  # at most `window` values
     parts = []
-    for n in lengths:
-        exploded = base.select("row", F.explode(_starts(F.size("w"), n)).alias("start"), "w").select("row", "start", F.slice("w", F.col("start"), n).alias("g"))
-        keyed = exploded.select("row", "start", F.array_join("g", " ").alias("gram"), F.xxhash64("g").alias("hash"))
+    for n in lengths:  # a lambda is used before the next n
+        window = lambda i: F.struct(i.alias("start"), F.concat_ws(" ", *_words_at(i, n)).alias("gram"), F.xxhash64(*_words_at(i, n)).alias("hash"))
+        keyed = base.select("row", F.explode(F.transform(_starts(F.size("w"), n), window)).alias("x")).select("row", "x.*")
         met = keyed.join(distinct.where(F.col("n") == n).select("hash", "gram"), ["hash", "gram"])
         parts.append(met.select("row", F.struct("start", (F.col("start") + n).alias("end"), "gram").alias("hit")))
     if not parts:
@@ -89,7 +97,7 @@ def scan(spark: SparkSession, docs: DataFrame, bench: DataFrame, window: int = W
         (F.col(f"`{c}`") if c in docs.columns else F.lit(None)).cast(kind).alias(alias) for c, kind, alias in (("doc_id", "long", "doc_id"), ("text", "string", "t"))
     ])
     sized = rows.withColumn("w", words(F.col("t"))).drop("t")
-    few = grams.select("n", "gram", "hash").distinct().limit(max_set + 1).collect()
+    few = grams.select("n", "gram", "hash", "prefix").distinct().limit(max_set + 1).collect()
     found = _hits(sized, few) if len(few) <= max_set else _hits_by_join(spark, sized, grams)
     out = found.withColumn("n_words", F.size("w").cast("long")).withColumn("n_hit", _covered(F.col("hits"))).drop("w")
     return out, grams
