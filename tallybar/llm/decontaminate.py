@@ -92,11 +92,11 @@ def _covered(hits: Column) -> Column:
 def scan(spark: SparkSession, docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_set: int = MAX_SET, keep: tuple = ()) -> tuple[DataFrame, DataFrame]:
     """(documents with row, n_words, hits and n_hit, benchmark windows). `keep` names columns of docs to carry along."""
     grams = materialize(spark, benchmark_windows(bench, window), "decontaminate-grams")
-    names = {c: docs.schema[c].dataType for c in keep}
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), *[F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(names)], *[
-        (F.col(f"`{c}`") if c in docs.columns else F.lit(None)).cast(kind).alias(alias) for c, kind, alias in (("doc_id", "long", "doc_id"), ("text", "string", "t"))
-    ])
-    sized = rows.withColumn("w", words(F.col("t"))).drop("t")
+    held = lambda c, kind: (F.col(f"`{c}`") if c in docs.columns else F.lit(None)).cast(kind)
+    # a projection with a row number is never merged into the next one, which would split the text again for every window
+    sized = docs.select(
+        F.monotonically_increasing_id().alias("row"), *[F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)], held("doc_id", "long").alias("doc_id"), words(held("text", "string")).alias("w")
+    )
     few = grams.select("n", "gram", "hash", "prefix").distinct().limit(max_set + 1).collect()
     found = _hits(sized, few) if len(few) <= max_set else _hits_by_join(spark, sized, grams)
     out = found.withColumn("n_words", F.size("w").cast("long")).withColumn("n_hit", _covered(F.col("hits"))).drop("w")
@@ -119,4 +119,4 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, bench: DataFrame, wi
     """The clean documents with all their columns, without a shuffle for a set that travels."""
     found, _ = scan(spark, docs, bench, window, max_set, keep=tuple(docs.columns))
     kept: list[T.StructField] = docs.schema.fields
-    return found.where("n_hit = 0").select(*[F.col(f"kept_{i}").alias(f.name) for i, f in enumerate(kept)])
+    return found.where("n_hit = 0 and row >= 0").select(*[F.col(f"kept_{i}").alias(f.name) for i, f in enumerate(kept)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybar.llm import chat_format, decontaminate, doc_fingerprint, html_extract, license_scan, mixing, simhash
+from tallybar.llm import chat_format, decontaminate, doc_fingerprint, fm_dedup, html_extract, license_scan, mixing, radix_dedup, simhash
 from tallybar.llm.common import columns, read_table
 
 #: A conversation whose two turns are nothing but control strings of a template.
@@ -28,6 +28,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radix_dedup.report(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -46,6 +50,10 @@ def op6_doc_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_fingerprint.with_edited(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op7_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_dedup.report(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(spark, read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken", F.round("position", 9).alias("position"))
@@ -55,6 +63,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_license_scan, op4_html_extract, op5_chat_format, op6_doc_fingerprint, op9_source_mixing, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_license_scan, op3_radix_dedup, op4_html_extract, op5_chat_format, op6_doc_fingerprint, op7_fm_dedup, op9_source_mixing, op10_decontaminate)}
 
 ORACLES: dict[str, str] = {}
