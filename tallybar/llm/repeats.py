@@ -32,8 +32,8 @@ SEGMENT = 1 << 18
 MAP_BITS = (1 << 16, 1 << 27)
 #: A key is hot from this many occurrences, and from this share of all, so that there are fewer than 100,000 hot keys.
 HOT, HOT_SHARE = 20_000, 1e-5
-#: Contexts that a resolver works on at a time, about.
-BATCH = 4_096
+#: Contexts that a resolver works on at a time, about; documents whose contexts are merged before they are written.
+BATCH, DOCUMENTS = 2_048, 2_000
 LAST = 2**63 - 1
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -209,7 +209,7 @@ def contexts(docs: DataFrame, tokens: Tokens, bitmap: Bitmap, hot_keys: np.ndarr
                     seen[1] = min(seen[1], doc)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (whole.iloc[i : i + DOCUMENTS] for whole in batches for i in range(0, len(whole), DOCUMENTS)):
             members, known = [], {}
             for doc, thash, text in zip(batch["doc"].tolist(), batch["thash"].tolist(), batch["text"], strict=True):
                 of_text(doc, thash, text, members, known)
