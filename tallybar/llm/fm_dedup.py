@@ -14,7 +14,6 @@ after all others; rows with one doc_id are no smaller than each other; an empty
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -172,14 +171,12 @@ def kept_words(text: str | None, spans: list | None) -> tuple[bytes, int, int]:
 def report(spark: SparkSession, docs: DataFrame, window: int = WINDOW, hot: int = repeats.HOT) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every document."""
     rows = columns(docs, doc_id="long", text="string")
-    met = repeats.with_spans(rows, *covered(spark, rows, window, hot))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [kept_words(t, s) for t, s in zip(batch["text"], batch["tb_spans"], strict=True)]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"), "n_words": [n for _, n, _ in made], "n_removed": [r for _, _, r in made],
-                "kept_sha256": [hashlib.sha256(k).hexdigest() for k, _, _ in made],
-            })
+    def finish(batch: pd.DataFrame) -> pd.DataFrame:
+        made = [kept_words(t, s) for t, s in zip(batch["text"], batch["tb_spans"], strict=True)]
+        return pd.DataFrame({
+            "doc_id": batch["doc_id"].astype("Int64"), "n_words": [n for _, n, _ in made], "n_removed": [r for _, _, r in made],
+            "kept_sha256": [hashlib.sha256(k).hexdigest() for k, _, _ in made],
+        })
 
-    return met.mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return repeats.finished(rows, *covered(spark, rows, window, hot), finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")

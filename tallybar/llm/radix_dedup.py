@@ -12,7 +12,6 @@ repeated rows are copies of each other and lose all their windows; an empty tabl
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -26,6 +25,8 @@ from tallybar.llm.common import columns
 WINDOW, GRAM, SLICE = 400, 64, 16
 #: Ends of the digits, as shares of the window.
 DIGITS = (0.25, 0.6, 1.0)
+#: Windows that are ordered at a time, about.
+WINDOWS = 300_000
 
 
 def _content(raw: bytes, start: int, end: int) -> bytes:
@@ -37,45 +38,51 @@ def tokens(window: int = WINDOW) -> repeats.Tokens:
 
 
 def repeated_windows(work: list[repeats.Context], window: int) -> list[tuple[int, int, list]]:
-    """(key, ctx, [(first, last) windows that occur elsewhere]) by radix passes over all windows of the contexts."""
-    sizes = np.array([len(c.content) for c in work], np.int64)
+    """(key, ctx, [(first, last) windows that occur elsewhere]) by radix passes over all windows of the contexts.
+
+    Windows with different offsets from their anchor never are equal, so many windows are ordered offset block by block.
+    """
     m = np.array([c.m for c in work], np.int64)
-    base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    off = np.array([c.off for c in work], np.int64)
+    base = np.cumsum([0, *[len(c.content) for c in work[:-1]]])
     sums = repeats.prefix_sums(repeats._BYTE_CODES[np.frombuffer(b"".join(c.content for c in work), np.uint8)])
-    owner = np.repeat(np.arange(len(work)), m)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(m) - m, m)
-    start = base[owner] + place
-    delta = np.array([c.off for c in work], np.int64)[owner] - place
     weight = np.array([c.n for c in work], np.int64)
     _, key = np.unique(np.array([c.key for c in work], np.int64), return_inverse=True)
-    group = (key[owner].astype(np.uint64) << np.uint64(32)) | (delta + (1 << 20)).astype(np.uint64)  # the anchor's digit and its place
-    alive, low = np.arange(len(owner)), 0
+    marked = np.zeros(m.sum(), bool)
+    begin = np.cumsum(m) - m
+    least, most = int((off - m).min()) + 1, int(off.max())
+    blocks = -(-int(m.sum()) // WINDOWS)
+    width = -(-(most - least + 1) // blocks)
+    for low in range(least, most + 1, width):
+        first, last = np.maximum(0, off - (low + width - 1)), np.minimum(m - 1, off - low)
+        count = np.maximum(last - first + 1, 0)
+        owner = np.repeat(np.arange(len(work)), count)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + first[owner]
+        anchor = (key[owner].astype(np.uint64) << np.uint64(32)) | (off[owner] - place + (1 << 20)).astype(np.uint64)
+        alive = _passes(anchor, base[owner] + place, weight[owner], sums, window)
+        marked[begin[owner[alive]] + place[alive]] = True
+    out = []
+    for i in np.flatnonzero(np.add.reduceat(marked, begin)):
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], marked[begin[i] : begin[i] + m[i]].view(np.int8), [0]])))
+        out.append((work[i].key, work[i].ctx, [(int(a), int(b) - 1) for a, b in zip(edge[::2], edge[1::2], strict=True)]))
+    return out
+
+
+def _passes(group: np.ndarray, start: np.ndarray, weight: np.ndarray, sums: np.ndarray, window: int) -> np.ndarray:
+    """Which suffixes are left after all digits; group: what the first digit, the anchor, tells of each."""
+    alive, low = np.arange(len(group)), 0
     for share in (0.0, *DIGITS):
         high = int(share * window)
         if high > low:
-            digit = repeats.span_hash(sums, start[alive] + low, start[alive] + high)
-            group = repeats.mixed(group ^ digit) + group * np.uint64(3)
+            group = repeats.mixed(group ^ repeats.span_hash(sums, start[alive] + low, start[alive] + high)) + group * np.uint64(3)
             low = high
         order = np.argsort(group, kind="stable")
         ranked = group[order]
-        new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-        number = np.cumsum(new) - 1
-        together = np.bincount(number, weights=weight[owner[alive[order]]])
-        keep = order[together[number] > 1]
-        group_of = np.empty(len(order), np.int64)
-        group_of[order] = number
-        alive, group = alive[keep], group_of[keep].astype(np.uint64)
-        if not len(alive):
-            return []
-    marked = np.zeros(len(owner) + 1, bool)
-    marked[alive] = True
-    out = []
-    ends = np.cumsum(m)
-    for i in np.unique(owner[alive]):
-        own = marked[ends[i] - m[i] : ends[i]]
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
-        out.append((work[i].key, work[i].ctx, [(int(a), int(b) - 1) for a, b in zip(edge[::2], edge[1::2], strict=True)]))
-    return out
+        number = np.cumsum(np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(ranked)]) - 1
+        together = np.bincount(number, weights=weight[alive[order]])[number] if len(order) else number
+        keep = together > 1
+        alive, group = alive[order[keep]], number[keep].astype(np.uint64)
+    return alive
 
 
 def covered(spark: SparkSession, docs: DataFrame, window: int = WINDOW, hot: int = repeats.HOT) -> tuple[DataFrame, repeats.Bitmap]:
@@ -102,17 +109,15 @@ def kept_bytes(text: str | None, spans: list | None) -> tuple[bytes, int, int]:
 def report(spark: SparkSession, docs: DataFrame, window: int = WINDOW, hot: int = repeats.HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
     rows = columns(docs, doc_id="long", text="string")
-    met = repeats.with_spans(rows, *covered(spark, rows, window, hot))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [kept_bytes(t, s) for t, s in zip(batch["text"], batch["tb_spans"], strict=True)]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"), "n_bytes": [len(k) + r for k, r, _ in made], "n_removed": [r for _, r, _ in made], "n_spans": [n for _, _, n in made],
-                "kept_sha256": [hashlib.sha256(k).hexdigest() for k, _, _ in made],
-            })
+    def finish(batch: pd.DataFrame) -> pd.DataFrame:
+        made = [kept_bytes(t, s) for t, s in zip(batch["text"], batch["tb_spans"], strict=True)]
+        return pd.DataFrame({
+            "doc_id": batch["doc_id"].astype("Int64"), "n_bytes": [len(k) + r for k, r, _ in made], "n_removed": [r for _, r, _ in made], "n_spans": [n for _, _, n in made],
+            "kept_sha256": [hashlib.sha256(k).hexdigest() for k, _, _ in made],
+        })
 
-    return met.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return repeats.finished(rows, *covered(spark, rows, window, hot), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -120,7 +125,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW)
 
     A character of which a part is cut goes as a whole; null texts stay null.
     """
-    met = repeats.with_spans(docs, *covered(spark, columns(docs, doc_id="long", text="string"), window))
+    free, met = repeats.split_by_spans(docs, *covered(spark, columns(docs, doc_id="long", text="string"), window))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
@@ -130,4 +135,4 @@ def without_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW)
     done = met.withColumn("text", F.when(whole, F.col("text")).otherwise(cut("text", "tb_spans")))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+    return free.unionByName(done.select(*docs.columns))

@@ -33,7 +33,7 @@ MAP_BITS = (1 << 16, 1 << 27)
 #: A key is hot from this many occurrences, and from this share of all, so that there are fewer than 100,000 hot keys.
 HOT, HOT_SHARE = 20_000, 1e-5
 #: Contexts that a resolver works on at a time, about; documents whose contexts are merged before they are written.
-BATCH, DOCUMENTS = 2_048, 2_000
+BATCH, DOCUMENTS = 1_024, 2_000
 LAST = 2**63 - 1
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -189,42 +189,40 @@ def _slices(tokens: Tokens, a: Anchors, sums: np.ndarray, hot: np.ndarray) -> An
 def contexts(docs: DataFrame, tokens: Tokens, bitmap: Bitmap, hot_keys: np.ndarray) -> DataFrame:
     """Member rows (n = 0, no content) and, once a batch, the distinct contexts (n, smallest doc, content)."""
 
-    def of_text(doc: int, thash: int, text: str, members: list, known: dict) -> None:
-        codes, source = tokens.codes(text)
+    def of_text(codes: np.ndarray) -> Iterator[Anchors]:
+        """Anchors in the bitmap, with places counted from the start of the text."""
         for a, sums, at in anchors_of(codes, tokens.window, tokens.gram):
             held = bitmap.holds(a.key)
-            if not held.any():
-                continue
-            a = Anchors(*[x[held] for x in (a.key, a.ctx, a.first, a.last, a.place)])
-            if len(hot_keys):
-                a = _slices(tokens, a, sums, np.isin(a.key, hot_keys))
-            m = a.last - a.first + 1
-            members.append((a.key, a.ctx, np.full(len(m), doc), np.full(len(m), thash), a.first + at, m))
-            for key, ctx, first, off, size in zip(a.key.tolist(), a.ctx.tolist(), a.first.tolist(), (a.place - a.first).tolist(), m.tolist(), strict=True):
-                seen = known.get((key, ctx))
-                if seen is None:
-                    known[key, ctx] = [1, doc, off, size, tokens.content(source, at + first, at + first + size - 1 + tokens.window)]
-                else:
-                    seen[0] += 1
-                    seen[1] = min(seen[1], doc)
+            if held.any():
+                a = Anchors(*[x[held] for x in (a.key, a.ctx, a.first, a.last, a.place)])
+                a = _slices(tokens, a, sums, np.isin(a.key, hot_keys)) if len(hot_keys) else a
+                yield Anchors(a.key, a.ctx, a.first + at, a.last + at, a.place + at) if at else a
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in (whole.iloc[i : i + DOCUMENTS] for whole in batches for i in range(0, len(whole), DOCUMENTS)):
-            members, known = [], {}
-            for doc, thash, text in zip(batch["doc"].tolist(), batch["thash"].tolist(), batch["text"], strict=True):
-                of_text(doc, thash, text, members, known)
-            if not members:
+            parts, owner, sources = [], [], []
+            for text in batch["text"]:
+                codes, source = tokens.codes(text)
+                parts += [(a.key, a.ctx, a.first, a.last, a.place) for a in of_text(codes)]
+                owner += [len(sources)] * (len(parts) - len(owner))
+                sources.append(source)
+            if not parts:
                 continue
-            key, ctx, doc, thash, first, m = (np.concatenate(x) for x in zip(*members, strict=True))
-            rows = len(key)
-            pairs = np.array(list(known), np.uint64).view(np.int64).reshape(-1, 2)
-            got = list(known.values())
+            owner = np.repeat(owner, [len(p[0]) for p in parts])
+            key, ctx, first, last, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            doc = batch["doc"].to_numpy(np.int64)[owner]
+            order = np.lexsort((doc, ctx, key))  # of equal contexts the one of the smallest document comes first
+            new = np.ones(len(order), bool)
+            new[1:] = (key[order][1:] != key[order][:-1]) | (ctx[order][1:] != ctx[order][:-1])
+            n = np.diff(np.append(np.flatnonzero(new), len(order)))
+            one = order[new]
+            content = [tokens.content(sources[o], f, e) for o, f, e in zip(owner[one].tolist(), first[one].tolist(), (last[one] + tokens.window).tolist(), strict=True)]
+            rows, none = len(key), np.zeros
+            both = lambda x, y: np.concatenate([x, y])
             yield pd.DataFrame({
-                "key": np.concatenate([key.view(np.int64), pairs[:, 0]]), "ctx": np.concatenate([ctx.view(np.int64), pairs[:, 1]]),
-                "doc": np.concatenate([doc, [g[1] for g in got]]), "thash": np.concatenate([thash, np.zeros(len(got), np.int64)]),
-                "n": np.concatenate([np.zeros(rows, np.int64), [g[0] for g in got]]), "first": np.concatenate([first, np.zeros(len(got), np.int64)]),
-                "off": np.concatenate([np.zeros(rows, np.int64), [g[2] for g in got]]).astype(np.int32), "m": np.concatenate([m, [g[3] for g in got]]).astype(np.int32),
-                "content": [None] * rows + [g[4] for g in got],
+                "key": both(key, key[one]).view(np.int64), "ctx": both(ctx, ctx[one]).view(np.int64), "doc": both(doc, doc[one]),
+                "thash": both(batch["thash"].to_numpy(np.int64)[owner], none(len(one), np.int64)), "n": both(none(rows, np.int64), n), "first": both(first, none(len(one), np.int64)),
+                "off": both(none(rows, np.int32), (place - first)[one].astype(np.int32)), "m": both(none(rows, np.int32), (last - first + 1)[one].astype(np.int32)), "content": [None] * rows + content,
             })
 
     return _keyed(docs).mapInPandas(run, CONTEXT)
@@ -292,25 +290,43 @@ def covered(spark: SparkSession, docs: DataFrame, tokens: Tokens, resolve: Calla
     verdicts = resolved(rows, resolve, verdict, partitions)
     found = rows.where("n = 0").select("key", "ctx", "doc", "thash", "first").join(verdicts, ["key", "ctx"])
     each = found.select("doc", "thash", spans(F.col("runs"), F.col("doc"), F.col("first")).alias("spans")).where(F.size("spans") > 0)
-    gathered = each.groupBy("doc", "thash").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    gathered = each.groupBy("doc", "thash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     gathered = materialize(spark, gathered, "covered")
     return gathered, Bitmap(gathered.select("thash"), "thash")
 
 
-def with_spans(docs: DataFrame, gathered: DataFrame, bitmap: Bitmap) -> DataFrame:
-    """docs and a column tb_spans. Only texts that the bitmap holds are moved to meet their spans."""
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("tb_doc", F.coalesce(F.col("doc_id"), F.lit(LAST))).withColumn("tb_thash", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def split_by_spans(docs: DataFrame, gathered: DataFrame, bitmap: Bitmap) -> tuple[DataFrame, DataFrame]:
+    """(docs that have no spans, the others with tb_spans). Only texts that the bitmap holds are moved to meet theirs."""
 
     @F.pandas_udf("boolean")
     def held(thash: pd.Series) -> pd.Series:
         return pd.Series(bitmap.holds(thash.to_numpy(np.int64)))
 
-    named = docs.withColumn("tb_doc", F.coalesce(F.col("doc_id"), F.lit(LAST))).withColumn("tb_thash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    flagged = named.withColumn("tb_held", held("tb_thash"))
+    named = _named(docs)
     spans = gathered.select(F.col("doc").alias("tb_doc"), F.col("thash").alias("tb_thash"), F.col("spans").alias("tb_spans"))
-    kind = spans.schema["tb_spans"].dataType
-    free = flagged.where("not tb_held").withColumn("tb_spans", F.lit(None).cast(kind))
-    met = flagged.where("tb_held").join(spans, ["tb_doc", "tb_thash"], "left").select(*free.columns)
-    return free.unionByName(met).drop("tb_doc", "tb_thash", "tb_held")
+    met = named.where(held("tb_thash")).join(spans, ["tb_doc", "tb_thash"], "left").select(*docs.columns, "tb_spans")
+    return named.where(~held("tb_thash")).select(*docs.columns), met
+
+
+def finished(docs: DataFrame, gathered: DataFrame, bitmap: Bitmap, finish: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """`finish` of all rows of docs (doc_id, text) and their tb_spans; rows without any are done where they are read."""
+
+    def where_read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            free = batch[~bitmap.holds(batch["tb_thash"].to_numpy(np.int64))]
+            if len(free):
+                yield finish(free.reset_index(drop=True).assign(tb_spans=None))
+
+    def where_met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield finish(batch)
+
+    _, met = split_by_spans(docs, gathered, bitmap)
+    return _named(docs).drop("tb_doc").mapInPandas(where_read, schema).unionByName(met.mapInPandas(where_met, schema))
 
 
 def merged(spans: list, size: int) -> list[tuple[int, int]]:

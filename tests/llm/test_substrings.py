@@ -65,6 +65,14 @@ def test_fm_dedup_against_brute_force(spark, hot):
     assert [got[i] for i in ids] == words_by_loop(TEXTS, ids, 13)
 
 
+def test_radix_passes_by_blocks(monkeypatch):
+    raw = [b"abcabcabcabcabc", b"xabcabcabcabc", b"abcabcabd", b"abcabcabd"]
+    work = [repeats.Context(1, i, 1, i, 2, len(r) - 5, r) for i, r in enumerate(raw)]
+    whole = radix_dedup.repeated_windows(work, 6)
+    monkeypatch.setattr(radix_dedup, "WINDOWS", 3)
+    assert radix_dedup.repeated_windows(work, 6) == whole != []
+
+
 def test_segments_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(repeats, "SEGMENT", 64)
     codes, _ = repeats.byte_codes("abcdefgh" * 40)
