@@ -1,6 +1,6 @@
 """Substring dedup with one compressed FM-index per shard.
 
-A shard is an FM-index over the words of a few thousand contexts: a suffix array by prefix doubling, its Burrows-Wheeler
+A shard is an FM-index over the words (32 bits of their hash) of about a thousand contexts: a suffix array by prefix doubling, its Burrows-Wheeler
 transform, and a wavelet matrix over it whose levels are packed bits with counted blocks. The contexts' windows are
 streamed through it by backward search, all of a shard in step, and leave once their interval holds nothing but
 themselves: what a window matches beyond itself is then shorter than the threshold. Windows that stay for all words give
@@ -27,8 +27,8 @@ from tallybar.llm.common import columns
 WINDOW, GRAM, SLICE = 13, 4, 1
 
 
-def _content(words: list[bytes], start: int, end: int) -> bytes:
-    return b" ".join(words[start:end])
+def _content(words: np.ndarray, start: int, end: int) -> bytes:
+    return words[start:end].tobytes()
 
 
 def tokens(window: int = WINDOW) -> repeats.Tokens:
@@ -116,18 +116,16 @@ class FMIndex:
 
 def earliest_documents(work: list[repeats.Context], window: int) -> list[tuple[int, int, list]]:
     """(key, ctx, [(first, last, earliest document)]): runs of windows with the smallest document that has them."""
-    ids: dict[bytes, int] = {}
-    parts = []
-    for c in work:
-        parts += [ids.setdefault(w, len(ids) + 1) for w in c.content.split(b" ")]
-        parts.append(0)
-    texts = np.array(parts, np.int64)
-    ends = np.flatnonzero(texts == 0)
+    sizes = np.array([len(c.content) // 4 for c in work], np.int64)
+    vocabulary, symbols = np.unique(np.frombuffer(b"".join(c.content for c in work), np.uint32), return_inverse=True)
+    ends = np.cumsum(sizes + 1) - 1
+    texts = np.zeros(ends[-1] + 1, np.int64)
+    texts[np.delete(np.arange(len(texts)), ends)] = symbols + 1
     base = np.concatenate([[0], ends[:-1] + 1])
     m = np.array([c.m for c in work], np.int64)
     owner = np.repeat(np.arange(len(work)), m)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(m) - m, m)
-    index = FMIndex(texts, len(ids) + 1)
+    index = FMIndex(texts, len(vocabulary) + 1)
     own_doc = np.array([c.doc for c in work], np.int64)
     earliest = own_doc[owner]
     found, low, high = index.intervals(texts, base[owner] + place, window)

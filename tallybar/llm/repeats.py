@@ -5,10 +5,11 @@ equal anchors at equal places. A text is thereby cut into contexts: an anchor wi
 
 1. Keys (hashes of the anchors' k-grams) are counted over all documents, pre-aggregated by Spark.
 2. Keys that occur twice or more go into a bitmap of bounded size; all others stand for unique windows.
-3. A second pass writes, for every anchor in the bitmap, a member row (document, place) and, once in a batch for each
-   distinct context, its content with count and smallest document. Copies are thus merged before any shuffle.
-4. Contexts are dealt by key, and a resolver (a radix sort or an FM-index) decides every window of them exactly.
-5. Verdicts are joined to the members and gathered by document, and the documents concerned meet their intervals.
+3. A second pass takes, once in some documents for each distinct context in the bitmap, its content with count and
+   smallest document; copies are thus merged before the shuffle. Contexts are dealt by key, and a resolver (a radix sort
+   or an FM-index) decides every window of them exactly.
+4. A third pass gives a member row (document, place) for each anchor in the bitmap. Verdicts are joined to the members
+   and gathered by document, and the documents concerned meet their intervals.
 
 A key with very many occurrences does not gather in one task: its contexts are cut into slices of a few windows, dealt
 by the hash of what these windows have in common.
@@ -21,7 +22,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ MAP_BITS = (1 << 16, 1 << 27)
 #: A key is hot from this many occurrences, and from this share of all, so that there are fewer than 100,000 hot keys.
 HOT, HOT_SHARE = 20_000, 1e-5
 #: Contexts that a resolver works on at a time, about; documents whose contexts are merged before they are written.
-BATCH, DOCUMENTS = 1_024, 2_000
+BATCH, DOCUMENTS = 1_024, 4_000
 LAST = 2**63 - 1
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -147,7 +147,8 @@ class Tokens:
     slice: int
 
 
-CONTEXT = "key long, ctx long, doc long, thash long, n long, first long, off int, m int, content binary"
+MEMBER = "key long, ctx long, doc long, thash long, first long"
+CONTEXT = "key long, ctx long, n long, doc long, off int, m int, content binary"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -186,43 +187,52 @@ def _slices(tokens: Tokens, a: Anchors, sums: np.ndarray, hot: np.ndarray) -> An
     return Anchors(*[np.concatenate([own[cold], new]) for own, new in zip((a.key, a.ctx, a.first, a.last, a.place), cut, strict=True)])
 
 
-def contexts(docs: DataFrame, tokens: Tokens, bitmap: Bitmap, hot_keys: np.ndarray) -> DataFrame:
-    """Member rows (n = 0, no content) and, once a batch, the distinct contexts (n, smallest doc, content)."""
-
-    def of_text(codes: np.ndarray) -> Iterator[Anchors]:
-        """Anchors in the bitmap, with places counted from the start of the text."""
-        for a, sums, at in anchors_of(codes, tokens.window, tokens.gram):
-            held = bitmap.holds(a.key)
-            if held.any():
-                a = Anchors(*[x[held] for x in (a.key, a.ctx, a.first, a.last, a.place)])
-                a = _slices(tokens, a, sums, np.isin(a.key, hot_keys)) if len(hot_keys) else a
-                yield Anchors(a.key, a.ctx, a.first + at, a.last + at, a.place + at) if at else a
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in (whole.iloc[i : i + DOCUMENTS] for whole in batches for i in range(0, len(whole), DOCUMENTS)):
+def _batches(batches: Iterator[pd.DataFrame], tokens: Tokens, bitmap: Bitmap, hot_keys: np.ndarray) -> Iterator[tuple[pd.DataFrame, list, np.ndarray, Anchors]]:
+    """(documents, sources of their content, document by anchor, anchors in the bitmap), some documents at a time."""
+    for whole in batches:
+        for i in range(0, len(whole), DOCUMENTS):
+            batch = whole.iloc[i : i + DOCUMENTS]
             parts, owner, sources = [], [], []
             for text in batch["text"]:
                 codes, source = tokens.codes(text)
-                parts += [(a.key, a.ctx, a.first, a.last, a.place) for a in of_text(codes)]
-                owner += [len(sources)] * (len(parts) - len(owner))
+                for a, sums, at in anchors_of(codes, tokens.window, tokens.gram):
+                    held = bitmap.holds(a.key)
+                    if held.any():
+                        a = Anchors(*[x[held] for x in (a.key, a.ctx, a.first, a.last, a.place)])
+                        a = _slices(tokens, a, sums, np.isin(a.key, hot_keys)) if len(hot_keys) else a
+                        parts.append((a.key, a.ctx, a.first + at, a.last + at, a.place + at))
+                        owner.append(len(sources))
                 sources.append(source)
-            if not parts:
-                continue
-            owner = np.repeat(owner, [len(p[0]) for p in parts])
-            key, ctx, first, last, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if parts:
+                yield batch, sources, np.repeat(owner, [len(p[0]) for p in parts]), Anchors(*[np.concatenate(x) for x in zip(*parts, strict=True)])
+
+
+def members(docs: DataFrame, tokens: Tokens, bitmap: Bitmap, hot_keys: np.ndarray) -> DataFrame:
+    """A row for each anchor in the bitmap: its context, its document and the first window start."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch, _, owner, a in _batches(batches, tokens, bitmap, hot_keys):
+            doc, thash = (batch[c].to_numpy(np.int64)[owner] for c in ("doc", "thash"))
+            yield pd.DataFrame({"key": a.key.view(np.int64), "ctx": a.ctx.view(np.int64), "doc": doc, "thash": thash, "first": a.first})
+
+    return _keyed(docs).mapInPandas(run, MEMBER)
+
+
+def contexts(docs: DataFrame, tokens: Tokens, bitmap: Bitmap, hot_keys: np.ndarray) -> DataFrame:
+    """Once in some documents, each distinct context with its occurrences in them, smallest document and content."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch, sources, owner, a in _batches(batches, tokens, bitmap, hot_keys):
             doc = batch["doc"].to_numpy(np.int64)[owner]
-            order = np.lexsort((doc, ctx, key))  # of equal contexts the one of the smallest document comes first
+            order = np.lexsort((doc, a.ctx, a.key))  # of equal contexts the one of the smallest document comes first
             new = np.ones(len(order), bool)
-            new[1:] = (key[order][1:] != key[order][:-1]) | (ctx[order][1:] != ctx[order][:-1])
-            n = np.diff(np.append(np.flatnonzero(new), len(order)))
+            new[1:] = (a.key[order][1:] != a.key[order][:-1]) | (a.ctx[order][1:] != a.ctx[order][:-1])
             one = order[new]
-            content = [tokens.content(sources[o], f, e) for o, f, e in zip(owner[one].tolist(), first[one].tolist(), (last[one] + tokens.window).tolist(), strict=True)]
-            rows, none = len(key), np.zeros
-            both = lambda x, y: np.concatenate([x, y])
+            first, last = a.first[one], a.last[one]
             yield pd.DataFrame({
-                "key": both(key, key[one]).view(np.int64), "ctx": both(ctx, ctx[one]).view(np.int64), "doc": both(doc, doc[one]),
-                "thash": both(batch["thash"].to_numpy(np.int64)[owner], none(len(one), np.int64)), "n": both(none(rows, np.int64), n), "first": both(first, none(len(one), np.int64)),
-                "off": both(none(rows, np.int32), (place - first)[one].astype(np.int32)), "m": both(none(rows, np.int32), (last - first + 1)[one].astype(np.int32)), "content": [None] * rows + content,
+                "key": a.key[one].view(np.int64), "ctx": a.ctx[one].view(np.int64), "n": np.diff(np.append(np.flatnonzero(new), len(order))), "doc": doc[one],
+                "off": (a.place[one] - first).astype(np.int32), "m": (last - first + 1).astype(np.int32),
+                "content": [tokens.content(sources[o], f, e) for o, f, e in zip(owner[one].tolist(), first.tolist(), (last + tokens.window).tolist(), strict=True)],
             })
 
     return _keyed(docs).mapInPandas(run, CONTEXT)
@@ -272,7 +282,7 @@ def resolved(rows: DataFrame, resolve: Callable[[list[Context]], list[tuple[int,
                     seen.doc = min(seen.doc, doc)
         yield from flush()
 
-    dealt = rows.where("n > 0").select("key", "ctx", "n", "doc", "off", "m", "content").repartition(partitions, "key").sortWithinPartitions("key")
+    dealt = rows.repartition(partitions, "key").sortWithinPartitions("key")
     return dealt.mapInPandas(run, f"key long, ctx long, runs {verdict}")
 
 
@@ -285,10 +295,9 @@ def covered(spark: SparkSession, docs: DataFrame, tokens: Tokens, resolve: Calla
     bitmap = Bitmap(keys, "key")
     total = keys.agg(F.sum("n")).first()[0] or 0
     hot_keys = np.array([r["key"] for r in keys.where(F.col("n") > max(hot, HOT_SHARE * total)).select("key").collect()], np.int64).view(np.uint64)  # fewer than 1 / HOT_SHARE
-    rows = materialize(spark, contexts(docs, tokens, bitmap, hot_keys), "contexts")
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    verdicts = resolved(rows, resolve, verdict, partitions)
-    found = rows.where("n = 0").select("key", "ctx", "doc", "thash", "first").join(verdicts, ["key", "ctx"])
+    verdicts = resolved(contexts(docs, tokens, bitmap, hot_keys), resolve, verdict, partitions)
+    found = members(docs, tokens, bitmap, hot_keys).join(verdicts, ["key", "ctx"])
     each = found.select("doc", "thash", spans(F.col("runs"), F.col("doc"), F.col("first")).alias("spans")).where(F.size("spans") > 0)
     gathered = each.groupBy("doc", "thash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     gathered = materialize(spark, gathered, "covered")
@@ -341,15 +350,6 @@ def merged(spans: list, size: int) -> list[tuple[int, int]]:
 
 
 
-class _Codes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        code = self[word] = xxhash.xxh3_64_intdigest(word)
-        return code
-
-
-_CODES = _Codes()
 _BYTE_CODES = mixed(np.arange(1, 257, dtype=np.uint64) * _ODD)
 
 
@@ -358,6 +358,28 @@ def byte_codes(text: str | None) -> tuple[np.ndarray, bytes]:
     return _BYTE_CODES[np.frombuffer(raw, np.uint8)], raw
 
 
-def word_codes(text: str | None) -> tuple[np.ndarray, list[bytes]]:
-    words = (text or "").encode("utf-8", "replace").split()
-    return np.fromiter(map(_CODES.__getitem__, words), np.uint64, len(words)), words
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Bytes of a text that are cut into words at a time, about.
+PIECE = 1 << 20
+
+
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """The text in pieces that end where a word does."""
+    at = 0
+    while at < len(raw):
+        end = at + PIECE
+        while end < len(raw) and not _SPACE[raw[end]]:
+            end += 1
+        yield raw[at:end]
+        at = end
+
+
+def word_codes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit code for each word, and its lower half for contents."""
+    out = [np.empty(0, np.uint64)]
+    for raw in _pieces((text or "").encode("utf-8", "replace")):
+        octets = np.frombuffer(raw, np.uint8)
+        edge = np.flatnonzero(np.diff(_SPACE[octets], prepend=True, append=True))
+        out.append(span_hash(prefix_sums(_BYTE_CODES[octets]), edge[::2], edge[1::2]))
+    codes = np.concatenate(out)
+    return codes, codes.astype(np.uint32)
