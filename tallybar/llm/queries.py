@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybar.llm import chat_format, decontaminate, doc_fingerprint, fm_dedup, html_extract, license_scan, mixing, radix_dedup, simhash
+from tallybar.llm import chat_format, decontaminate, doc_fingerprint, fm_dedup, html_extract, license_scan, mixing, quality, radix_dedup, simhash
 from tallybar.llm.common import columns, read_table
 
 #: A conversation whose two turns are nothing but control strings of a template.
@@ -54,6 +54,12 @@ def op7_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_dedup.report(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality.train(spark, docs, read_table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model)
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(spark, read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken", F.round("position", 9).alias("position"))
@@ -63,6 +69,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_license_scan, op3_radix_dedup, op4_html_extract, op5_chat_format, op6_doc_fingerprint, op7_fm_dedup, op9_source_mixing, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_license_scan, op3_radix_dedup, op4_html_extract, op5_chat_format, op6_doc_fingerprint, op7_fm_dedup, op8_quality_classifier, op9_source_mixing, op10_decontaminate)}
 
 ORACLES: dict[str, str] = {}

@@ -1,13 +1,16 @@
 """SimHash near-dedup with vantage-point trees.
 
-Fingerprints that differ in at most three bits agree, in at least one half of 32 bits, up to one bit. So there are two
-trees of shards, one for each half, and in each of them the radius is one. A tree is built on the driver from a sample
-of bounded size: a node has a vantage point and the median distance to it. All distinct fingerprints go down the tree to
+Of fingerprints that differ in at most 2b - 1 bits one of b blocks of bits differs in one bit at most. So there are b
+trees of shards, one for each block, and in each of them the radius is one: two halves for three bits, six blocks for
+eleven. A tree is built on the driver from a sample of bounded size: a node has a vantage point and the median distance to it. All distinct fingerprints go down the tree to
 their home shard; a branch that the triangle bound excludes is pruned, and a fingerprint whose ball crosses the bound is
 a visitor of the other side as well (from outside to inside only, which meets each pair once). In a shard the pairs are
-decided exactly on all 64 bits, and only a spanning forest of the links leaves it. Shards that are too large are
+decided exactly on all bits, and only a spanning forest of the links leaves it. Shards that are too large are
 split into blocks, and every two blocks meet in a task of their own.
 
+Eleven of 64 bits is a wide net; 128 further bits (of other hashes of the same shingles) then decide whether the
+similarity of two texts is that asked for: an angle of t between shingle vectors shows as a share t / pi of the bits.
+
 Defined results: a text without words (null, empty, white space) has fingerprint zero and is linked like any other;
 fewer words than a shingle make one shingle; copies are one fingerprint from the start; a null doc_id takes part but is
 no representative unless alone; an empty table gives no rows.
@@ -36,40 +39,42 @@ _CHUNK = 65_536
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint_text(text: str | None, shingle: int = 3) -> int:
-    """The 64 majority bits of the XXH64 of all word shingles, repeats included."""
+def fingerprint_text(text: str | None, shingle: int = 3, wide: bool = False) -> np.ndarray:
+    """The majority bits of the XXH64 (and, if wide, of 128 bits of XXH3) of all word shingles, repeats included."""
+    size = 3 if wide else 1
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.zeros(size, np.uint64)
     joined = b" ".join(words)
-    hashed = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return hashed(joined, SEED)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    a, b = starts[: len(words) - shingle + 1], ends[shingle - 1 :]
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(a), _CHUNK):
-        h = np.array([hashed(joined[x:y], SEED) for x, y in zip(a[i : i + _CHUNK].tolist(), b[i : i + _CHUNK].tolist(), strict=True)], np.uint64)
-        parts = h.view(np.uint8).reshape(-1, 8)
-        for k in range(8):
-            counts[8 * k : 8 * k + 8] += np.bincount(parts[:, k], minlength=256) @ _BYTE_BITS
-    return int(np.packbits(counts * 2 > len(a), bitorder="little").view(np.uint64)[0])
-
-
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row."""
+    n = max(1, len(words) - shingle + 1)
+    a, b = starts[:n], ends[min(shingle, len(words)) - 1 :]
+    counts = np.zeros(64 * size, np.int64)
+    for i in range(0, n, _CHUNK):
+        grams = [joined[x:y] for x, y in zip(a[i : i + _CHUNK].tolist(), b[i : i + _CHUNK].tolist(), strict=True)]
+        hashed = np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)).view(np.uint8).reshape(-1, 8)
+        if wide:
+            more = np.frombuffer(b"".join([xxhash.xxh3_128_digest(g) for g in grams]), np.uint8).reshape(-1, 16)
+            hashed = np.concatenate([hashed, more], axis=1)
+        for k in range(8 * size):
+            counts[8 * k : 8 * k + 8] += np.bincount(hashed[:, k], minlength=256) @ _BYTE_BITS
+    return np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, wide: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and more (further bits, empty unless wide) of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fps = np.array([fingerprint_text(t, shingle) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fps})
+            bits = [fingerprint_text(t, shingle, wide) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": [int(b.view(np.int64)[0]) for b in bits], "more": [b[1:].tobytes() for b in bits]})
 
-    return columns(docs, doc_id="long", text="string").mapInPandas(run, "doc_id long, fp long")
+    return columns(docs, doc_id="long", text="string").mapInPandas(run, "doc_id long, fp long, more binary")
 
 
 class Tree:
-    """A vantage-point tree over 32-bit values whose leaves are shards; radius one."""
+    """A vantage-point tree over blocks of at most 32 bits whose leaves are shards; radius one."""
 
     def __init__(self, sample: np.ndarray, leaf: int, first: int = 0):
         rng = np.random.default_rng(7)
@@ -132,96 +137,119 @@ class Tree:
         return np.concatenate(shard), np.concatenate(row), np.concatenate(home)
 
 
-def half(fps: np.ndarray, k: int) -> np.ndarray:
-    return (fps.view(np.uint64) >> np.uint64(32 * k)).astype(np.uint32)
+def block(fps: np.ndarray, k: int, of: int) -> np.ndarray:
+    """The k-th of so many blocks of the fingerprints' bits."""
+    low, high = 64 * k // of, 64 * (k + 1) // of
+    return ((fps.view(np.uint64) >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)).astype(np.uint32)
 
 
-def spanning_links(points: np.ndarray, home: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
-    """(smallest point, other point) for each other point of every group of linked points.
+def spanning_links(points: np.ndarray, more: np.ndarray, home: np.ndarray, bits: int, bound: int | None) -> list[tuple[int, int]]:
+    """(least, other) places for each other point of every group of linked points, least being one of each group.
 
-    A pair counts if one of the two is at home. Points without any link drop out by blocks first; from the rest a
-    group is gathered point by point, each compared only with points that no group has yet.
+    A pair is linked if it differs in at most `bits` of points and, with a bound, in at most so many of all its bits; it
+    counts if one of the two is at home. Points without any link drop out by blocks first; from the rest a group is
+    gathered point by point, each compared only with points that no group has yet.
     """
     n = len(points)
     linked = np.zeros(n, bool)
+
+    def decided(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+        near = np.bitwise_count(points[rows][:, None] ^ points[others][None, :]) <= bits
+        near &= home[rows][:, None] | home[others][None, :]
+        if bound is not None and near.any():
+            i, j = np.nonzero(near)
+            both = np.bitwise_count(points[rows[i]] ^ points[others[j]]).astype(np.int32) + np.bitwise_count(more[rows[i]] ^ more[others[j]]).sum(1)
+            near[i, j] = both <= bound
+        return near
+
     for i in range(0, n, 256):
+        rows = np.arange(i, min(i + 256, n))
         for j in range(i, n, 8192):
-            near = np.bitwise_count(points[i : i + 256, None] ^ points[None, j : j + 8192]) <= bits
-            near &= home[i : i + 256, None] | home[None, j : j + 8192]
-            rows = np.arange(i, min(i + 256, n))
+            others = np.arange(j, min(j + 8192, n))
+            near = decided(rows, others)
             own = rows[(rows >= j) & (rows < j + 8192)]
             near[own - i, own - j] = False
-            linked[i : i + 256] |= near.any(1)
-            linked[j : j + 8192] |= near.any(0)
+            linked[rows] |= near.any(1)
+            linked[others] |= near.any(0)
     left = np.flatnonzero(linked)
     links = []
     while len(left):
-        group, todo, left = [left[0]], [left[0]], left[1:]
+        group, todo, left = [int(left[0])], [int(left[0])], left[1:]
         while todo and len(left):
-            x = todo.pop()
-            near = (np.bitwise_count(points[left] ^ points[x]) <= bits) & (home[left] | home[x])
+            near = decided(np.array([todo.pop()]), left)[0]
             if near.any():
-                new = left[near]
-                left = left[~near]
-                group += new.tolist()
-                todo += new.tolist()
-        least = points[group].view(np.int64).min()
-        links += [(int(least), p) for p in points[group].view(np.int64).tolist() if p != least]
+                new, left = left[near].tolist(), left[~near]
+                group += new
+                todo += new
+        links += [(group[0], x) for x in group[1:]]
     return links
 
 
-def links(spark: SparkSession, distinct: DataFrame, bits: int = BITS) -> DataFrame:
-    """Links (a, b) between fingerprints of a column `fp` without repeats: a spanning forest of each shard's links."""
-    if bits > 3:
-        raise ValueError("two halves with a radius of one find all pairs of up to 3 bits")
+def links(spark: SparkSession, distinct: DataFrame, bits: int = BITS, bound: int | None = None) -> DataFrame:
+    """Links (a, b) between the rows (id, fp, more) of distinct fingerprints: a spanning forest of each shard's links."""
+    of = bits // 2 + 1
     n = distinct.count()
     share = min(SAMPLE_SHARE, SAMPLE / max(n, 1))
-    drawn = distinct.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * SAMPLE)
+    drawn = distinct.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20))).select("fp").limit(2 * SAMPLE)
     sample = np.sort(np.array([r["fp"] for r in drawn.collect()], np.int64))  # bounded by 2 x SAMPLE
     leaf = max(8, int(SHARD * share))
-    trees = [Tree(half(sample, 0), leaf)]
-    trees.append(Tree(half(sample, 1), leaf, trees[0].shards))
+    trees: list[Tree] = []
+    for k in range(of):
+        trees.append(Tree(block(sample, k, of), leaf, trees[-1].shards if trees else 0))
 
-    def visits(batches: Iterator[pd.DataFrame], parts: dict | None = None) -> Iterator[pd.DataFrame]:
+    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fps = batch["fp"].to_numpy(np.int64)
             for k, tree in enumerate(trees):
-                shard, row, home = tree.route(half(fps, k))
-                yield pd.DataFrame({"shard": shard, "fp": fps[row], "home": home})
+                shard, row, home = tree.route(block(fps, k, of))
+                yield pd.DataFrame({"shard": shard, "id": batch["id"].to_numpy(np.int64)[row], "fp": fps[row], "more": batch["more"].to_numpy()[row], "home": home})
 
-    routed = materialize(spark, distinct.mapInPandas(visits, "shard int, fp long, home boolean"), "visits")
-    large = routed.groupBy("shard").count().where(F.col("count") > BLOCK)
-    blocks = {r["shard"]: -(-r["count"] // BLOCK) for r in large.collect()}  # of the tree's shards, so bounded
+    routed = distinct.select("id", "fp", "more").mapInPandas(visits, "shard int, id long, fp long, more binary, home boolean")
+    large = distinct.select("id", "fp", "more").mapInPandas(visits, routed.schema).groupBy("shard").count().where(F.col("count") > BLOCK)
+    blocks = {r["shard"]: -(-r["count"] // BLOCK) for r in large.collect()}  # of the trees' shards, so bounded
     if blocks:
         count = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]), F.col("shard")), F.lit(1))
-        numbered = routed.withColumn("n", count).withColumn("i", F.pmod(F.xxhash64("fp"), "n").cast("int"))
+        numbered = routed.withColumn("n", count).withColumn("i", F.pmod(F.xxhash64("id"), "n").cast("int"))
         pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least("i", j).alias("i"), F.greatest("i", j).alias("j")))
-        dealt = numbered.select("shard", "fp", "home", F.explode(pairs).alias("b")).select("shard", "b.i", "b.j", "fp", "home")
+        dealt = numbered.select("shard", "id", "fp", "more", "home", F.explode(pairs).alias("b")).select("shard", "b.i", "b.j", "id", "fp", "more", "home")
     else:
-        dealt = routed.select("shard", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "home")
+        dealt = routed.select("shard", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "fp", "more", "home")
 
     def decide(shard: pd.DataFrame) -> pd.DataFrame:
-        made = spanning_links(shard["fp"].to_numpy(np.int64).view(np.uint64), shard["home"].to_numpy(bool), bits)
-        return pd.DataFrame(made, columns=["a", "b"], dtype=np.int64)
+        ids = shard["id"].to_numpy(np.int64)
+        more = np.frombuffer(b"".join(shard["more"]), np.uint64).reshape(len(ids), -1)
+        made = spanning_links(shard["fp"].to_numpy(np.int64).view(np.uint64), more, shard["home"].to_numpy(bool), bits, bound)
+        return pd.DataFrame([(ids[a], ids[b]) for a, b in made], columns=["a", "b"], dtype=np.int64)
 
     return dealt.groupBy("shard", "i", "j").applyInPandas(decide, "a long, b long")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 3, bits: int = BITS) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id that links reach) of every row."""
-    found = materialize(spark, fingerprints(docs, shingle), "simhash")
-    distinct = materialize(spark, found.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    groups = connected_components(spark, links(spark, distinct.select("fp"), bits))
-    rooted = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def bits_apart(similarity: float, of: int) -> int:
+    """About how many of so many bits differ between texts whose shingle sets have this Jaccard similarity."""
+    return round(of * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 3, bits: int = BITS, similarity: float | None = None) -> DataFrame:
+    """doc_id, fp and component_id (smallest doc_id that links reach) of every row.
+
+    Without a similarity, fingerprints of 64 bits are linked if they differ in at most `bits`. With one, pairs within
+    `bits` are linked if all 192 bits say that they are so similar.
+    """
+    found = materialize(spark, fingerprints(docs, shingle, similarity is not None), "simhash")
+    distinct = found.groupBy("fp", "more").agg(F.min("doc_id").alias("least"))
+    distinct = materialize(spark, distinct.withColumn("id", F.col("fp") if similarity is None else F.xxhash64("fp", "more")), "simhash-distinct")
+    bound = None if similarity is None else bits_apart(similarity, 192)
+    groups = connected_components(spark, links(spark, distinct, bits, bound))
+    rooted = distinct.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return found.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(least, "root").select("fp", "more", "component_id")
+    return found.join(named, ["fp", "more"]).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(spark: SparkSession, docs: DataFrame, shingle: int = 3, bits: int = BITS) -> DataFrame:
+def one_of_each(spark: SparkSession, docs: DataFrame, shingle: int = 5, bits: int = 11, similarity: float | None = 0.8) -> DataFrame:
     """docs with all columns, without those whose component has a smaller doc_id.
 
     Rows with a null doc_id are kept: nothing tells which of them stands for a group.
     """
-    dropped = near_duplicates(spark, docs, shingle, bits).where("doc_id > component_id").select(F.col("doc_id").alias("tb_dropped"))
+    dropped = near_duplicates(spark, docs, shingle, bits, similarity).where("doc_id > component_id").select(F.col("doc_id").alias("tb_dropped"))
     return docs.join(dropped, F.col("doc_id") == F.col("tb_dropped"), "left_anti")

@@ -65,7 +65,7 @@ def test_trees_lose_no_link(spark, monkeypatch, shard, block):
     monkeypatch.setattr(simhash, "SAMPLE_SHARE", 0.9)
     points = planted(3, 300, 6, 6)
     signed = np.array(points, np.uint64).view(np.int64).tolist()
-    links = simhash.links(spark, spark.createDataFrame([(p,) for p in signed], "fp long"))
+    links = simhash.links(spark, spark.createDataFrame([(p, p, b"") for p in signed], "id long, fp long, more binary"))
     pairs = links.collect()
     assert len(pairs) < 30 * len(points)
     found = roots_by_loop([(r["a"], r["b"]) for r in pairs], signed)
@@ -83,7 +83,33 @@ def test_components_of_a_chain_and_of_nothing(spark):
 
 def test_one_of_each_keeps_columns_and_null_ids(spark):
     docs = table(spark, ["a b c d", "a b c d", "x y z", "a b c d"], ids=[5, 3, 4, None])
-    kept = simhash.one_of_each(spark, docs)
+    kept = simhash.one_of_each(spark, docs, 3, 3, None)
     assert kept.columns == docs.columns
     assert sorted(((r["doc_id"] or -1), r["keep"]) for r in kept.collect()) == [(-1, True), (3, True), (4, True)]
     assert simhash.near_duplicates(spark, docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bits", [5, 11])
+def test_more_blocks_lose_no_link(spark, monkeypatch, bits):
+    monkeypatch.setattr(simhash, "SHARD", 20)
+    monkeypatch.setattr(simhash, "SAMPLE_SHARE", 0.9)
+    points = planted(5, 200, 8, 9)
+    signed = np.array(points, np.uint64).view(np.int64).tolist()
+    links = simhash.links(spark, spark.createDataFrame([(p, p, b"") for p in signed], "id long, fp long, more binary"), bits)
+    pairs = [(signed[i], signed[j]) for i in range(len(points)) for j in range(i) if bin(points[i] ^ points[j]).count("1") <= bits]
+    assert roots_by_loop([tuple(r) for r in links.collect()], signed) == roots_by_loop(pairs, signed)
+
+
+def test_similar_texts_are_linked_and_others_not(spark):
+    rng = np.random.default_rng(4)
+    word = lambda k: [f"w{x}" for x in rng.integers(0, 5000, k)]
+    texts = []
+    for _ in range(40):
+        own = word(300)
+        near = [*own]
+        near[50] = near[200] = "changed"
+        half = [*own[:150], *word(150)]
+        texts += [" ".join(own), " ".join(near), " ".join(half)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark, table(spark, texts), 5, 11, 0.8).collect()}
+    assert sum(got[3 * i] == got[3 * i + 1] for i in range(40)) >= 39  # Jaccard similarity 0.93
+    assert sum(got[3 * i] != got[3 * i + 2] for i in range(40)) == 40  # 0.33
