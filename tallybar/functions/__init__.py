@@ -1 +1 @@
-
+"""Scalar parsers and numeric kernels."""
