@@ -145,10 +145,10 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.dense(panel.with_row_numbers(cells.join(ahead, "asset").select("at", "asset_idx", "asset", "px")))
 
 
-PRICES = """cells AS (SELECT l_shipdate AS at, p_brand AS asset, sum(l_extendedprice) / sum(l_quantity) AS px FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+PRICES = """cells AS (SELECT l_shipdate AS day, p_brand AS asset, sum(l_extendedprice) / sum(l_quantity) AS px FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
     brands AS (SELECT asset, CAST(row_number() OVER (ORDER BY asset) - 1 AS INTEGER) AS asset_idx FROM (SELECT DISTINCT asset FROM cells)),
-    days AS (SELECT at, CAST(row_number() OVER (ORDER BY at) - 1 AS BIGINT) AS t FROM (SELECT DISTINCT at FROM cells)),
-    prices AS (SELECT d.t, b.asset_idx, b.asset, c.px FROM days d CROSS JOIN brands b LEFT JOIN cells c ON c.at = d.at AND c.asset = b.asset)"""
+    days AS (SELECT day, CAST(row_number() OVER (ORDER BY day) - 1 AS BIGINT) AS t FROM (SELECT DISTINCT day FROM cells)),
+    prices AS (SELECT d.t, b.asset_idx, b.asset, c.px FROM days d CROSS JOIN brands b LEFT JOIN cells c ON c.day = d.day AND c.asset = b.asset)"""
 RULE = """kept AS (SELECT asset_idx FROM prices GROUP BY 1 HAVING avg(CASE WHEN px IS NULL THEN 1.0 ELSE 0.0 END) < 0.5)"""
 CLEAN = f"""{PRICES}, filled AS (SELECT t, asset_idx, asset, coalesce(last_value(px IGNORE NULLS) OVER (PARTITION BY asset_idx ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
       first_value(px IGNORE NULLS) OVER (PARTITION BY asset_idx ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS px FROM prices),
@@ -159,19 +159,19 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.clean(prices(spark, sf_dir))
 
 
-@query(f"WITH {CLEAN} SELECT t, asset_idx, asset, round(px, 6) AS px FROM clean")
+@query(f"WITH {CLEAN} SELECT t, asset_idx, asset, round(px, 8) AS px FROM clean")
 def panel_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(cleaned(spark, sf_dir))
+    return rounded(cleaned(spark, sf_dir), 8)
 
 
-@query(f"WITH {PRICES}, {RULE} SELECT t, asset_idx, asset, round(px, 6) AS px FROM prices WHERE asset_idx IN (SELECT asset_idx FROM kept)")
+@query(f"WITH {PRICES}, {RULE} SELECT t, asset_idx, asset, round(px, 8) AS px FROM prices WHERE asset_idx IN (SELECT asset_idx FROM kept)")
 def panel_null_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(panel.null_rule(prices(spark, sf_dir)).select("t", "asset_idx", "asset", "px"))
+    return rounded(panel.null_rule(prices(spark, sf_dir)).select("t", "asset_idx", "asset", "px"), 8)
 
 
-@query(f"WITH {CLEAN} SELECT t, asset_idx, asset, round(px, 6) AS px FROM clean WHERE asset_idx IN (1, 3)")
+@query(f"WITH {CLEAN} SELECT t, asset_idx, asset, round(px, 8) AS px FROM clean WHERE asset_idx IN (1, 3)")
 def panel_select_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(panel.select_columns(cleaned(spark, sf_dir), [1, 3]))
+    return rounded(panel.select_columns(cleaned(spark, sf_dir), [1, 3]), 8)
 
 
 RETURNS = """moved AS (SELECT t, asset_idx, px, lag(px) OVER (PARTITION BY asset_idx ORDER BY t) AS p0 FROM clean),
@@ -183,9 +183,9 @@ def pct_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(panel.pct_returns(cleaned(spark, sf_dir)).select("t", "asset_idx", "ret"))
 
 
-@query(f"WITH {CLEAN}, {RETURNS} SELECT t, asset_idx, round(px - p0, 6) AS diff FROM moved WHERE p0 IS NOT NULL")
+@query(f"WITH {CLEAN}, {RETURNS} SELECT t, asset_idx, round(px - p0, 8) AS diff FROM moved WHERE p0 IS NOT NULL")
 def first_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(panel.first_diff(cleaned(spark, sf_dir)).select("t", "asset_idx", "diff"))
+    return rounded(panel.first_diff(cleaned(spark, sf_dir)).select("t", "asset_idx", "diff"), 8)
 
 
 @query(f"WITH {CLEAN} SELECT t, asset_idx, round(px - avg(px) OVER (PARTITION BY asset_idx), 5) AS centred FROM clean")
@@ -241,9 +241,9 @@ def fold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.fold_table(cleaned(spark, sf_dir), TRAIN, STEP, EMBARGO)
 
 
-@query(f"WITH {CLEAN}, {FOLDS} SELECT f.fold, c.t - f.start AS rel, c.asset_idx, round(c.px, 6) AS px FROM folds f JOIN clean c ON c.t >= f.start AND c.t < f.start + {TRAIN}")
+@query(f"WITH {CLEAN}, {FOLDS} SELECT f.fold, c.t - f.start AS rel, c.asset_idx, round(c.px, 8) AS px FROM folds f JOIN clean c ON c.t >= f.start AND c.t < f.start + {TRAIN}")
 def fold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(panel.fold_rows(cleaned(spark, sf_dir), TRAIN, STEP, EMBARGO).select("fold", "rel", "asset_idx", "px"))
+    return rounded(panel.fold_rows(cleaned(spark, sf_dir), TRAIN, STEP, EMBARGO).select("fold", "rel", "asset_idx", "px"), 8)
 
 
 @query(

@@ -15,11 +15,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallybar.functions.interval import parse_interval
-from tallybar.schema import BAR
+from tallybar.schema import BAR, names
 
 #: Trades of one instrument are cut by seq into chunks of about this many, so that no instrument is one task.
 CHUNK = 1_000_000
-FIELDS = BAR.fieldNames()
+FIELDS = names(BAR)
 
 
 def ohlcv() -> list[Column]:
@@ -120,7 +120,7 @@ def _threshold_bars(trades: DataFrame, threshold: float, counted: str, by: tuple
 
     cut = trades.select(*by, "seq", "time", "price", "qty", "quote")
     dealt = cut.repartition(*by).sortWithinPartitions(*by, "seq") if by else cut.repartition(1).sortWithinPartitions("seq")
-    return dealt.mapInPandas(run, ", ".join([*keys, *[f"{f.name} {f.dataType.simpleString()}" for f in BAR]]))
+    return dealt.mapInPandas(run, ", ".join([*keys, BAR]))
 
 
 def volume_bars(trades: DataFrame, threshold: float, by: tuple[str, ...] = ()) -> DataFrame:

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BY_ASSET = W.partitionBy("asset_idx").orderBy("t")
+
+
+def by_asset():
+    return W.partitionBy("asset_idx").orderBy("t")
 
 
 def to_panel(wide: DataFrame, order_by: str = "t", exclude: tuple[str, ...] = ()) -> DataFrame:
@@ -51,8 +54,8 @@ def clean(panel: DataFrame, max_null_fraction: float | None = None) -> DataFrame
     Infinite prices stay. panel must be dense.
     """
     kept = panel if max_null_fraction is None else null_rule(panel, max_null_fraction)
-    before = F.last("px", ignorenulls=True).over(BY_ASSET.rowsBetween(W.unboundedPreceding, 0))
-    first = F.first("px", ignorenulls=True).over(BY_ASSET.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    before = F.last("px", ignorenulls=True).over(by_asset().rowsBetween(W.unboundedPreceding, 0))
+    first = F.first("px", ignorenulls=True).over(by_asset().rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     return kept.select("t", "asset_idx", "asset", F.coalesce(before, first).alias("px")).where(F.col("px").isNotNull())
 
 
@@ -61,7 +64,7 @@ def select_columns(panel: DataFrame, indices: list[int]) -> DataFrame:
 
 
 def first_diff(panel: DataFrame) -> DataFrame:
-    return panel.withColumn("diff", F.col("px") - F.lag("px").over(BY_ASSET)).where("diff is not null")
+    return panel.withColumn("diff", F.col("px") - F.lag("px").over(by_asset())).where("diff is not null")
 
 
 def demean(panel: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tallybar.functions import kernels
 from tallybar.operators import multiple, panel, select
 from tallybar.plans.summary import summarize
+from tallybar.schema import PAIR, names
 
 LOG = logging.getLogger(__name__)
 #: Sets of assets that a task tests for one packed window.
@@ -125,10 +126,7 @@ def screen(packed: DataFrame, cfg: Config) -> DataFrame:
 
 def measure(stable: DataFrame, packed: DataFrame, cfg: Config) -> DataFrame:
     """Hedge vector and spread statistics of the sets that are left; sets without a finite half-life above zero go."""
-    schema = (
-        "fold long, ativos array<string>, n_ativos int, vetor_coint array<double>, score_johansen double, p_valor double, estabilidade double, half_life double,"
-        " adf_pvalor double, hurst double, variance_ratio double, combo_id long"
-    )
+    schema = f"{PAIR}, combo_id long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -143,9 +141,9 @@ def measure(stable: DataFrame, packed: DataFrame, cfg: Config) -> DataFrame:
                 life = kernels.half_life(spread)
                 if life <= 0 or math.isinf(life):
                     continue
-                names = [r.names[i] for i in r.places]
-                out.append((r.fold, names, len(names), vector, r.score_johansen, r.p_valor, r.estabilidade, life, kernels.adf_p_value(spread), kernels.hurst(spread), kernels.variance_ratio(spread), r.combo_id))
-            yield pd.DataFrame(out, columns=[f.split(" ")[0] for f in schema.split(", ")])
+                assets = [r.names[i] for i in r.places]
+                out.append((r.fold, assets, len(assets), vector, r.score_johansen, r.p_valor, r.estabilidade, life, kernels.adf_p_value(spread), kernels.hurst(spread), kernels.variance_ratio(spread), r.combo_id))
+            yield pd.DataFrame(out, columns=names(schema))
 
     met = stable.join(packed.select("fold", "names", "flat"), "fold").repartition("fold", "combo_id", "k")
     return met.mapInPandas(run, schema).withColumn("vetor_coint", F.transform("vetor_coint", lambda v: F.round(v, 6)))

@@ -19,8 +19,6 @@ from tallybar.operators.bars import FIELDS, Fold
 from tallybar.schema import BAR
 
 STATE = "timestamp long, open double, high double, low double, close double, volume double, dollar_volume double, trade_count long, counted double"
-_BAR = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in BAR)
-
 
 def _stream(trades: DataFrame, by: str, step) -> DataFrame:
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -35,7 +33,7 @@ def _stream(trades: DataFrame, by: str, step) -> DataFrame:
             yield pd.DataFrame([(key[0], *b) for b in bars], columns=[by, *FIELDS])
 
     kind = trades.schema[by].dataType.simpleString()
-    return trades.groupBy(by).applyInPandasWithState(run, f"{by} {kind}, {_BAR}", STATE, "append", GroupStateTimeout.NoTimeout)
+    return trades.groupBy(by).applyInPandasWithState(run, f"{by} {kind}, {BAR}", STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def _threshold(trades: DataFrame, threshold: float, counted: str, by: str) -> DataFrame:
