@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tallybar.llm.common import columns
 from tallybar.llm.license_scan import words_of
 
-SAMPLE = 15_000
+SAMPLE = 10_000
 BITS = 18
 PENALTY = 1e-4
 STEPS = 250
@@ -107,7 +107,7 @@ def fit(places: list[np.ndarray], grades: np.ndarray, penalty: float = PENALTY,
     """Maximum likelihood under an L1 penalty; words that few rows have are left out by it."""
     n = len(places)
     size = np.array([len(p) for p in places])
-    flat, row = np.concatenate(places).astype(np.int32), np.repeat(np.arange(n, dtype=np.int32), size)
+    flat, row = np.concatenate(places).astype(np.int32, copy=False), np.repeat(np.arange(n, dtype=np.int32), size)
     used = np.flatnonzero(np.bincount(flat, minlength=1 << BITS))
     number = np.zeros(1 << BITS, np.int32)
     number[used] = np.arange(len(used))
@@ -164,8 +164,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     found = met.mapInPandas(run, "doc_id long, grade int, places array<int>").toPandas()
     if found["grade"].nunique() < 2:
         return None
-    found = found.iloc[np.lexsort((found["places"].map(len), found["doc_id"]))]
-    return fit([np.asarray(p, np.int64) for p in found["places"]], found["grade"].to_numpy(np.int64))
+    order = np.lexsort((found["places"].map(len), found["doc_id"]))
+    return fit([found["places"].iat[i] for i in order], found["grade"].to_numpy(np.int64)[order])
 
 
 def scored(docs: DataFrame, model: Model | None, bound: float = BOUND) -> DataFrame:
