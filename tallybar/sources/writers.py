@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame
 
 
@@ -10,8 +12,8 @@ def write_bars(bars: DataFrame, path: str, single_file: bool = False) -> int:
 
     `single_file` is for consumers that need one file; it is off because it makes one task write everything.
     """
-    inputs = {f.rstrip("/") for f in bars.inputFiles()}
-    if any(f == path or f.endswith(path.rstrip("/")) or f.startswith(path.rstrip("/") + "/") for f in inputs):
+    target = urlparse(path).path.rstrip("/")
+    if any(f"{urlparse(f).path}/".startswith(f"{target}/") for f in bars.inputFiles()):
         raise ValueError("bars are written over their own input")
     (bars.coalesce(1) if single_file else bars).write.mode("overwrite").option("compression", "zstd").parquet(path)
     return bars.sparkSession.read.parquet(path).count()

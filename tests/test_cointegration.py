@@ -15,6 +15,20 @@ from tallybar.operators import multiple, panel, select, stats
 from tallybar.plans import summary, walkforward
 
 
+def uniforms(seed):
+    """A congruential generator with values centred in [-0.5, 0.5]."""
+    while True:
+        seed = (seed * 6364136223846793005 + 1) % 2**64
+        yield (seed >> 32) / (2**32 - 1) - 0.5
+
+
+def autoregressive(seed, n, factor, scale, start=0.0):
+    draw, out = uniforms(seed), [start]
+    while len(out) < n:
+        out.append(factor * out[-1] + next(draw) * scale)
+    return np.array(out)
+
+
 def walk(seed, n, columns=1, step=1.0):
     return 100 + np.cumsum(np.random.default_rng(seed).uniform(-step, step, (n, columns)), axis=0)
 
@@ -59,7 +73,12 @@ def test_spread_kernels():
     for i in range(1, n):
         ar[i] = 0.9 * ar[i - 1] + rng.uniform(-0.05, 0.05)
     assert 2 < kernels.half_life(ar) < 20
-    assert kernels.adf_p_value(ar) < 0.10 and kernels.adf_p_value(walk(8, 500)[:, 0]) > 0.05
+    # values recomputed apart from this code
+    assert kernels.half_life(autoregressive(42, 1000, 0.9, 0.1)) == pytest.approx(8.296, abs=1e-3)
+    assert kernels.adf_p_value(autoregressive(111, 500, 0.7, 0.2)) == pytest.approx(0.000249, abs=1e-6)
+    assert kernels.adf_p_value(autoregressive(222, 500, 1.0, 0.5, 100.0)) == pytest.approx(0.8852, abs=1e-4)
+    assert kernels.hurst(autoregressive(123, 2000, 1.0, 2.0)) == pytest.approx(0.9654, abs=1e-4)
+    assert kernels.variance_ratio(autoregressive(456, 2000, 1.0, 2.0)) == pytest.approx(0.8863, abs=1e-4)
     assert 0.7 < kernels.variance_ratio(walk(9, 2000)[:, 0]) < 1.3
     assert kernels.hurst(walk(10, 2000)[:, 0]) > 0.9 and 0.4 < kernels.hurst(rng.normal(size=2000)) < 0.65
     assert (kernels.half_life([1] * 5), kernels.adf_p_value([1.0] * 19), kernels.hurst([1.0] * 19), kernels.variance_ratio([1.0] * 19)) == (math.inf, 1.0, 0.5, 1.0)
