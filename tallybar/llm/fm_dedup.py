@@ -76,7 +76,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         after = np.zeros(n, np.int64)
         after[:-step] = rank[step:] + 1
         pair = rank * (n + 1) + after
-        order = np.argsort(pair, kind="stable")
+        order = np.argsort(pair)
         sorted_pairs = pair[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], sorted_pairs[1:] != sorted_pairs[:-1]]))

@@ -76,7 +76,7 @@ def _passes(group: np.ndarray, start: np.ndarray, weight: np.ndarray, sums: np.n
         if high > low:
             group = repeats.mixed(group ^ repeats.span_hash(sums, start[alive] + low, start[alive] + high)) + group * np.uint64(3)
             low = high
-        order = np.argsort(group, kind="stable")
+        order = np.argsort(group)
         ranked = group[order]
         number = np.cumsum(np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(ranked)]) - 1
         together = np.bincount(number, weights=weight[alive[order]])[number] if len(order) else number
