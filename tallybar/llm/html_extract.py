@@ -15,6 +15,7 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -51,10 +52,14 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    """An element. article: whether it lies in an article; paragraph: the open paragraph around it, up to the next block."""
+
+    __slots__ = ("tag", "parent", "items", "article", "paragraph", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.items = tag, parent, []
+        self.article = tag in ("article", "main") or parent is not None and parent.article
+        self.paragraph = self if tag == "p" else None if tag in BLOCK or parent is None else parent.paragraph
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -74,6 +79,7 @@ def is_noise(tag: str, attributes: str, inside_article: bool) -> bool:
 def parse(page: str) -> Node:
     """The tree without comments and noise; items of a node are text and nodes in page order."""
     root = Node("html", None)
+    open_tags: Counter[str] = Counter()
     here, skip, depth, at = root, None, 0, 0  # skip: tag of the noise that is open, depth: of it within itself
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -103,40 +109,37 @@ def parse(page: str) -> Node:
                 skip = None
             continue
         if closing:
-            node = here
-            while node is not None and node.tag != tag:
-                node = node.parent
-            if node is not None and node.parent is not None and tag not in ("html", "body"):
-                here = node.parent
+            if open_tags[tag] and tag not in ("html", "body"):
+                while here.tag != tag:
+                    open_tags[here.tag] -= 1
+                    here = here.parent
+                open_tags[tag] -= 1
+                here = here.parent
             continue
         if tag in ("html", "body"):
             continue
-        if tag in BLOCK:  # a block ends an open paragraph, whatever inline elements are open in it
-            node = here
-            while node is not None and node.tag != "p" and node.tag not in BLOCK:
-                node = node.parent
-            if node is not None and node.tag == "p" and node.parent is not None:
-                here = node.parent
-        if tag in CLOSES:
+        top = here.paragraph if tag in BLOCK else None  # a block ends an open paragraph and what is open in it
+        if tag in CLOSES and any(open_tags[x] for x in CLOSES[tag][0]):
             ends, stops = CLOSES[tag]
-            node, last = here, None
+            node = here
             while node is not None and node.tag not in stops:
-                last = node if node.tag in ends else last
+                top = node if node.tag in ends else top
                 node = node.parent
-            if last is not None and last.parent is not None:
-                here = last.parent
-        if tag not in VOID:
-            inside, node = False, here
-            while node is not None and not inside:
-                inside, node = node.tag in ("article", "main"), node.parent
-            if is_noise(tag, attributes, inside):
-                if not attributes.endswith("/"):
-                    skip, depth = tag, 1
-                continue
+        if top is not None:
+            while here is not top:
+                open_tags[here.tag] -= 1
+                here = here.parent
+            open_tags[here.tag] -= 1
+            here = here.parent
+        if tag not in VOID and is_noise(tag, attributes, here.article):
+            if not attributes.endswith("/"):
+                skip, depth = tag, 1
+            continue
         child = Node(tag, here)
         here.items.append(child)
         if tag not in VOID and not attributes.endswith("/"):
             here = child
+            open_tags[tag] += 1
     return root
 
 
@@ -197,18 +200,15 @@ def select(root: Node) -> list[Node | str]:
         return [x for x in nodes_in_page_order(root) if x is best or x in peers and not inside(x, best)] if peers else [best]
     threshold = min(x.density for x in path)
 
-    def kept(top: Node, level: int) -> list[Node | str]:
-        if level == 0:
-            return [top]
-        out: list[Node | str] = []
-        for x in top.items:
-            if x is path[level - 1]:
-                out += kept(x, level - 1)
-            elif isinstance(x, str) or x.tag in HEADING or x.tag not in BLOCK or x.density >= threshold and 2 * x.link_chars <= x.chars:
-                out.append(x)
-        return out
-
-    return kept(root, len(path) - 1)
+    def stays(x: Node | str) -> bool:
+        return isinstance(x, str) or x.tag in HEADING or x.tag not in BLOCK or x.density >= threshold and 2 * x.link_chars <= x.chars
+
+    parts: deque[Node | str] = deque([best])
+    for node, parent in zip(path, path[1:], strict=False):
+        at = next(i for i, x in enumerate(parent.items) if x is node)
+        parts.extendleft(x for x in reversed(parent.items[:at]) if stays(x))
+        parts.extend(x for x in parent.items[at + 1 :] if stays(x))
+    return list(parts)
 
 
 def nodes_in_page_order(root: Node) -> list[Node]:
