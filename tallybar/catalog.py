@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tallybar.operators import bars, multiple, panel, select, stats
 from tallybar.plans import summary, walkforward
+from tallybar.session import scratch
 from tallybar.sources import readers
+from tallybar.streaming import bars as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,10 +41,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def trades(spark: SparkSession, sf_dir: str, late: bool = False) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+    return shaped(table(spark, sf_dir, "events"), late)
+
+
+def shaped(events: DataFrame, late: bool = False) -> DataFrame:
     seq = (F.col("event_id") * 7919 % 1000003) if late else F.col("event_id")
-    shaped = events.select("event_type", seq.alias("tb_seq"), "ts", "value", (F.col("user_id") % 7 + 1).cast("double").alias("qty"))
-    return readers.as_trades(shaped, "tb_seq", "ts", "value", "qty", by=("event_type",))
+    columns = events.select("event_type", seq.alias("tb_seq"), "ts", "value", (F.col("user_id") % 7 + 1).cast("double").alias("qty"))
+    return readers.as_trades(columns, "tb_seq", "ts", "value", "qty", by=("event_type",))
 
 
 TRADES = """trades AS (SELECT event_type, event_id AS seq, epoch_us(ts) // 1000 AS time, value AS price,
@@ -105,6 +110,35 @@ def dollar_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bars.dollar_bars(trades(spark, sf_dir), 5000.0, by=("event_type",)), 4)
 
 
+def _closed(sql: str, counted: str, threshold: float) -> str:
+    """The same without bars that are still open."""
+    return f"{sql} HAVING sum({counted}) >= {threshold}"
+
+
+def streamed(spark: SparkSession, sf_dir: str, make) -> DataFrame:
+    """All closed bars of the event table read as a stream, by way of a streaming sink."""
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    where = scratch(spark, "stream")
+    made = make(shaped(source))
+    made.writeStream.format("parquet").option("path", f"{where}/bars").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{where}/bars")
+
+
+@query(_closed(_fold_sql("qty", 100.0), "qty", 100.0))
+def stream_volume_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(streamed(spark, sf_dir, lambda t: streams.volume_bars(t, 100.0, "event_type")), 4)
+
+
+@query(_bar_sql(3_600_000, "event_type", digits=4) + " QUALIFY wid < max(wid) OVER (PARTITION BY event_type)")
+def stream_time_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(streamed(spark, sf_dir, lambda t: streams.time_bars(t, "1h", "event_type")), 4)
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS t, CAST(event_id AS DOUBLE) AS event_id, CAST(user_id AS DOUBLE) AS user_id, value FROM events")
+def read_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.read_series(spark, f"{sf_dir}/events.parquet")
+
+
 _THRESHOLD_SQL = """WITH {trades}, s AS (SELECT {keys}min(time) AS low, max(time) AS high, sum(qty) AS q, sum(quote) AS d FROM trades {group}),
     e AS (SELECT *, (high - low) // 100 AS each FROM s)
     SELECT {keys}CASE WHEN each >= 86400000 THEN CAST(each // 86400000 AS VARCHAR) || 'd' WHEN each >= 3600000 THEN CAST(each // 3600000 AS VARCHAR) || 'h'
@@ -337,8 +371,7 @@ def _ortho(left: str, terms: list[str], name: str) -> str:
 
 #: Trace statistic of pairs by projections: ln det is the sum of logarithms of squared lengths of Gram-Schmidt residuals.
 #: f1, f2 are the lagged steps, z1, z2, z3 the lagged levels and the ones, d1, d2 the steps.
-TRACE_PAIRS = f"""px AS (SELECT * FROM clean WHERE t < {TRAIN} AND asset_idx < 5),
-    p AS (SELECT a.asset_idx AS i, b.asset_idx AS j, a.t, a.px / 1000 AS x, b.px / 1000 AS y FROM px a JOIN px b ON a.t = b.t AND a.asset_idx < b.asset_idx),
+TRACE_PAIRS = f"""p AS (SELECT a.asset_idx AS i, b.asset_idx AS j, a.t, a.px / 1000 AS x, b.px / 1000 AS y FROM clean a JOIN clean b ON a.t = b.t AND a.asset_idx < b.asset_idx),
     l AS (SELECT i, j, t, x - lag(x) OVER o AS d1, y - lag(y) OVER o AS d2, lag(x) OVER o AS z1, lag(y) OVER o AS z2, lag(x) OVER o - lag(x, 2) OVER o AS f1, lag(y) OVER o - lag(y, 2) OVER o AS f2
       FROM p WINDOW o AS (PARTITION BY i, j ORDER BY t)),
     s0 AS (SELECT *, CAST(1.0 AS DOUBLE) AS z3 FROM l WHERE f1 IS NOT NULL),
@@ -353,20 +386,20 @@ TRACE_PAIRS = f"""px AS (SELECT * FROM clean WHERE t < {TRAIN} AND asset_idx < 5
 
 
 def _pair_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trace tests of all pairs of the first five assets over the first window."""
-    window = cleaned(spark, sf_dir).where((F.col("t") < TRAIN) & (F.col("asset_idx") < 5))
-    pairs = select.combinations(window.select("asset_idx").distinct(), 2).select(F.explode("combo").alias("asset_idx"), F.col("combo")[0].alias("i"), F.col("combo")[1].alias("j"))
-    return stats.johansen_test(window.join(pairs, "asset_idx"), ("i", "j"))
+    """Trace tests of all pairs of assets over all rows."""
+    prices_ = cleaned(spark, sf_dir)
+    pairs = select.combinations(prices_.select("asset_idx").distinct(), 2).select(F.explode("combo").alias("asset_idx"), F.col("combo")[0].alias("i"), F.col("combo")[1].alias("j"))
+    return stats.johansen_test(prices_.join(pairs, "asset_idx"), ("i", "j"))
 
 
-@query(f"WITH {CLEAN}, {TRACE_PAIRS} SELECT i, j, round(trace, 3) AS trace FROM traces")
+@query(f"WITH {CLEAN}, {TRACE_PAIRS} SELECT i, j, round(trace, 2) AS trace FROM traces")
 def johansen_trace0_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pair_tests(spark, sf_dir).select("i", "j", F.round(F.col("trace_stats")[0], 3).alias("trace"))
+    return _pair_tests(spark, sf_dir).select("i", "j", F.round(F.col("trace_stats")[0], 2).alias("trace"))
 
 
-@query(f"WITH {CLEAN}, {TRACE_PAIRS} SELECT i, j, round(trace / 15.4943, 4) AS score FROM traces")
+@query(f"WITH {CLEAN}, {TRACE_PAIRS} SELECT i, j, round(trace / 15.4943, 3) AS score FROM traces")
 def johansen_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pair_tests(spark, sf_dir).select("i", "j", F.round("score", 4).alias("score"))
+    return _pair_tests(spark, sf_dir).select("i", "j", F.round("score", 3).alias("score"))
 
 
 @query(f"""WITH {CLEAN}, {TRACE_PAIRS} SELECT i, j, round(CASE WHEN trace >= 19.9349 THEN 0.005 WHEN trace >= 15.4943 THEN 0.05 - 0.04 * (trace - 15.4943) / (19.9349 - 15.4943)
@@ -377,9 +410,8 @@ def johansen_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def johansen_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One test of three assets, with vectors and critical values."""
-    window = cleaned(spark, sf_dir).where((F.col("t") < TRAIN) & (F.col("asset_idx") < 3))
-    return stats.johansen_test(window)
+    """One test of all assets together, with vectors and critical values."""
+    return stats.johansen_test(cleaned(spark, sf_dir))
 
 
 # -- walk-forward

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -18,3 +20,8 @@ def build(app: str = "tallybar", **more: str) -> SparkSession:
     for key, value in (SETTINGS | more).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: in spark.checkpoint.dir, a local one only where that is unset."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/tallybar-checkpoint'}/{name}-{uuid.uuid4().hex}"
