@@ -114,36 +114,32 @@ class FMIndex:
         return alive[more], low[more], high[more]
 
 
-def earliest_documents(work: list[repeats.Context], window: int) -> list[tuple[int, int, list]]:
-    """(key, ctx, [(first, last, earliest document)]): runs of windows with the smallest document that has them."""
-    sizes = np.array([len(c.content) // 4 for c in work], np.int64)
-    vocabulary, symbols = np.unique(np.frombuffer(b"".join(c.content for c in work), np.uint32), return_inverse=True)
-    ends = np.cumsum(sizes + 1) - 1
+def earliest_documents(work: repeats.Contexts, window: int) -> tuple[np.ndarray, list]:
+    """(contexts, their runs of windows: first, last, smallest document that has them, ...)."""
+    vocabulary, symbols = np.unique(np.frombuffer(b"".join(work.content), np.uint32), return_inverse=True)
+    ends = np.cumsum(np.array([len(c) // 4 + 1 for c in work.content], np.int64)) - 1
     texts = np.zeros(ends[-1] + 1, np.int64)
-    texts[np.delete(np.arange(len(texts)), ends)] = symbols + 1
+    inside = np.ones(len(texts), bool)
+    inside[ends] = False
+    texts[inside] = symbols + 1
     base = np.concatenate([[0], ends[:-1] + 1])
-    m = np.array([c.m for c in work], np.int64)
-    owner = np.repeat(np.arange(len(work)), m)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(m) - m, m)
+    begin = np.cumsum(work.m) - work.m
+    owner = np.repeat(np.arange(len(work)), work.m)
+    place = np.arange(len(owner)) - begin[owner]
     index = FMIndex(texts, len(vocabulary) + 1)
-    own_doc = np.array([c.doc for c in work], np.int64)
-    earliest = own_doc[owner]
+    earliest = work.doc[owner]
     found, low, high = index.intervals(texts, base[owner] + place, window)
     if len(found):
-        document = np.append(own_doc[np.searchsorted(ends, index.order)], repeats.LAST)
+        document = np.append(work.doc[np.searchsorted(ends, index.order)], repeats.LAST)
         bounds, which = np.unique(np.stack([low, high]), axis=1, return_inverse=True)
         least = np.minimum.reduceat(document, bounds.T.ravel())[::2]
         earliest[found] = least[which.ravel()]
-    out = []
-    change = np.concatenate([[True], (owner[1:] != owner[:-1]) | (earliest[1:] != earliest[:-1])])
-    runs: list[list] = [[] for _ in work]
-    at = np.flatnonzero(change)
-    for i, j in zip(at.tolist(), [*at[1:].tolist(), len(owner)], strict=True):
-        runs[owner[i]].append((int(place[i]), int(place[j - 1]), int(earliest[i])))
-    for c, r in zip(work, runs, strict=True):
-        if c.n > 1 or any(e < c.doc for _, _, e in r):
-            out.append((c.key, c.ctx, r))
-    return out
+    at = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (earliest[1:] != earliest[:-1])]))
+    last = np.concatenate([at[1:], [len(owner)]]) - 1
+    runs = np.stack([place[at], place[last], earliest[at]], axis=1)
+    each = np.split(runs, np.searchsorted(owner[at], np.arange(1, len(work))))
+    told = np.flatnonzero((work.n > 1) | (np.minimum.reduceat(earliest, begin) < work.doc))
+    return told, [each[i].ravel() for i in told]
 
 
 def covered(spark: SparkSession, docs: DataFrame, window: int = WINDOW, hot: int = repeats.HOT) -> tuple[DataFrame, repeats.Bitmap]:
@@ -151,7 +147,7 @@ def covered(spark: SparkSession, docs: DataFrame, window: int = WINDOW, hot: int
         earlier = F.filter(runs, lambda r: r["e"] < doc)
         return F.transform(earlier, lambda r: F.struct((first + r["a"]).alias("start"), (first + r["b"] + window).alias("end")))
 
-    return repeats.covered(spark, docs, tokens(window), partial(earliest_documents, window=window), "array<struct<a:int,b:int,e:bigint>>", spans, hot)
+    return repeats.covered(spark, docs, tokens(window), partial(earliest_documents, window=window), ("a", "b", "e"), spans, hot)
 
 
 def kept_words(text: str | None, spans: list | None) -> tuple[bytes, int, int]:

@@ -37,18 +37,16 @@ def tokens(window: int = WINDOW) -> repeats.Tokens:
     return repeats.Tokens(repeats.byte_codes, _content, window, min(GRAM, window), SLICE)
 
 
-def repeated_windows(work: list[repeats.Context], window: int) -> list[tuple[int, int, list]]:
-    """(key, ctx, [(first, last) windows that occur elsewhere]) by radix passes over all windows of the contexts.
+def repeated_windows(work: repeats.Contexts, window: int) -> tuple[np.ndarray, list]:
+    """(contexts, their runs of windows that occur elsewhere: first, last, ...) by radix passes over all windows.
 
     Windows with different offsets from their anchor never are equal, so many windows are ordered offset block by block.
     """
-    m = np.array([c.m for c in work], np.int64)
-    off = np.array([c.off for c in work], np.int64)
-    base = np.cumsum([0, *[len(c.content) for c in work[:-1]]])
-    sums = repeats.prefix_sums(repeats._BYTE_CODES[np.frombuffer(b"".join(c.content for c in work), np.uint8)])
-    weight = np.array([c.n for c in work], np.int64)
-    _, key = np.unique(np.array([c.key for c in work], np.int64), return_inverse=True)
-    marked = np.zeros(m.sum(), bool)
+    m, off = work.m, work.off
+    base = np.cumsum([0, *map(len, work.content[:-1])])
+    sums = repeats.prefix_sums(repeats._BYTE_CODES[np.frombuffer(b"".join(work.content), np.uint8)])
+    _, key = np.unique(work.key, return_inverse=True)
+    marked = np.zeros(m.sum() + 1, bool)
     begin = np.cumsum(m) - m
     least, most = int((off - m).min()) + 1, int(off.max())
     blocks = -(-int(m.sum()) // WINDOWS)
@@ -59,13 +57,16 @@ def repeated_windows(work: list[repeats.Context], window: int) -> list[tuple[int
         owner = np.repeat(np.arange(len(work)), count)
         place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + first[owner]
         anchor = (key[owner].astype(np.uint64) << np.uint64(32)) | (off[owner] - place + (1 << 20)).astype(np.uint64)
-        alive = _passes(anchor, base[owner] + place, weight[owner], sums, window)
+        alive = _passes(anchor, base[owner] + place, work.n[owner], sums, window)
         marked[begin[owner[alive]] + place[alive]] = True
-    out = []
-    for i in np.flatnonzero(np.add.reduceat(marked, begin)):
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], marked[begin[i] : begin[i] + m[i]].view(np.int8), [0]])))
-        out.append((work[i].key, work[i].ctx, [(int(a), int(b) - 1) for a, b in zip(edge[::2], edge[1::2], strict=True)]))
-    return out
+    owner = np.repeat(np.arange(len(work)), m)
+    starts = np.concatenate([[True], owner[1:] != owner[:-1]])  # a run ends with its context
+    on = marked[:-1]
+    first = np.flatnonzero(on & (starts | ~np.concatenate([[False], on[:-1]])))
+    last = np.flatnonzero(on & (np.concatenate([starts[1:], [True]]) | ~marked[1:]))
+    runs = np.stack([first, last], axis=1) - begin[owner[first]][:, None]
+    told, at = np.unique(owner[first], return_index=True)
+    return told, [r.ravel() for r in np.split(runs, at[1:])]
 
 
 def _passes(group: np.ndarray, start: np.ndarray, weight: np.ndarray, sums: np.ndarray, window: int) -> np.ndarray:
@@ -89,7 +90,7 @@ def covered(spark: SparkSession, docs: DataFrame, window: int = WINDOW, hot: int
     def spans(runs: Column, doc: Column, first: Column) -> Column:
         return F.transform(runs, lambda r: F.struct((first + r["a"]).alias("start"), (first + r["b"] + window).alias("end")))
 
-    return repeats.covered(spark, docs, tokens(window), partial(repeated_windows, window=window), "array<struct<a:int,b:int>>", spans, hot)
+    return repeats.covered(spark, docs, tokens(window), partial(repeated_windows, window=window), ("a", "b"), spans, hot)
 
 
 def kept_bytes(text: str | None, spans: list | None) -> tuple[bytes, int, int]:

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybar.llm.common import materialize
@@ -239,66 +239,88 @@ def contexts(docs: DataFrame, tokens: Tokens, bitmap: Bitmap, hot_keys: np.ndarr
 
 
 @dataclass
-class Context:
-    """A distinct context: occurrences, smallest document, place of the anchor, number of windows, content."""
+class Contexts:
+    """Distinct contexts, a column each: occurrences, smallest document, place of the anchor, windows, content."""
 
-    key: int
-    ctx: int
-    n: int
-    doc: int
-    off: int
-    m: int
-    content: bytes
-
-
-def resolved(rows: DataFrame, resolve: Callable[[list[Context]], list[tuple[int, int, list]]], verdict: str, partitions: int) -> DataFrame:
-    """(key, ctx, verdict) of the contexts that `resolve` returns, given whole groups of equal keys."""
+    key: np.ndarray
+    ctx: np.ndarray
+    n: np.ndarray
+    doc: np.ndarray
+    off: np.ndarray
+    m: np.ndarray
+    content: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.key)
+
+    def part(self, at) -> Contexts:
+        return Contexts(*[x[at] for x in (self.key, self.ctx, self.n, self.doc, self.off, self.m, self.content)])
+
+    @classmethod
+    def merged(cls, rows: pd.DataFrame) -> Contexts:
+        """Rows in order of key as contexts in order of (key, ctx), equal ones merged."""
+        key, ctx = rows["key"].to_numpy(np.int64), rows["ctx"].to_numpy(np.int64)
+        order = np.lexsort((ctx, key))
+        key, ctx = key[order], ctx[order]
+        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])]))
+        first = order[new]
+        n, doc = (rows[c].to_numpy(np.int64)[order] for c in ("n", "doc"))
+        return cls(key[new], ctx[new], np.add.reduceat(n, new), np.minimum.reduceat(doc, new), rows["off"].to_numpy(np.int64)[first], rows["m"].to_numpy(np.int64)[first], rows["content"].to_numpy()[first])
+
+
+def resolved(rows: DataFrame, resolve: Callable[[Contexts], tuple[np.ndarray, list]], partitions: int) -> DataFrame:
+    """(key, ctx, runs) of the contexts for which `resolve`, given whole groups of equal keys, returns runs of numbers."""
+
+    def verdicts(work: Contexts) -> Iterator[pd.DataFrame]:
+        edge = np.flatnonzero(np.concatenate([[True], work.key[1:] != work.key[:-1]]))
+        begin = 0
+        while begin < len(edge):  # groups of about BATCH contexts together
+            end = max(int(np.searchsorted(edge, edge[begin] + BATCH, side="right")) - 1, begin + 1)
+            low, high = edge[begin], edge[end] if end < len(edge) else len(work)
+            some = work.part(slice(low, high))
+            told, runs = resolve(some)
+            if len(told):
+                yield pd.DataFrame({"key": some.key[told], "ctx": some.ctx[told], "runs": runs})
+            begin = end
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[int, int], Context] = {}
-        groups: dict[int, int] = {}
-        now = None
-
-        def flush() -> Iterator[pd.DataFrame]:
-            work = [c for c in held.values() if groups[c.key] > 1]
-            out = resolve(work) if work else []
-            held.clear()
-            groups.clear()
-            if out:
-                yield pd.DataFrame(out, columns=["key", "ctx", "runs"])
-
+        held: list[pd.DataFrame] = []  # rows of the last key, which the next batch may go on with
         for batch in batches:
-            for key, ctx, n, doc, off, m, content in zip(*[batch[c].tolist() for c in ("key", "ctx", "n", "doc", "off", "m", "content")], strict=True):
-                if key != now:
-                    if len(held) >= BATCH:
-                        yield from flush()
-                    now = key
-                groups[key] = groups.get(key, 0) + n
-                seen = held.get((key, ctx))
-                if seen is None:
-                    held[key, ctx] = Context(key, ctx, n, doc, off, m, content)
-                else:
-                    seen.n += n
-                    seen.doc = min(seen.doc, doc)
-        yield from flush()
+            if not len(batch):
+                continue
+            key = batch["key"].to_numpy(np.int64)
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut or held and held[0]["key"].iat[0] != key[0]:
+                yield from verdicts(Contexts.merged(pd.concat([*held, batch.iloc[:cut]])))
+                held = []
+            held.append(batch.iloc[cut:])
+        if held:
+            yield from verdicts(Contexts.merged(pd.concat(held)))
 
     dealt = rows.repartition(partitions, "key").sortWithinPartitions("key")
-    return dealt.mapInPandas(run, f"key long, ctx long, runs {verdict}")
+    return dealt.mapInPandas(run, "key long, ctx long, runs array<long>")
+
+
+def unflatten(runs: Column, names: tuple[str, ...]) -> Column:
+    """An array of structs from a flat array of numbers."""
+    width = len(names)
+    at = F.sequence(F.lit(0), F.floor(F.size(runs) / width).cast("int") - 1)
+    return F.transform(at, lambda i: F.struct(*[F.get(runs, i * width + k).alias(name) for k, name in enumerate(names)]))
 
 
-def covered(spark: SparkSession, docs: DataFrame, tokens: Tokens, resolve: Callable, verdict: str, spans: Callable, hot: int = HOT) -> tuple[DataFrame, Bitmap]:
+def covered(spark: SparkSession, docs: DataFrame, tokens: Tokens, resolve: Callable, names: tuple[str, ...], spans: Callable, hot: int = HOT) -> tuple[DataFrame, Bitmap]:
     """(doc, thash, spans) of the documents with covered tokens, and a bitmap of their thash.
 
-    spans: makes an array of (start, end) from the columns runs, doc, first and n_windows.
+    names: of the numbers of a run; spans: makes an array of (start, end) from runs, doc and first.
     """
     keys = materialize(spark, repeated_keys(docs, tokens), "repeated-keys")
     bitmap = Bitmap(keys, "key")
     total = keys.agg(F.sum("n")).first()[0] or 0
     hot_keys = np.array([r["key"] for r in keys.where(F.col("n") > max(hot, HOT_SHARE * total)).select("key").collect()], np.int64).view(np.uint64)  # fewer than 1 / HOT_SHARE
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    verdicts = resolved(contexts(docs, tokens, bitmap, hot_keys), resolve, verdict, partitions)
+    verdicts = resolved(contexts(docs, tokens, bitmap, hot_keys), resolve, partitions)
     found = members(docs, tokens, bitmap, hot_keys).join(verdicts, ["key", "ctx"])
-    each = found.select("doc", "thash", spans(F.col("runs"), F.col("doc"), F.col("first")).alias("spans")).where(F.size("spans") > 0)
+    each = found.select("doc", "thash", spans(unflatten(F.col("runs"), names), F.col("doc"), F.col("first")).alias("spans")).where(F.size("spans") > 0)
     gathered = each.groupBy("doc", "thash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     gathered = materialize(spark, gathered, "covered")
     return gathered, Bitmap(gathered.select("thash"), "thash")

@@ -67,10 +67,25 @@ def test_fm_dedup_against_brute_force(spark, hot):
 
 def test_radix_passes_by_blocks(monkeypatch):
     raw = [b"abcabcabcabcabc", b"xabcabcabcabc", b"abcabcabd", b"abcabcabd"]
-    work = [repeats.Context(1, i, 1, i, 2, len(r) - 5, r) for i, r in enumerate(raw)]
-    whole = radix_dedup.repeated_windows(work, 6)
+    column = lambda *x: np.array(x, np.int64)
+    work = repeats.Contexts(column(1, 1, 1, 1), column(0, 1, 2, 3), column(1, 1, 1, 1), column(0, 1, 2, 3), column(2, 2, 2, 2), column(*[len(r) - 5 for r in raw]), np.array(raw, object))
+    as_lists = lambda found: (found[0].tolist(), [r.tolist() for r in found[1]])
+    whole = as_lists(radix_dedup.repeated_windows(work, 6))
     monkeypatch.setattr(radix_dedup, "WINDOWS", 3)
-    assert radix_dedup.repeated_windows(work, 6) == whole != []
+    assert as_lists(radix_dedup.repeated_windows(work, 6)) == whole
+    assert whole[0] and all(len(r) % 2 == 0 for r in whole[1])
+
+
+@pytest.mark.parametrize("batch", [1, 3, 1000])
+def test_groups_over_many_batches(spark, monkeypatch, batch):
+    monkeypatch.setattr(repeats, "BATCH", batch)
+    texts = corpus(13, 60, vocabulary=30)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = fm_dedup.report(spark, table(spark, texts)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [tuple(r)[1:] for r in sorted(rows)] == words_by_loop(texts, range(len(texts)), 13)
 
 
 def test_segments_of_long_texts(spark, monkeypatch):
