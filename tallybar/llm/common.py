@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 UNSET_CHECKPOINT_DIR = "/tmp/tallybar-checkpoint"
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get(CHECKPOINT_KEY, None) or UNSET_CHECKPOINT_DIR
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of at most 2,000 rows in this session: several copies of a batch are alive at a time."""
+    if not 0 < int(spark.conf.get(BATCH_KEY)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
+
+
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there and survives lost executors."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

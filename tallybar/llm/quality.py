@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybar.llm.common import columns
+from tallybar.llm.common import bounded_batches, columns
 from tallybar.llm.license_scan import words_of
 
 SAMPLE = 10_000
@@ -153,6 +153,7 @@ def fit(places: list[np.ndarray], grades: np.ndarray, penalty: float = PENALTY,
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The model of a sample of labelled documents; None if they have fewer than two grades."""
+    bounded_batches(spark)
     rows = columns(labels, doc_id="long", quality="int", toxic="int").select("doc_id", grade_of(F.col("quality"), F.coalesce("toxic", F.lit(0))).alias("grade")).dropna()
     chosen = rows.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     met = columns(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows

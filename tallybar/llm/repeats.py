@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybar.llm.common import materialize
+from tallybar.llm.common import bounded_batches, materialize
 
 SEGMENT = 1 << 18
 #: Bits of a bitmap: 8 for each entry, within these bounds (16 MB at most).
@@ -187,9 +187,22 @@ def _slices(tokens: Tokens, a: Anchors, sums: np.ndarray, hot: np.ndarray) -> An
     return Anchors(*[np.concatenate([own[cold], new]) for own, new in zip((a.key, a.ctx, a.first, a.last, a.place), cut, strict=True)])
 
 
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Small batches put together."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows >= DOCUMENTS:
+            yield pd.concat(held)
+            held, rows = [], 0
+    if rows:
+        yield pd.concat(held)
+
+
 def _batches(batches: Iterator[pd.DataFrame], tokens: Tokens, bitmap: Bitmap, hot_keys: np.ndarray) -> Iterator[tuple[pd.DataFrame, list, np.ndarray, Anchors]]:
     """(documents, sources of their content, document by anchor, anchors in the bitmap), some documents at a time."""
-    for whole in batches:
+    for whole in _gathered(batches):
         for i in range(0, len(whole), DOCUMENTS):
             batch = whole.iloc[i : i + DOCUMENTS]
             parts, owner, sources = [], [], []
@@ -313,6 +326,7 @@ def covered(spark: SparkSession, docs: DataFrame, tokens: Tokens, resolve: Calla
 
     names: of the numbers of a run; spans: makes an array of (start, end) from runs, doc and first.
     """
+    bounded_batches(spark)
     keys = materialize(spark, repeated_keys(docs, tokens), "repeated-keys")
     bitmap = Bitmap(keys, "key")
     total = keys.agg(F.sum("n")).first()[0] or 0

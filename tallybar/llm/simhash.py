@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybar.llm.common import columns, materialize
+from tallybar.llm.common import bounded_batches, columns, materialize
 from tallybar.llm.components import connected_components
 
 BITS = 3
@@ -235,6 +235,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 3, bits
     Without a similarity, fingerprints of 64 bits are linked if they differ in at most `bits`. With one, pairs within
     `bits` are linked if all 192 bits say that they are so similar.
     """
+    bounded_batches(spark)
     found = materialize(spark, fingerprints(docs, shingle, similarity is not None), "simhash")
     distinct = found.groupBy("fp", "more").agg(F.min("doc_id").alias("least"))
     distinct = materialize(spark, distinct.withColumn("id", F.col("fp") if similarity is None else F.xxhash64("fp", "more")), "simhash-distinct")
