@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tallybar.llm.common import bounded_batches, materialize
 
 SEGMENT = 1 << 18
-#: Bits of a bitmap: 8 for each entry, within these bounds (16 MB at most).
+#: Bits of a bitmap: 16 or more for each entry, within these bounds (16 MB at most).
 MAP_BITS = (1 << 16, 1 << 27)
 #: A key is hot from this many occurrences, and from this share of all, so that there are fewer than 100,000 hot keys.
 HOT, HOT_SHARE = 20_000, 1e-5
@@ -123,7 +123,7 @@ class Bitmap:
 
     def __init__(self, entries: DataFrame, name: str, bounds: tuple[int, int] = MAP_BITS):
         count = entries.count()
-        self.bits = min(bounds[1], max(bounds[0], 1 << (8 * count - 1).bit_length() if count else 0))
+        self.bits = min(bounds[1], max(bounds[0], 1 << (16 * count - 1).bit_length() if count else 0))
         slot = F.pmod(F.col(name), F.lit(self.bits))
         words = entries.select(slot.alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(s % 64))")).alias("b"))
         packed = np.zeros(self.bits // 64, np.int64)
@@ -187,6 +187,10 @@ def _slices(tokens: Tokens, a: Anchors, sums: np.ndarray, hot: np.ndarray) -> An
     return Anchors(*[np.concatenate([own[cold], new]) for own, new in zip((a.key, a.ctx, a.first, a.last, a.place), cut, strict=True)])
 
 
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Small batches put together."""
     held, rows = [], 0
@@ -212,7 +216,7 @@ def _batches(batches: Iterator[pd.DataFrame], tokens: Tokens, bitmap: Bitmap, ho
                     held = bitmap.holds(a.key)
                     if held.any():
                         a = Anchors(*[x[held] for x in (a.key, a.ctx, a.first, a.last, a.place)])
-                        a = _slices(tokens, a, sums, np.isin(a.key, hot_keys)) if len(hot_keys) else a
+                        a = _slices(tokens, a, sums, _among(a.key, hot_keys)) if len(hot_keys) else a
                         parts.append((a.key, a.ctx, a.first + at, a.last + at, a.place + at))
                         owner.append(len(sources))
                 sources.append(source)
@@ -286,6 +290,11 @@ def resolved(rows: DataFrame, resolve: Callable[[Contexts], tuple[np.ndarray, li
 
     def verdicts(work: Contexts) -> Iterator[pd.DataFrame]:
         edge = np.flatnonzero(np.concatenate([[True], work.key[1:] != work.key[:-1]]))
+        twice = np.add.reduceat(work.n, edge) > 1  # a key that the bitmap held by chance has one occurrence
+        work = work.part(np.repeat(twice, np.diff(np.append(edge, len(work)))))
+        if not len(work):
+            return
+        edge = np.flatnonzero(np.concatenate([[True], work.key[1:] != work.key[:-1]]))
         begin = 0
         while begin < len(edge):  # groups of about BATCH contexts together
             end = max(int(np.searchsorted(edge, edge[begin] + BATCH, side="right")) - 1, begin + 1)
@@ -330,7 +339,7 @@ def covered(spark: SparkSession, docs: DataFrame, tokens: Tokens, resolve: Calla
     keys = materialize(spark, repeated_keys(docs, tokens), "repeated-keys")
     bitmap = Bitmap(keys, "key")
     total = keys.agg(F.sum("n")).first()[0] or 0
-    hot_keys = np.array([r["key"] for r in keys.where(F.col("n") > max(hot, HOT_SHARE * total)).select("key").collect()], np.int64).view(np.uint64)  # fewer than 1 / HOT_SHARE
+    hot_keys = np.sort(np.array([r["key"] for r in keys.where(F.col("n") > max(hot, HOT_SHARE * total)).select("key").collect()], np.int64).view(np.uint64))  # fewer than 1 / HOT_SHARE
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     verdicts = resolved(contexts(docs, tokens, bitmap, hot_keys), resolve, partitions)
     found = members(docs, tokens, bitmap, hot_keys).join(verdicts, ["key", "ctx"])
