@@ -126,9 +126,15 @@ class Bitmap:
         self.bits = min(bounds[1], max(bounds[0], 1 << (16 * count - 1).bit_length() if count else 0))
         slot = F.pmod(F.col(name), F.lit(self.bits))
         words = entries.select(slot.alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(s % 64))")).alias("b"))
-        packed = np.zeros(self.bits // 64, np.int64)
-        found = words.toPandas()  # at most bits / 64 rows
-        packed[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
+
+        def block(rows: pd.DataFrame) -> pd.DataFrame:
+            out = np.zeros(1024, np.int64)
+            out[rows["w"].to_numpy(np.int64) & 1023] = rows["b"].to_numpy(np.int64)
+            return pd.DataFrame({"at": [int(rows["w"].iat[0]) >> 10], "words": [out.tobytes()]})
+
+        packed = np.zeros(max(self.bits // 64, 1024), np.int64)
+        for row in words.groupBy(F.shiftright("w", 10)).applyInPandas(block, "at int, words binary").collect():  # blocks of 8 KB, bits / 8 bytes in all
+            packed[row["at"] << 10 : (row["at"] + 1) << 10] = np.frombuffer(row["words"], np.int64)
         self.words = packed.view(np.uint64)
 
     def holds(self, values: np.ndarray) -> np.ndarray:
