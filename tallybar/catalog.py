@@ -320,6 +320,12 @@ def variance_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     m AS (SELECT event_type, lag, avg(r / sd) AS rs FROM r WHERE sd > 1e-12 GROUP BY 1, 2)
     SELECT event_type, round(greatest(0.0, least(1.0, regr_slope(ln(rs), ln(lag)))), 5) AS hurst FROM m WHERE rs > 0 GROUP BY 1""")
 def hurst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrays = stats.series_arrays(series(spark, sf_dir), ("event_type",))
+    return rounded(arrays.select("event_type", stats.hurst_of("series").alias("hurst")), 5)
+
+
+@query(ORACLES["hurst"])
+def hurst_by_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.hurst(series(spark, sf_dir), ("event_type",)), 5)
 
 

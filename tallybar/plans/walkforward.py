@@ -153,8 +153,8 @@ def walk_forward(prices: DataFrame, cfg: Config | None = None, max_null_fraction
     """All folds of a dense panel. strict: too few rows or assets is an error, else the frames are empty."""
     cfg = cfg or Config()
     cleaned = panel.clean(prices, max_null_fraction).persist()
-    found = prices.agg((F.max("t") + 1).alias("rows")).first()["rows"] or 0
-    n_assets = cleaned.select("asset_idx").distinct().count()
+    sizes = cleaned.agg((F.max("t") + 1).alias("rows"), F.count_distinct("asset_idx").alias("assets")).first()
+    found, n_assets = sizes["rows"] or 0, sizes["assets"]
     need = cfg.janela_treino_dias + cfg.embargo_dias + cfg.passo_dias
     if strict and found < need:
         raise ValueError(f"{found} rows; one fold needs {need}")
