@@ -107,7 +107,7 @@ def fit(places: list[np.ndarray], grades: np.ndarray, penalty: float = PENALTY,
     """Maximum likelihood under an L1 penalty; words that few rows have are left out by it."""
     n = len(places)
     size = np.array([len(p) for p in places])
-    flat, row = np.concatenate(places).astype(np.int32, copy=False), np.repeat(np.arange(n, dtype=np.int32), size)
+    flat, begin = np.concatenate(places).astype(np.int32, copy=False), np.cumsum(size) - size  # every text has features
     used = np.flatnonzero(np.bincount(flat, minlength=1 << BITS))
     number = np.zeros(1 << BITS, np.int32)
     number[used] = np.arange(len(used))
@@ -121,7 +121,7 @@ def fit(places: list[np.ndarray], grades: np.ndarray, penalty: float = PENALTY,
     rate = 1.0 / (curve + RARE)  # coordinate-wise steps; halved whenever the loss rises
     wy, ry, t, scale, last = w.copy(), raw.copy(), 1.0, 0.25, np.inf
     for _ in range(steps):
-        score = np.bincount(row, weights=wy[at], minlength=n)
+        score = np.add.reduceat(wy[at], begin)
         theta = _thresholds(ry)
         upper = np.concatenate([np.full((n, 1), 40.0), score[:, None] - theta[None, :], np.full((n, 1), -40.0)], axis=1)
         f = logistic(upper)
@@ -138,7 +138,7 @@ def fit(places: list[np.ndarray], grades: np.ndarray, penalty: float = PENALTY,
         for k in range(n_grades - 1):
             d_theta[k] = (slope[i, k + 1] * ((grades == k + 1) / mass - (grades == k) / mass)).sum() / n
         d_raw = np.concatenate([[d_theta.sum()], np.exp(ry[1:]) * np.cumsum(d_theta[::-1])[::-1][1:]])
-        g = np.bincount(at, weights=d_score[row], minlength=len(used))
+        g = np.bincount(at, weights=np.repeat(d_score, size), minlength=len(used))
         step = scale * rate
         moved = wy - step * g
         new = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0)
