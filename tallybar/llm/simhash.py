@@ -8,8 +8,12 @@ a visitor of the other side as well (from outside to inside only, which meets ea
 decided exactly on all bits, and only a spanning forest of the links leaves it. Shards that are too large are
 split into blocks, and every two blocks meet in a task of their own.
 
-Eleven of 64 bits is a wide net; 128 further bits (of other hashes of the same shingles) then decide whether the
-similarity of two texts is that asked for: an angle of t between shingle vectors shows as a share t / pi of the bits.
+Where a Jaccard similarity of the shingle sets is asked for, the sets themselves decide. A net of fingerprints that holds
+all pairs of similarity 0.8 would be 19 of 64 bits wide and prune nothing, so the candidates come from MinHash: 32 bands of
+six minima, of which a pair at 0.8 shares one with a probability of 1 - 6e-5. Texts that bands connect are dealt to a task
+with their shingle sets, and there every pair is decided exactly through an index of shingles; only a spanning forest leaves
+it. Families of over a million shingles are split into blocks, and every two blocks meet in a task of their own. Shingles
+and sets are told apart by 64-bit hashes.
 
 Defined results: a text without words (null, empty, white space) has fingerprint zero and is linked like any other;
 fewer words than a shingle make one shingle; copies are one fingerprint from the start; a null doc_id takes part but is
@@ -36,41 +40,76 @@ SAMPLE, SAMPLE_SHARE = 65_536, 0.125
 #: Home fingerprints in a shard, about; points in a shard or block, at most.
 SHARD, BLOCK = 1_024, 16_384
 _CHUNK = 65_536
+#: Bands of so many minima for candidates; shingles in a task that decides pairs, about; shingles whose minima are taken at once.
+BANDS, BAND, TASK_GRAMS, _MINIMA = 32, 6, 1_000_000, 4_096
+_MASKS, _FACTORS = np.random.default_rng(11).integers(0, 2**64, (2, BANDS * BAND), np.uint64)
+_FACTORS |= np.uint64(1)
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint_text(text: str | None, shingle: int = 3, wide: bool = False) -> np.ndarray:
-    """The majority bits of the XXH64 (and, if wide, of 128 bits of XXH3) of all word shingles, repeats included."""
-    size = 3 if wide else 1
+def gram_hashes(text: str | None, shingle: int = 3) -> np.ndarray:
+    """The XXH64 of all word shingles, repeats included, in the order of the text."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return np.zeros(size, np.uint64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
     a, b = starts[:n], ends[min(shingle, len(words)) - 1 :]
-    counts = np.zeros(64 * size, np.int64)
+    hashed = np.empty(n, np.uint64)
     for i in range(0, n, _CHUNK):
-        grams = [joined[x:y] for x, y in zip(a[i : i + _CHUNK].tolist(), b[i : i + _CHUNK].tolist(), strict=True)]
-        hashed = np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)).view(np.uint8).reshape(-1, 8)
-        if wide:
-            more = np.frombuffer(b"".join([xxhash.xxh3_128_digest(g) for g in grams]), np.uint8).reshape(-1, 16)
-            hashed = np.concatenate([hashed, more], axis=1)
-        for k in range(8 * size):
-            counts[8 * k : 8 * k + 8] += np.bincount(hashed[:, k], minlength=256) @ _BYTE_BITS
-    return np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)
+        spans = zip(a[i : i + _CHUNK].tolist(), b[i : i + _CHUNK].tolist(), strict=True)
+        hashed[i : i + _CHUNK] = np.fromiter((xxhash.xxh64_intdigest(joined[x:y], SEED) for x, y in spans), np.uint64)
+    return hashed
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, wide: bool = False) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) and more (further bits, empty unless wide) of every row."""
+def majority(hashed: np.ndarray) -> int:
+    """The bits that most of the hashes have, as a signed long."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashed), _CHUNK):
+        octets = hashed[i : i + _CHUNK].view(np.uint8).reshape(-1, 8)
+        for k in range(8):
+            counts[8 * k : 8 * k + 8] += np.bincount(octets[:, k], minlength=256) @ _BYTE_BITS
+    return int(np.packbits(counts * 2 > len(hashed), bitorder="little").view(np.int64)[0])
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and id (the same) of every row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bits = [majority(gram_hashes(t, shingle)) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": bits, "id": bits})
+
+    return columns(docs, doc_id="long", text="string").mapInPandas(run, "doc_id long, fp long, id long")
+
+
+def band_keys(grams: np.ndarray) -> np.ndarray:
+    """A key for each band of minima of a set of shingle hashes; none of an empty set."""
+    if not len(grams):
+        return np.zeros(0, np.int64)
+    least = np.full(len(_MASKS), np.iinfo(np.uint64).max)
+    for i in range(0, len(grams), _MINIMA):
+        np.minimum(least, ((grams[i : i + _MINIMA, None] ^ _MASKS) * _FACTORS).min(0), out=least)
+    return np.array([xxhash.xxh64_intdigest(least[BAND * k : BAND * (k + 1)].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, fp, id (a hash of the shingle set), size, grams (the set's sorted hashes) and bands of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            bits = [fingerprint_text(t, shingle, wide) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": [int(b.view(np.int64)[0]) for b in bits], "more": [b[1:].tobytes() for b in bits]})
+            out = []
+            for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
+                hashed = gram_hashes(text, shingle)
+                grams = np.unique(hashed)
+                own = np.array([xxhash.xxh3_64_intdigest(grams.tobytes())], np.uint64).view(np.int64)
+                out.append((doc_id, majority(hashed), int(own[0]), len(grams), grams.tobytes(), band_keys(grams)))
+            made = pd.DataFrame(out, columns=["doc_id", "fp", "id", "size", "grams", "bands"])
+            yield made.astype({"doc_id": "Int64"})
 
-    return columns(docs, doc_id="long", text="string").mapInPandas(run, "doc_id long, fp long, more binary")
+    return columns(docs, doc_id="long", text="string").mapInPandas(run, "doc_id long, fp long, id long, size long, grams binary, bands array<long>")
 
 
 class Tree:
@@ -143,11 +182,10 @@ def block(fps: np.ndarray, k: int, of: int) -> np.ndarray:
     return ((fps.view(np.uint64) >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)).astype(np.uint32)
 
 
-def spanning_links(points: np.ndarray, more: np.ndarray, home: np.ndarray, bits: int, bound: int | None) -> list[tuple[int, int]]:
+def spanning_links(points: np.ndarray, home: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """(least, other) places for each other point of every group of linked points, least being one of each group.
 
-    A pair is linked if it differs in at most `bits` of points and, with a bound, in at most so many of all its bits; it
-    counts if one of the two is at home. Points without any link drop out by blocks first; from the rest a group is
+    A pair is linked if it differs in at most `bits` of points; it counts if one of the two is at home. Points without any link drop out by blocks first; from the rest a group is
     gathered point by point, each compared only with points that no group has yet.
     """
     n = len(points)
@@ -155,12 +193,7 @@ def spanning_links(points: np.ndarray, more: np.ndarray, home: np.ndarray, bits:
 
     def decided(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
         near = np.bitwise_count(points[rows][:, None] ^ points[others][None, :]) <= bits
-        near &= home[rows][:, None] | home[others][None, :]
-        if bound is not None and near.any():
-            i, j = np.nonzero(near)
-            both = np.bitwise_count(points[rows[i]] ^ points[others[j]]).astype(np.int32) + np.bitwise_count(more[rows[i]] ^ more[others[j]]).sum(1)
-            near[i, j] = both <= bound
-        return near
+        return near & (home[rows][:, None] | home[others][None, :])
 
     for i in range(0, n, 256):
         rows = np.arange(i, min(i + 256, n))
@@ -185,8 +218,8 @@ def spanning_links(points: np.ndarray, more: np.ndarray, home: np.ndarray, bits:
     return links
 
 
-def links(spark: SparkSession, distinct: DataFrame, bits: int = BITS, bound: int | None = None) -> DataFrame:
-    """Links (a, b) between the rows (id, fp, more) of distinct fingerprints: a spanning forest of each shard's links."""
+def links(spark: SparkSession, distinct: DataFrame, bits: int = BITS) -> DataFrame:
+    """Links (a, b) between the rows (id, fp) of distinct fingerprints: a spanning forest of each shard's links."""
     of = bits // 2 + 1
     n = distinct.count()
     share = min(SAMPLE_SHARE, SAMPLE / max(n, 1))
@@ -202,49 +235,101 @@ def links(spark: SparkSession, distinct: DataFrame, bits: int = BITS, bound: int
             fps = batch["fp"].to_numpy(np.int64)
             for k, tree in enumerate(trees):
                 shard, row, home = tree.route(block(fps, k, of))
-                yield pd.DataFrame({"shard": shard, "id": batch["id"].to_numpy(np.int64)[row], "fp": fps[row], "more": batch["more"].to_numpy()[row], "home": home})
+                yield pd.DataFrame({"shard": shard, "id": batch["id"].to_numpy(np.int64)[row], "fp": fps[row], "home": home})
 
-    routed = distinct.select("id", "fp", "more").mapInPandas(visits, "shard int, id long, fp long, more binary, home boolean")
-    large = distinct.select("id", "fp", "more").mapInPandas(visits, routed.schema).groupBy("shard").count().where(F.col("count") > BLOCK)
+    routed = distinct.select("id", "fp").mapInPandas(visits, "shard int, id long, fp long, home boolean")
+    large = distinct.select("id", "fp").mapInPandas(visits, routed.schema).groupBy("shard").count().where(F.col("count") > BLOCK)
     blocks = {r["shard"]: -(-r["count"] // BLOCK) for r in large.collect()}  # of the trees' shards, so bounded
     if blocks:
         count = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]), F.col("shard")), F.lit(1))
         numbered = routed.withColumn("n", count).withColumn("i", F.pmod(F.xxhash64("id"), "n").cast("int"))
         pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least("i", j).alias("i"), F.greatest("i", j).alias("j")))
-        dealt = numbered.select("shard", "id", "fp", "more", "home", F.explode(pairs).alias("b")).select("shard", "b.i", "b.j", "id", "fp", "more", "home")
+        dealt = numbered.select("shard", "id", "fp", "home", F.explode(pairs).alias("b")).select("shard", "b.i", "b.j", "id", "fp", "home")
     else:
-        dealt = routed.select("shard", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "fp", "more", "home")
+        dealt = routed.select("shard", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "fp", "home")
 
     def decide(shard: pd.DataFrame) -> pd.DataFrame:
         ids = shard["id"].to_numpy(np.int64)
-        more = np.frombuffer(b"".join(shard["more"]), np.uint64).reshape(len(ids), -1)
-        made = spanning_links(shard["fp"].to_numpy(np.int64).view(np.uint64), more, shard["home"].to_numpy(bool), bits, bound)
+        made = spanning_links(shard["fp"].to_numpy(np.int64).view(np.uint64), shard["home"].to_numpy(bool), bits)
         return pd.DataFrame([(ids[a], ids[b]) for a, b in made], columns=["a", "b"], dtype=np.int64)
 
     return dealt.groupBy("shard", "i", "j").applyInPandas(decide, "a long, b long")
 
 
-def bits_apart(similarity: float, of: int) -> int:
-    """About how many of so many bits differ between texts whose shingle sets have this Jaccard similarity."""
-    return round(of * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def similar_links(grams: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """(least, other) places for each other set of every group of sets whose Jaccard similarity links them.
+
+    Each set is compared, through an index from shingles to sets, with all sets that no group has yet.
+    """
+    n, sizes = len(grams), np.array([len(g) for g in grams])
+    every, owner = np.concatenate(grams), np.repeat(np.arange(n), sizes)
+    order = np.argsort(every, kind="stable")
+    keys, first, counts = np.unique(every[order], return_index=True, return_counts=True)
+    owner, free, links = owner[order], np.ones(n, bool), []
+
+    def near(at: int) -> np.ndarray:
+        found = np.searchsorted(keys, grams[at])
+        c = counts[found]
+        places = np.repeat(first[found] - np.cumsum(c) + c, c) + np.arange(c.sum())
+        others = owner[places]
+        shared = np.bincount(others[free[others]], minlength=n)
+        some = np.flatnonzero(shared)
+        return some[shared[some] / (sizes[at] + sizes[some] - shared[some]) >= similarity]
+
+    for i in range(n):
+        if free[i]:
+            free[i], todo = False, [i]
+            while todo:
+                new = near(todo.pop())
+                free[new] = False
+                links += [(i, int(x)) for x in new]
+                todo += new.tolist()
+    return links
+
+
+def similar(spark: SparkSession, found: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between ids of found: a spanning forest, in each task, of the pairs of sets that are so similar."""
+    sets = found.where("size > 0").groupBy("id").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
+    keyed = materialize(spark, sets.select("id", "size", F.explode("bands").alias("band")), "bands")
+    shared = keyed.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least != most")
+    families = connected_components(spark, keyed.join(shared.select("band", "least"), "band").select("least", "id"))
+    sized = families.join(found.groupBy("id").agg(F.first("size").alias("size")), families["node"] == F.col("id")).select("id", "root", "size")
+    sized = materialize(spark, sized, "families")
+    grams = sized.groupBy("root").agg(F.sum("size").alias("grams"))
+    tasks = 1 + (sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // TASK_GRAMS)
+    n = F.ceil(F.col("grams") / TASK_GRAMS).cast("int")
+    # a family of one task's size at most goes with others of its kind, as pairs of different families aren't similar anyway
+    dealt = sized.join(grams, "root").select("id", n.alias("n"), F.when(n > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(tasks))).alias("task"))
+    dealt = dealt.withColumn("i", F.pmod(F.xxhash64("id"), "n").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least("i", j).alias("i"), F.greatest("i", j).alias("j")))
+    dealt = dealt.select("id", "n", "task", F.explode(pairs).alias("b")).select("id", (F.col("n") > 1).alias("large"), "task", "b.i", "b.j")
+    met = dealt.join(found.groupBy("id").agg(F.first("grams").alias("grams")), "id")
+
+    def decide(task: pd.DataFrame) -> pd.DataFrame:
+        ids = task["id"].to_numpy(np.int64)
+        made = similar_links([np.frombuffer(g, np.uint64) for g in task["grams"]], similarity)
+        return pd.DataFrame([(ids[a], ids[b]) for a, b in made], columns=["a", "b"], dtype=np.int64)
+
+    return met.groupBy("large", "task", "i", "j").applyInPandas(decide, "a long, b long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 3, bits: int = BITS, similarity: float | None = None) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id that links reach) of every row.
 
-    Without a similarity, fingerprints of 64 bits are linked if they differ in at most `bits`. With one, pairs within
-    `bits` are linked if all 192 bits say that they are so similar.
+    Without a similarity, fingerprints of 64 bits are linked if they differ in at most `bits`. With one, texts are linked
+    if their shingle sets have this Jaccard similarity at least, whatever their fingerprints.
     """
     bounded_batches(spark)
-    found = materialize(spark, fingerprints(docs, shingle, similarity is not None), "simhash")
-    distinct = found.groupBy("fp", "more").agg(F.min("doc_id").alias("least"))
-    distinct = materialize(spark, distinct.withColumn("id", F.col("fp") if similarity is None else F.xxhash64("fp", "more")), "simhash-distinct")
-    bound = None if similarity is None else bits_apart(similarity, 192)
-    groups = connected_components(spark, links(spark, distinct, bits, bound))
+    if similarity is None:
+        found = materialize(spark, fingerprints(docs, shingle), "simhash")
+    else:
+        found = materialize(spark, shingle_sets(docs, shingle), "shingles")
+    distinct = materialize(spark, found.groupBy("id").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")), "simhash-distinct")
+    groups = connected_components(spark, links(spark, distinct, bits) if similarity is None else similar(spark, found, similarity))
     rooted = distinct.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "more", "component_id")
-    return found.join(named, ["fp", "more"]).select("doc_id", "fp", "component_id")
+    named = rooted.join(least, "root").select("id", "component_id")
+    return found.select("id", "doc_id", "fp").join(named, "id").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, shingle: int = 5, bits: int = 11, similarity: float | None = 0.8) -> DataFrame:

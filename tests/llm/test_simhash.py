@@ -113,3 +113,31 @@ def test_similar_texts_are_linked_and_others_not(spark):
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark, table(spark, texts), 5, 11, 0.8).collect()}
     assert sum(got[3 * i] == got[3 * i + 1] for i in range(40)) >= 39  # Jaccard similarity 0.93
     assert sum(got[3 * i] != got[3 * i + 2] for i in range(40)) == 40  # 0.33
+
+
+def test_similarity_is_that_of_the_shingle_sets(spark):
+    rng = np.random.default_rng(9)
+    texts = []
+    for _ in range(60):
+        own = [f"w{x}" for x in rng.integers(0, 100_000, 300)]
+        for edits in (0, 5, 6, 7, 8):  # an edit takes five of 296 shingles: similarities to the first of 0.84 to 0.76
+            copy = [*own]
+            for at in rng.choice(300, edits, replace=False):
+                copy[at] = f"e{rng.integers(10**9)}"
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(texts)) for j in range(i)}
+    families = roots_by_loop([p for p, s in alike.items() if s >= 0.8], range(len(texts)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark, table(spark, texts), 5, 11, 0.8).collect()}
+    for low, high in ((0.80, 0.85), (0.75, 0.80)):
+        assert sum(low <= s < high for s in alike.values()) >= 3
+    assert got == families
+
+
+def test_large_families_are_split_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TASK_GRAMS", 900)
+    texts = [*ODD, *corpus(11, 90)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (re.findall("[^\x20\x09-\x0d]+", (t or "").lower()) for t in texts)]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark, table(spark, texts), 5, 11, 0.8).collect()}
+    assert got == roots_by_loop(pairs, range(len(texts)))
