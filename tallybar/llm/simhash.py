@@ -17,7 +17,7 @@ and sets are told apart by 64-bit hashes.
 
 Defined results: a text without words (null, empty, white space) has fingerprint zero and is linked like any other;
 fewer words than a shingle make one shingle; copies are one fingerprint from the start; a null doc_id takes part but is
-no representative unless alone; an empty table gives no rows.
+no representative unless all are null; repeated rows are rows of their own, of which one stands for the group; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -75,14 +75,14 @@ def majority(hashed: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) and id (the same) of every row."""
+    """tb_row, doc_id, fp (the 64 bits as a signed long) and id (the same) of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             bits = [majority(gram_hashes(t, shingle)) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": bits, "id": bits})
+            yield pd.DataFrame({"tb_row": batch["tb_row"].astype("Int64"), "doc_id": batch["doc_id"].astype("Int64"), "fp": bits, "id": bits})
 
-    return columns(docs, doc_id="long", text="string").mapInPandas(run, "doc_id long, fp long, id long")
+    return columns(docs, tb_row="long", doc_id="long", text="string").mapInPandas(run, "tb_row long, doc_id long, fp long, id long")
 
 
 def band_keys(grams: np.ndarray) -> np.ndarray:
@@ -96,20 +96,20 @@ def band_keys(grams: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, fp, id (a hash of the shingle set), size, grams (the set's sorted hashes) and bands of every row."""
+    """tb_row, doc_id, fp, id (a hash of the shingle set), size, grams (the set's sorted hashes) and bands of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
+            for text in batch["text"]:
                 hashed = gram_hashes(text, shingle)
                 grams = np.unique(hashed)
                 own = np.array([xxhash.xxh3_64_intdigest(grams.tobytes())], np.uint64).view(np.int64)
-                out.append((doc_id, majority(hashed), int(own[0]), len(grams), grams.tobytes(), band_keys(grams)))
-            made = pd.DataFrame(out, columns=["doc_id", "fp", "id", "size", "grams", "bands"])
-            yield made.astype({"doc_id": "Int64"})
+                out.append((majority(hashed), int(own[0]), len(grams), grams.tobytes(), band_keys(grams)))
+            keys = pd.DataFrame({"tb_row": batch["tb_row"].astype("Int64"), "doc_id": batch["doc_id"].astype("Int64")})
+            yield keys.join(pd.DataFrame(out, columns=["fp", "id", "size", "grams", "bands"], index=batch.index))
 
-    return columns(docs, doc_id="long", text="string").mapInPandas(run, "doc_id long, fp long, id long, size long, grams binary, bands array<long>")
+    return columns(docs, tb_row="long", doc_id="long", text="string").mapInPandas(run, "tb_row long, doc_id long, fp long, id long, size long, grams binary, bands array<long>")
 
 
 class Tree:
@@ -313,29 +313,42 @@ def similar(spark: SparkSession, found: DataFrame, similarity: float) -> DataFra
     return met.groupBy("large", "task", "i", "j").applyInPandas(decide, "a long, b long")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 3, bits: int = BITS, similarity: float | None = None) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id that links reach) of every row.
+def grouped(spark: SparkSession, docs: DataFrame, shingle: int, bits: int, similarity: float | None) -> DataFrame:
+    """tb_row (null if docs have none), doc_id, fp and first of every row.
 
-    Without a similarity, fingerprints of 64 bits are linked if they differ in at most `bits`. With one, texts are linked
-    if their shingle sets have this Jaccard similarity at least, whatever their fingerprints.
+    first is the (no_id, doc_id, tb_row) of the row that stands for its component: the smallest doc_id, then the smallest
+    tb_row; rows without a doc_id come last.
     """
     bounded_batches(spark)
     if similarity is None:
         found = materialize(spark, fingerprints(docs, shingle), "simhash")
     else:
         found = materialize(spark, shingle_sets(docs, shingle), "shingles")
-    distinct = materialize(spark, found.groupBy("id").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")), "simhash-distinct")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tb_row")
+    distinct = materialize(spark, found.groupBy("id").agg(F.first("fp").alias("fp"), F.min(own).alias("least")), "simhash-distinct")
     groups = connected_components(spark, links(spark, distinct, bits) if similarity is None else similar(spark, found, similarity))
     rooted = distinct.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("id", "component_id")
-    return found.select("id", "doc_id", "fp").join(named, "id").select("doc_id", "fp", "component_id")
+    least = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    named = rooted.join(least, "root").select("id", "first")
+    return found.select("id", "tb_row", "doc_id", "fp").join(named, "id").select("tb_row", "doc_id", "fp", "first")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 3, bits: int = BITS, similarity: float | None = None) -> DataFrame:
+    """doc_id, fp and component_id (smallest doc_id that links reach) of every row.
+
+    Without a similarity, fingerprints of 64 bits are linked if they differ in at most `bits`. With one, texts are linked
+    if their shingle sets have this Jaccard similarity at least, whatever their fingerprints.
+    """
+    return grouped(spark, docs, shingle, bits, similarity).select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
-def one_of_each(spark: SparkSession, docs: DataFrame, shingle: int = 5, bits: int = 11, similarity: float | None = 0.8) -> DataFrame:
-    """docs with all columns, without those whose component has a smaller doc_id.
+def one_of_each(spark: SparkSession, docs: DataFrame, shingle: int = 5, bits: int = 11, similarity: float | None = 0.8, null_ids_stay: bool = True) -> DataFrame:
+    """docs with all columns and one row of each component, that with the smallest doc_id; of equal ones any one.
 
-    Rows with a null doc_id are kept: nothing tells which of them stands for a group.
+    Rows with a null doc_id come last, or all stay if null_ids_stay. The rows are numbered in a written copy of docs.
     """
-    dropped = near_duplicates(spark, docs, shingle, bits, similarity).where("doc_id > component_id").select(F.col("doc_id").alias("tb_dropped"))
-    return docs.join(dropped, F.col("doc_id") == F.col("tb_dropped"), "left_anti")
+    numbered = materialize(spark, docs.withColumn("tb_row", F.monotonically_increasing_id()), "numbered")
+    dropped = grouped(spark, numbered, shingle, bits, similarity).where("tb_row != first.tb_row")
+    if null_ids_stay:
+        dropped = dropped.where("doc_id IS NOT NULL")
+    return numbered.join(dropped.select("tb_row"), "tb_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

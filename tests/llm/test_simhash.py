@@ -141,3 +141,11 @@ def test_large_families_are_split_over_tasks(spark, monkeypatch):
     pairs = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark, table(spark, texts), 5, 11, 0.8).collect()}
     assert got == roots_by_loop(pairs, range(len(texts)))
+
+
+def test_one_row_of_each_group_whatever_its_doc_id(spark):
+    a, b, c = "a b c d e f", "p q r s t u", "v w x y z a"
+    docs = table(spark, [a, a, a, b, a, c, c, c], ids=[1, 1, 2, 7, 7, None, None, None])
+    kept = simhash.one_of_each(spark, docs, 5, 11, 0.8, null_ids_stay=False)
+    assert kept.columns == docs.columns
+    assert sorted((r["text"], r["doc_id"] or -1) for r in kept.collect()) == [(a, 1), (b, 7), (c, -1)]
