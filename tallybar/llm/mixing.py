@@ -66,12 +66,12 @@ def when_asked(part: Column, start: Column, end: Column) -> Column:
     return F.when(F.abs(slope) < 1e-12, part).otherwise(curved)
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, tilts: tuple = TILTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken and first position (null if not taken) of every row."""
+def laid_out(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, tilts: tuple = TILTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """What mix gives, and tb_row, a number of each row."""
     rows = columns(docs, doc_id="long", source="string", text="string")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = materialize(spark, rows.select("doc_id", "source", size.alias("size"), key.alias("key")), "mix-sizes")
+    sized = materialize(spark, rows.select(F.monotonically_increasing_id().alias("tb_row"), "doc_id", "source", size.alias("size"), key.alias("key")), "mix-sizes")
     targets = materialize(spark, source_targets(sized, weights, tilts, share, cap), "mix-targets")
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
@@ -86,14 +86,31 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, tilts: t
     copies = F.when((F.col("size") > 0) & (room > 0), F.ceil(room / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
     part = F.least(offset / F.greatest("target", F.lit(1e-9)), F.lit(1.0))
     return laid.withColumn("offset", offset).select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "offset", "start_weight", "end_weight",
+        "tb_row", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "offset", "start_weight", "end_weight",
         F.when(copies > 0, when_asked(part, F.col("start_weight"), F.col("end_weight"))).alias("position"),
     )
 
 
+def mix(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, tilts: tuple = TILTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken and first position (null if not taken) of every row."""
+    return laid_out(spark, docs, weights, tilts, share, cap).drop("tb_row")
+
+
 def training_order(mixed: DataFrame) -> DataFrame:
     """One row for each copy taken, sorted by training position: doc_id, copy, position."""
     copies = mixed.where("copies > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
     part = F.least((F.col("offset") + F.col("copy") * F.col("source_size")) / F.col("target"), F.lit(1.0))
     placed = copies.withColumn("position", when_asked(part, F.col("start_weight"), F.col("end_weight")))
-    return placed.select("doc_id", "source", "size", "copy", "position").orderBy("position", "source", "doc_id", "copy")
+    own = [c for c in mixed.columns if c == "tb_row"]
+    return placed.select("doc_id", "source", "size", "copy", "position", *own).orderBy("position", "source", "doc_id", "copy")
+
+
+def mix_in_order(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """What mix gives of every row, counted in the training order: all copies are dealt, sorted over ranges and written first."""
+    laid = materialize(spark, laid_out(spark, docs), "mix")
+    order = materialize(spark, training_order(laid), "training-order")
+    seen = order.groupBy("tb_row").agg(F.count(F.lit(1)).alias("copies"), F.sum("size").alias("taken"), F.min("position").alias("position"))
+    zero = F.lit(0).cast("long")
+    return laid.drop("copies", "taken", "position").join(seen, "tb_row", "left").select(
+        "doc_id", "source", "size", "source_size", "target", F.coalesce("copies", zero).alias("copies"), F.coalesce("taken", zero).alias("taken"), "position"
+    )

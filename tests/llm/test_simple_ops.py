@@ -10,7 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallybar.llm import chat_format, decontaminate, doc_fingerprint, license_scan, mixing
+import corpus_pipeline
+from tallybar.llm import chat_format, decontaminate, doc_fingerprint, license_scan, mixing, queries
 from tests.llm.helpers import ODD, corpus, table
 
 WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -180,6 +181,24 @@ def test_mixing_targets_and_taken(spark):
     assert all(0 <= r["position"] <= 1 for r in order)
 
 
+def test_queries_write_the_training_order(spark, monkeypatch, tmp_path):
+    texts = [*corpus(4, 120), "twice the same row", "twice the same row"]
+    docs = table(spark, texts, [f"s{i % 3}" for i in range(len(texts))], [*range(len(texts) - 2), 900, 900])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    written = {}
+    keep = mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda spark, df, name: written.setdefault(name, keep(spark, df, name)))
+    for run in (lambda: queries.QUERIES["op9_source_mixing"](spark, str(tmp_path)), lambda: corpus_pipeline.source_mixing(spark, docs, "")):
+        written.clear()
+        got = run().collect()
+        order = written["training-order"].collect()
+        want = mixing.mix(spark, docs).collect()
+        assert len(order) == sum(r["copies"] for r in want) > len({r["tb_row"] for r in order})
+        assert [r["position"] for r in order] == sorted(r["position"] for r in order)
+        seen = sorted((r["doc_id"], r["taken"], -1 if r["position"] is None else round(r["position"], 9)) for r in got)
+        assert seen == sorted((r["doc_id"], r["taken"], -1 if r["position"] is None else round(r["position"], 9)) for r in want)
+
+
 def test_mixing_of_nothing(spark):
     assert mixing.mix(spark, table(spark, [])).count() == 0
     assert {r["taken"] for r in mixing.mix(spark, table(spark, [None, "", " "], [None, "a", "a"])).collect()} == {0}
