@@ -423,7 +423,10 @@ def johansen_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- walk-forward
 
 
-CONFIG = walkforward.Config(passo_dias=STEP, top_n_corr=8, max_ativos=3, min_corr=MIN_CORR)
+#: The defaults but for the correlation bound, which only ranks the assets.
+CONFIG = walkforward.Config(min_corr=MIN_CORR)
+#: What the SQL of n_combinations counts.
+SMALL = walkforward.Config(passo_dias=STEP, top_n_corr=8, max_ativos=3, min_corr=MIN_CORR)
 
 
 def walks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -435,8 +438,8 @@ def walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled.select("t", "asset_idx", "asset", (F.sum("z").over(own.orderBy("t").rowsBetween(W.unboundedPreceding, 0)) + 1000).alias("px"))
 
 
-def _walk(spark: SparkSession, sf_dir: str) -> walkforward.Result:
-    return walkforward.walk_forward(walks(spark, sf_dir), CONFIG, strict=False)
+def _walk(spark: SparkSession, sf_dir: str, config: walkforward.Config = CONFIG) -> walkforward.Result:
+    return walkforward.walk_forward(walks(spark, sf_dir), config, strict=False)
 
 
 @query()
@@ -456,6 +459,16 @@ def walk_forward_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CLEAN}, {FOLDS} SELECT CAST(count(*) * (8 * 7 // 2 + 8 * 7 * 6 // 6) AS BIGINT) AS n_testes_total FROM folds")
 def n_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(1).select(F.lit(_walk(spark, sf_dir, SMALL).n_testes_total).cast("long").alias("n_testes_total"))
+
+
+_SETS = ", ".join(f"({n}, {select.n_combinations([n], CONFIG.min_ativos, CONFIG.max_ativos)})" for n in range(CONFIG.top_n_corr + 1))
+
+
+@query(f"""WITH {CLEAN}, sizes AS (SELECT max(t) + 1 AS n, least(count(DISTINCT asset_idx), {CONFIG.top_n_corr}) AS assets FROM clean),
+    folds AS (SELECT k FROM (SELECT unnest(generate_series(0, 10000)) AS k) WHERE k * {CONFIG.passo_dias} + {CONFIG.janela_treino_dias + CONFIG.passo_dias + CONFIG.embargo_dias} <= (SELECT n FROM sizes))
+    SELECT CAST((SELECT count(*) FROM folds) * coalesce(max(total), 0) AS BIGINT) AS n_testes_total FROM sizes JOIN (VALUES {_SETS}) AS s(assets, total) USING (assets)""")
+def n_combinations_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.lit(_walk(spark, sf_dir).n_testes_total).cast("long").alias("n_testes_total"))
 
 

@@ -215,3 +215,12 @@ def test_walk_forward_without_enough_data(spark):
     assert walkforward.walk_forward(small, walkforward.Config(), strict=False).detail.count() == 0
     with pytest.raises(ValueError):
         walkforward.Config(passo_dias=0)
+
+
+def test_registered_walk_forward_has_the_defaults():
+    from dataclasses import replace
+
+    from tallybar import catalog
+
+    assert replace(catalog.CONFIG, min_corr=0.90) == walkforward.Config()
+    assert select.n_combinations([16], catalog.CONFIG.min_ativos, catalog.CONFIG.max_ativos) == 26_316
