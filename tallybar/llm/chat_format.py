@@ -6,7 +6,7 @@ dropping each backslash and keeping what follows it undoes this. Image, audio an
 placeholders ``<|image|>``, ``<|audio|>`` and ``<|document|>``; their references and the tokens that they expand to
 are recorded beside the text. Assistant turns are under the loss mask.
 
-Defined results: null roles and texts count as empty; turns are ordered by (turn, role, text), nulls first; repeated
+Defined results: null roles and texts count as empty; turns are ordered by (turn, role, parts as they came), nulls first; repeated
 rows are repeated turns; rows with a null conv_id form one conversation; parts of an unknown type count as text.
 """
 
@@ -73,13 +73,11 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
     A conversation is one text, so its turns meet in one row; nothing else does.
     """
-    role = F.regexp_replace(escape(F.col("role")), "\n", "\\\\\n")
-    rows = turns.select(
-        "conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), flatten_parts(F.col("parts")).alias("content"), role.alias("head"), attachments(F.col("parts")).alias("attached")).alias("t")
-    )
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    one = lambda t: F.concat(F.lit(START), t["head"], F.lit("\n"), t["content"], F.lit(END + "\n"))
-    return grouped.select("conv_id", F.array_join(F.transform("t", one), "").alias("formatted"), F.flatten(F.transform("t", lambda t: t["attached"])).alias("attachments"))
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("parts", F.array().cast(f"array<{PART}>")).cast(f"array<{PART}>").alias("parts"))
+    grouped = turns.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    head = lambda t: F.regexp_replace(escape(t["role"]), "\n", "\\\\\n")
+    one = lambda t: F.concat(F.lit(START), head(t), F.lit("\n"), flatten_parts(t["parts"]), F.lit(END + "\n"))
+    return grouped.select("conv_id", F.array_join(F.transform("t", one), "").alias("formatted"), F.flatten(F.transform("t", lambda t: attachments(t["parts"]))).alias("attachments"))
 
 
 def parse_turns(formatted: Column) -> Column:

@@ -2,10 +2,12 @@
 
 The windows of ten words of the benchmark items (an item of fewer words is one window) form a hash set that travels with
 the plan. Each document's windows are looked up in it by their 64-bit hash, and a hit is verified on the words
-themselves. The set holds at most ``max_set`` windows; a larger one is joined by a shuffle instead.
+themselves. The set holds at most ``max_set`` windows. Of a larger one a bitmap travels instead, of at most 2^27 bits; only windows
+that it holds are shuffled to meet the set. Documents with hits are dropped, or the hit words are cut out of them.
 
 Defined results: null texts have no words and are clean; items without words match nothing; repeated items count once
-by item_id; repeated documents are judged one by one; an empty benchmark leaves every document clean.
+by item_id, and items without an item_id count as one whose name is empty; repeated documents are judged one by one; an
+empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
@@ -17,9 +19,12 @@ from pyspark.sql import types as T
 from tallybar.llm.common import columns, materialize
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 10
 MAX_SET = 50_000
+#: Bits of the bitmap of a larger set.
+MAP_BITS = (1 << 16, 1 << 27)
 #: Words of a window that the first look-up hashes.
 PREFIX = 3
 
@@ -34,7 +39,7 @@ def _starts(size: Column, n: int) -> Column:
 
 def benchmark_windows(bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """item_id, n (words of the window), gram (words joined by a space), its hash and that of its first words, each once."""
-    items = columns(bench, item_id="string", text="string").select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    items = columns(bench, item_id="string", text="string").select(F.coalesce("item_id", F.lit("")).alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     n = F.least(F.size("w"), F.lit(window))
     grams = items.select("item_id", n.alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice("w", i, n))).alias("g"))
     return grams.select("item_id", "n", F.array_join("g", " ").alias("gram"), F.xxhash64("g").alias("hash"), F.xxhash64(F.slice("g", 1, PREFIX)).alias("prefix")).distinct()
@@ -63,15 +68,34 @@ def _hits(sized: DataFrame, grams: list) -> DataFrame:
     return sized.withColumn("hits", F.sort_array(F.concat(*arrays)) if arrays else F.array().cast(kind))
 
 
+def _bitmap(grams: DataFrame) -> tuple[DataFrame, int]:
+    """(one row with the bits of all windows' hashes as an array of longs, how many bits): 16 or more for each, 2^27 at most."""
+    count = grams.select("hash").distinct().count()
+    bits = min(MAP_BITS[1], max(MAP_BITS[0], 1 << (16 * count - 1).bit_length()))
+    slot = F.pmod("hash", F.lit(bits))
+    words_ = grams.groupBy(F.shiftright(slot, 6).alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))).alias("b"))
+    every = grams.sparkSession.range(bits // 64).join(words_, "id", "left").select("id", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
+    blocks = every.groupBy(F.shiftright("id", 12).alias("block")).agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "b"))), lambda x: x["b"]).alias("bs"))
+    return blocks.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block", "bs"))), lambda x: x["bs"])).alias("bits")), bits
+
+
 def _hits_by_join(spark: SparkSession, sized: DataFrame, grams: DataFrame) -> DataFrame:
-    """The same for a set too large to travel: the windows meet it in a shuffled join."""
+    """The same for a set too large to travel: the windows that its bitmap holds meet it in a shuffled join."""
     base = materialize(spark, sized, "decontaminate-words")
+    one, bits = _bitmap(grams)
+    lit_up = base.select("row", "w").join(F.broadcast(materialize(spark, one, "decontaminate-bitmap")))  # one row of bits / 8 bytes
+
+    def held(i: Column, n: int) -> Column:
+        slot = F.pmod(F.xxhash64(*_words_at(i, n)), F.lit(bits))
+        return F.getbit(F.get("bits", F.shiftright(slot, 6).cast("int")), F.pmod(slot, F.lit(64)).cast("int")) == 1
+
     distinct = grams.select("n", "gram", "hash").distinct()
     lengths = [r["n"] for r in distinct.select("n").distinct().collect()]  # at most `window` values
     parts = []
     for n in lengths:  # a lambda is used before the next n
         window = lambda i: F.struct(i.alias("start"), F.concat_ws(" ", *_words_at(i, n)).alias("gram"), F.xxhash64(*_words_at(i, n)).alias("hash"))
-        keyed = base.select("row", F.explode(F.transform(_starts(F.size("w"), n), window)).alias("x")).select("row", "x.*")
+        some = F.filter(_starts(F.size("w"), n), lambda i: held(i, n))
+        keyed = lit_up.select("row", F.explode(F.transform(some, window)).alias("x")).select("row", "x.*")
         met = keyed.join(distinct.where(F.col("n") == n).select("hash", "gram"), ["hash", "gram"])
         parts.append(met.select("row", F.struct("start", (F.col("start") + n).alias("end"), "gram").alias("hit")))
     if not parts:
@@ -120,3 +144,17 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, bench: DataFrame, wi
     found, _ = scan(spark, docs, bench, window, max_set, keep=tuple(docs.columns))
     kept: list[T.StructField] = docs.schema.fields
     return found.where("n_hit = 0 and row >= 0").select(*[F.col(f"kept_{i}").alias(f.name) for i, f in enumerate(kept)])
+
+
+def cut_contaminated(spark: SparkSession, docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_set: int = MAX_SET) -> DataFrame:
+    """docs with all columns and rows; hit words go out of text, each with the separators before it, and n_chars counts what is left."""
+    found, _ = scan(spark, docs, bench, window, max_set, keep=tuple(docs.columns))
+    name = {f.name: F.col(f"kept_{i}") for i, f in enumerate(docs.schema.fields)}
+    pieces = F.regexp_extract_all(name["text"], F.lit(f"{SEPARATORS[:-1]}*{WORD}"), F.lit(0))
+    free = F.filter(pieces, lambda _, i: ~F.exists("hits", lambda h: (h["start"] <= i + 1) & (i + 1 < h["end"])))
+    text = F.concat(F.array_join(free, ""), F.regexp_extract(name["text"], f"{SEPARATORS[:-1]}*\\z", 0))
+    hit = F.col("n_hit") > 0
+    name["text"] = F.when(hit, text).otherwise(name["text"])
+    if "n_chars" in name:
+        name["n_chars"] = F.when(hit, F.length(text)).otherwise(name["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return found.where("row >= 0").select(*[name[f.name].alias(f.name) for f in docs.schema.fields])

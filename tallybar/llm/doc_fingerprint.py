@@ -6,7 +6,8 @@ bucket are gathered by a pre-aggregated minimum and maximum, and a bucket in whi
 hash. Only documents whose hash may be in a bucket of two or more are compared; a bitmap of fixed size names them.
 
 Defined results: a null text is empty and has the digest of the empty text; a null doc_id comes after all others;
-rows with one doc_id are ordered by text; the only document is its own next one; an empty table gives no rows.
+rows with one doc_id are ordered by text; the only document is its own next one; an empty table gives no rows. Likenesses
+compare bytes; the fingerprint of an edited text is told apart from another document's where two documents differ.
 """
 
 from __future__ import annotations
@@ -17,11 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallybar.llm.common import columns, materialize
+from tallybar.llm.common import by_row, columns, materialize, parts_of
 
 #: Bits of the map of buckets; it goes to every task, so its size is fixed.
 MAP_BITS = 1 << 23
@@ -83,12 +87,11 @@ def _told_apart(frame: DataFrame, clash: DataFrame, name: str, other: str) -> Da
 def fingerprint(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint of every document; equal fingerprints mean equal canonical bytes."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            canon = [canonical(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fingerprint": [digest(c) for c in canon], "other": [second(c) for c in canon]})
+    def make(texts: list) -> dict:
+        canon = [canonical(t) for t in texts]
+        return {"fingerprint": [digest(c) for c in canon], "other": [second(c) for c in canon]}
 
-    found = materialize(spark, columns(docs, doc_id="long", text="string").mapInPandas(run, "doc_id long, fingerprint string, other string"), "fingerprints")
+    found = materialize(spark, by_row(columns(docs, doc_id="long", text="string"), make, "doc_id long, fingerprint string, other string"), "fingerprints")
     clash = materialize(spark, clashes(spark, docs, found), "clashes")
     return _told_apart(found, clash, "fingerprint", "other").drop("other")
 
@@ -119,7 +122,7 @@ def in_order_with_next(docs: DataFrame, buckets: int) -> DataFrame:
         copy = F.lit(None).cast("int")
     places = F.filter(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("last")), F.struct(copy.alias("bucket"), F.lit(1).alias("last"))), lambda p: p["bucket"].isNotNull())
     dealt = placed.select("doc_id", "text", F.explode(places).alias("p")).select("p.bucket", "p.last", "doc_id", "text")
-    return dealt.repartition(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "last", F.col("doc_id").asc_nulls_last(), "text")
+    return dealt.repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "last", F.col("doc_id").asc_nulls_last(), "text")
 
 
 def edited(text: str, following: str) -> str:
@@ -130,9 +133,11 @@ def edited(text: str, following: str) -> str:
 
 def with_edited(spark: SparkSession, docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Fingerprints of each document and of its edited text, and their likenesses."""
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, other string, edited_other string"
+    target = to_arrow_schema(T.StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now = first = None  # (bucket, doc_id, text, canonical) waiting for its next; the first of the bucket
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = first = None  # (bucket, doc_id, text, canonical, last) waiting for its next; the first of the bucket
 
         def pair(own: tuple, after: tuple) -> tuple:
             text = edited(own[2], after[2])
@@ -142,30 +147,28 @@ def with_edited(spark: SparkSession, docs: DataFrame, buckets: int | None = None
                 likeness(own[3], canon), likeness(own[3], after[3]), second(own[3]), second(canon),
             )
 
-        def frame(out: list) -> pd.DataFrame:
-            made = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "other", "edited_other"])
-            made["doc_id"] = made["doc_id"].astype("Int64")
-            return made
+        def frame(out: list) -> pa.RecordBatch:
+            held = zip(*out, strict=True) if out else [()] * len(target)
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(held, target, strict=True)], schema=target)
 
         for batch in batches:
-            out = []
-            for bucket, last, doc, text in zip(batch["bucket"], batch["last"], batch["doc_id"], batch["text"], strict=True):
-                text = text or ""
-                row = (bucket, None if pd.isna(doc) else int(doc), text, canonical(text), last)
-                if now is not None and now[0] != bucket:
-                    out.append(pair(now, first)) if not now[4] else None
-                    now = first = None
-                if now is not None and not now[4]:
-                    out.append(pair(now, row))
-                first = first or row
-                now = row
-            yield frame(out)
+            for part in parts_of(batch):
+                out = []
+                for bucket, last, doc, text in zip(*[part.column(c).to_pylist() for c in ("bucket", "last", "doc_id", "text")], strict=True):
+                    row = (bucket, doc, text or "", canonical(text), last)
+                    if now is not None and now[0] != bucket:
+                        out.append(pair(now, first)) if not now[4] else None
+                        now = first = None
+                    if now is not None and not now[4]:
+                        out.append(pair(now, row))
+                    first = first or row
+                    now = row
+                yield frame(out)
         if now is not None and not now[4]:
             yield frame([pair(now, first)])
 
     n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, other string, edited_other string"
-    found = materialize(spark, in_order_with_next(docs, n).mapInPandas(run, schema), "edited")
+    found = materialize(spark, in_order_with_next(docs, n).mapInArrow(run, schema), "edited")
     clash = materialize(spark, clashes(spark, docs, found.select("fingerprint")), "clashes")
     told = _told_apart(_told_apart(found, clash, "fingerprint", "other"), clash, "edited_fingerprint", "edited_other")
     return told.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")

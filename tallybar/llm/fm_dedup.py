@@ -2,10 +2,11 @@
 
 A shard is an FM-index over the words (32 bits of their hash) of about a thousand contexts: a suffix array by prefix doubling, its Burrows-Wheeler
 transform, and a wavelet matrix over it whose levels are packed bits with counted blocks. The contexts' windows are
-streamed through it by backward search, all of a shard in step, and leave once their interval holds nothing but
-themselves: what a window matches beyond itself is then shorter than the threshold. Windows that stay for all words give
-the interval of their occurrences, and the smallest document in it. A word is removed if a window over it starts in a
-document with a smaller doc_id, judged on the input.
+streamed through it by backward search, all of a shard in step. This gives the matching statistics through the threshold: how
+long a match ends at each place, and the interval of its occurrences. Windows whose statistic reaches the threshold are
+the repeated ones, and the smallest document in the interval decides. A word is removed if a window over it starts in a
+document with a smaller doc_id, judged on the input. Shards are dealt by anchors of windows, so a document's windows are
+streamed through the shards that can hold them and through no others.
 
 Defined results: a null text has no words; texts with fewer words than the window stay as they are; a null doc_id comes
 after all others; rows with one doc_id are no smaller than each other; an empty table gives no rows.
@@ -17,14 +18,13 @@ import hashlib
 from functools import partial
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybar.llm import repeats
 from tallybar.llm.common import columns
 
-WINDOW, GRAM, SLICE = 13, 4, 1
+WINDOW, GRAM = 13, 4
 
 
 def _content(words: np.ndarray, start: int, end: int) -> bytes:
@@ -32,7 +32,7 @@ def _content(words: np.ndarray, start: int, end: int) -> bytes:
 
 
 def tokens(window: int = WINDOW) -> repeats.Tokens:
-    return repeats.Tokens(repeats.word_codes, _content, window, min(GRAM, window), SLICE)
+    return repeats.Tokens(repeats.word_codes, _content, window, min(GRAM, window))
 
 
 class WaveletMatrix:
@@ -97,21 +97,32 @@ class FMIndex:
         self.before = np.concatenate([[0], np.cumsum(np.bincount(texts, minlength=sigma))])
         self.wavelet = WaveletMatrix(bwt, sigma)
 
-    def intervals(self, texts: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Backward search of the windows at these starts: those with two or more occurrences, and their intervals."""
-        alive = np.arange(len(starts))
-        symbol = texts[starts + window - 1]
+    def matching_statistics(self, texts: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each end, the length, through `depth`, of the longest string before it that occurs twice or more, and its interval.
+
+        All are streamed in step by backward search; one leaves when its interval holds nothing but itself.
+        """
+        symbol = texts[ends - 1]
         low, high = self.before[symbol], self.before[symbol + 1]
-        for back in range(window - 2, -1, -1):
-            more = high - low > 1
-            alive, low, high = alive[more], low[more], high[more]
-            if not len(alive):
+        length, alive = np.zeros(len(ends), np.int64), np.arange(len(ends))
+        for back in range(1, depth + 1):
+            more = high[alive] - low[alive] > 1 if back == 1 else after[1] - after[0] > 1
+            alive = alive[more]
+            if back > 1:
+                low[alive], high[alive] = after[0][more], after[1][more]
+            length[alive] = back
+            if back == depth or not len(alive):
                 break
-            symbol = texts[starts[alive] + back]
-            both = self.wavelet.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high])) + np.tile(self.before[symbol], 2)
-            low, high = both[: len(alive)], both[len(alive) :]
-        more = high - low > 1
-        return alive[more], low[more], high[more]
+            symbol = texts[ends[alive] - 1 - back]
+            both = self.wavelet.rank(np.concatenate([symbol, symbol]), np.concatenate([low[alive], high[alive]])) + np.tile(self.before[symbol], 2)
+            after = both[: len(alive)], both[len(alive) :]
+        return length, low, high
+
+    def intervals(self, texts: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The windows at these starts whose matching statistic reaches the window's length, and their intervals."""
+        length, low, high = self.matching_statistics(texts, starts + window, window)
+        found = np.flatnonzero(length >= window)
+        return found, low[found], high[found]
 
 
 def earliest_documents(work: repeats.Contexts, window: int) -> tuple[np.ndarray, list]:
@@ -166,11 +177,8 @@ def report(spark: SparkSession, docs: DataFrame, window: int = WINDOW, hot: int
     """doc_id, n_words, n_removed and kept_sha256 of every document."""
     rows = columns(docs, doc_id="long", text="string")
 
-    def finish(batch: pd.DataFrame) -> pd.DataFrame:
-        made = [kept_words(t, s) for t, s in zip(batch["text"], batch["tb_spans"], strict=True)]
-        return pd.DataFrame({
-            "doc_id": batch["doc_id"].astype("Int64"), "n_words": [n for _, n, _ in made], "n_removed": [r for _, _, r in made],
-            "kept_sha256": [hashlib.sha256(k).hexdigest() for k, _, _ in made],
-        })
+    def finish(texts: list, spans: list) -> dict:
+        made = [kept_words(t, s) for t, s in zip(texts, spans, strict=True)]
+        return {"n_words": [n for _, n, _ in made], "n_removed": [r for _, _, r in made], "kept_sha256": [hashlib.sha256(k).hexdigest() for k, _, _ in made]}
 
     return repeats.finished(rows, *covered(spark, rows, window, hot), finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -1,10 +1,16 @@
 """HTML extraction by composite text density.
 
-The page is parsed into a tree; menus, headers, footers, sidebars, adverts, notices, forms, scripts, styles and reader
-comments are cut off first. Every node gets its link-adjusted characters per tag (composite text density), every node's
-density sum is that of its children, and the node with the largest sum is the centre of the article. The smallest
-density on the path from it to the body is the threshold: what hangs on that path and reaches it, and headings, belong
-to the text as well.
+The page is parsed into a tree, with end tags that may be left out put in; menus, headers, footers, sidebars, adverts,
+notices, forms, scripts, styles and reader comments that are marked as such are left out of it. Every node gets its
+link-adjusted characters per tag (composite text density) and the sum of its children's densities; the node with the
+largest sum is the centre of the text, and the smallest density on the path from it to the body is the threshold. The text
+is what the centre's article holds (the nearest <article> or <main> around it, else the body), less the blocks on that
+path, or in the centre itself, that are menus by their density: it is below the threshold, and two links or more make up
+most of their characters.
+
+A class, an id or a role marks noise if one of its words, as a whole, names noise (`ad`, `cookie-notice`, `site-footer`), not
+if noise is a part of another name (`has-sidebar`, `no-ads`). Further <article>s beside the chosen one are teasers and
+stay out.
 
 Defined results: null or empty html, and pages without text, give an empty text; unclosed and stray tags are accepted;
 repeated rows give repeated results.
@@ -15,13 +21,11 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
-from collections import Counter, deque
-from collections.abc import Iterator
+from collections import Counter
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from tallybar.llm.common import columns
+from tallybar.llm.common import by_row, columns
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
@@ -34,21 +38,30 @@ HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 NOISE = frozenset(
     "head nav footer aside form script style noscript template iframe svg canvas button select option input textarea dialog menu object embed audio video map math".split()
 )
-#: Words of class, id and role that mark menus, sidebars, notices, adverts and reader comments.
+#: Names of menus, sidebars, notices, adverts and reader comments.
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion popup modal overlay cookie cookies consent gdpr notice alert"
-    " nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead toolbar pagination pager share sharing social related recommended"
+    " nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead toolbar pagination pager share sharing social related recommended"
     " comment comments disqus respond replies newsletter subscribe signup login widget widgets complementary contentinfo search skip".split()
 )
+#: What such a name may be made up with: where it stands, and what kind of box it is.
+NEUTRAL_WORDS = frozenset("site main top bottom left right box bar list block section area wrapper container inner outer unit slot link links item items button buttons form panel".split())
+#: A site's header, which is noise outside an article only.
+HEADER_WORDS = frozenset(("header", "site-header", "main-header", "top-header"))
+#: What may stand in a head; anything else ends it.
+HEAD_TAGS = frozenset("base link meta noscript script style template title".split())
 #: A new one of these closes the open ones of the second set, up to the third.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
 }
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+")
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s\"'>]+))?")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+
+
+#: Stands between blocks.
+BREAK = None
 
 
 class Node:
@@ -64,59 +77,70 @@ class Node:
         self.density = self.total = 0.0
 
 
+def names_noise(word: str, inside_article: bool) -> bool:
+    """Whether a class, id or role is the name of noise: a noise word, or one made up with neutral words."""
+    if word in HEADER_WORDS:
+        return not inside_article
+    parts = {x for x in re.split(r"[-_]+", word) if x}
+    return bool(parts & NOISE_WORDS) and parts <= NOISE_WORDS | NEUTRAL_WORDS
+
+
 def is_noise(tag: str, attributes: str, inside_article: bool) -> bool:
     if tag in NOISE or (tag == "header" and not inside_article):
         return True
     if not attributes:
         return False
-    if tag not in ("html", "body", "article", "main"):
-        for m in _MARK.finditer(attributes):
-            if NOISE_WORDS & set(_SPLIT.split((m[1] or m[2] or m[3] or "").lower())):
-                return True
-    return bool(_HIDDEN.search(attributes))
+    held = {m[1].lower(): (m[2] or "").strip("\"'").lower() for m in _ATTRIBUTE.finditer(attributes)}
+    if "hidden" in held or held.get("aria-hidden") == "true" or _UNSEEN.search(held.get("style", "")):
+        return True
+    if tag in ("html", "body", "article", "main"):
+        return False
+    return any(names_noise(word, inside_article) for name in ("class", "id", "role") for word in held.get(name, "").split())
 
 
 def parse(page: str) -> Node:
     """The tree without comments and noise; items of a node are text and nodes in page order."""
     root = Node("html", None)
     open_tags: Counter[str] = Counter()
-    here, skip, depth, at = root, None, 0, 0  # skip: tag of the noise that is open, depth: of it within itself
+    here, at = root, 0
+
+    def close(top: Node) -> Node:
+        """End an open element and all that is open in it."""
+        node = here
+        while node is not top.parent:
+            open_tags[node.tag] -= 1
+            node = node.parent
+        return node
+
     while at < len(page):
         m = _TOKEN.search(page, at)
-        if m is None:
-            m_start = len(page)
-        else:
-            m_start = m.start()
-        if m_start > at and skip is None:
-            here.items.append(page[at:m_start])
+        if (m.start() if m else len(page)) > at:
+            here.items.append(page[at : m.start() if m else len(page)])
         if m is None:
             break
         at = m.end()
-        name = m[2]
-        if not name:
+        if not m[2]:
             continue
-        tag, closing, attributes = name.lower(), bool(m[1]), m[3]
+        tag, closing, attributes = m[2].lower(), bool(m[1]), m[3]
         if tag in RAW and not closing:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if skip is not None:
-            if tag == skip and not attributes.endswith("/"):
-                depth += -1 if closing else 1
-                if depth == 0:
-                    skip = None
-            elif closing and tag in ("body", "html") or skip == "head" and not closing and tag == "body":
-                skip = None
+        if open_tags["head"] and (tag == "head" if closing else tag not in HEAD_TAGS):
+            node = here
+            while node.tag != "head":
+                node = node.parent
+            here = close(node)
+            if closing:
+                continue
+        if tag in ("html", "body"):
             continue
         if closing:
-            if open_tags[tag] and tag not in ("html", "body"):
-                while here.tag != tag:
-                    open_tags[here.tag] -= 1
-                    here = here.parent
-                open_tags[tag] -= 1
-                here = here.parent
-            continue
-        if tag in ("html", "body"):
+            if open_tags[tag]:
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                here = close(node)
             continue
         top = here.paragraph if tag in BLOCK else None  # a block ends an open paragraph and what is open in it
         if tag in CLOSES and any(open_tags[x] for x in CLOSES[tag][0]):
@@ -126,17 +150,10 @@ def parse(page: str) -> Node:
                 top = node if node.tag in ends else top
                 node = node.parent
         if top is not None:
-            while here is not top:
-                open_tags[here.tag] -= 1
-                here = here.parent
-            open_tags[here.tag] -= 1
-            here = here.parent
-        if tag not in VOID and is_noise(tag, attributes, here.article):
-            if not attributes.endswith("/"):
-                skip, depth = tag, 1
-            continue
+            here = close(top)
         child = Node(tag, here)
-        here.items.append(child)
+        if tag in VOID or not is_noise(tag, attributes, here.article):
+            here.items.append(child)  # noise is parsed like the rest, but hangs on no one
         if tag not in VOID and not attributes.endswith("/"):
             here = child
             open_tags[tag] += 1
@@ -181,54 +198,33 @@ def composite(chars: int, tags: int, link_chars: int, link_tags: int, link_share
     return chars / tags * max(math.log(max(inner, 1.0) + 1e-9) / max(math.log(base + 1e-9), 0.1), 0.0) if inner > 1 else 0.0
 
 
-def select(root: Node) -> list[Node | str]:
-    """The article's parts in page order: the densest subtree, with what reaches the threshold beside its path."""
+def is_menu(x: Node | str, threshold: float) -> bool:
+    """Whether a block is a menu by its density and links."""
+    return not isinstance(x, str) and x.tag in BLOCK and x.tag not in HEADING and x.link_tags > 1 and 2 * x.link_chars > x.chars and x.density < threshold
+
+
+def select(root: Node) -> list[Node | str | None]:
+    """The text's parts in page order: those of the article around the node with the largest density sum, without menus."""
     nodes = measure(root)
     best = max(nodes, key=lambda n: n.total)
-    if best.total <= 0:
-        best = root
-    path, node = [best], best.parent
-    while node is not None:
-        path.append(node)
-        node = node.parent
-    for i, x in enumerate(path):
-        if x.tag in ("article", "main"):
-            path, best = path[i:], x
-            break
-    if best.tag in ("article", "main"):
-        peers = [x for x in nodes if x.tag == best.tag and x is not best]
-        return [x for x in nodes_in_page_order(root) if x is best or x in peers and not inside(x, best)] if peers else [best]
+    path = [best]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
     threshold = min(x.density for x in path)
-
-    def stays(x: Node | str) -> bool:
-        return isinstance(x, str) or x.tag in HEADING or x.tag not in BLOCK or x.density >= threshold and 2 * x.link_chars <= x.chars
-
-    parts: deque[Node | str] = deque([best])
-    for node, parent in zip(path, path[1:], strict=False):
+    around = next((i for i, x in enumerate(path) if x.tag in ("article", "main")), len(path) - 1)
+    parts: list[Node | str | None] = [x for x in best.items if not is_menu(x, threshold)]
+    if best.tag in BLOCK:
+        parts = [BREAK, *parts, BREAK]
+    for node, parent in zip(path[:around], path[1 : around + 1], strict=True):
         at = next(i for i, x in enumerate(parent.items) if x is node)
-        parts.extendleft(x for x in reversed(parent.items[:at]) if stays(x))
-        parts.extend(x for x in parent.items[at + 1 :] if stays(x))
-    return list(parts)
-
-
-def nodes_in_page_order(root: Node) -> list[Node]:
-    out, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        out.append(node)
-        todo += [x for x in reversed(node.items) if isinstance(x, Node)]
-    return out
+        before, after = ([x for x in some if not is_menu(x, threshold)] for some in (parent.items[:at], parent.items[at + 1 :]))
+        parts = [*before, *parts, *after]
+        if parent.tag in BLOCK:
+            parts = [BREAK, *parts, BREAK]
+    return parts
 
 
-def inside(node: Node | None, top: Node) -> bool:
-    while node is not None:
-        if node is top:
-            return True
-        node = node.parent
-    return False
-
-
-def blocks(parts: list[Node | str]) -> list[str]:
+def blocks(parts: list[Node | str | None]) -> list[str]:
     out: list[str] = []
     run: list[str] = []
 
@@ -241,13 +237,13 @@ def blocks(parts: list[Node | str]) -> list[str]:
     todo: list = [*reversed(parts)]
     while todo:
         x = todo.pop()
-        if x is None:
+        if x is BREAK:
             end()
         elif isinstance(x, str):
             run.append(x)
         elif x.tag in BLOCK:
             end()
-            todo += [None, *reversed(x.items)]
+            todo += [BREAK, *reversed(x.items)]
         elif x.tag in VOID:
             run.append(" ")
         else:
@@ -262,9 +258,5 @@ def extract_text(page: str | None) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and the main text of every page."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": [extract_text(p) for p in batch["html"]]})
-
-    return columns(pages, page_id="long", url="string", html="string").mapInPandas(run, "page_id long, url string, text string")
+    rows = columns(pages, page_id="long", url="string", html="string")
+    return by_row(rows, lambda found: {"text": [extract_text(p) for p in found]}, "page_id long, url string, text string", ("page_id", "url"))

@@ -11,16 +11,14 @@ notice all count as base places; the fuzzy spans of one notice do not overlap; r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from functools import lru_cache
 
 import ahocorasick
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from tallybar.llm.common import columns
+from tallybar.llm.common import by_row, columns
 
 #: Bytes other than digits, letters and non-ASCII separate words; A-Z is lower-cased.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -34,17 +32,43 @@ class Notice:
     base: bool = False
 
 
-#: Notices: words joined by one space. Edits are characters inserted, deleted or replaced.
+#: Fixed values. Notices: words joined by one space. Edits are characters inserted, deleted or replaced.
 NOTICES = (
     Notice("mit", "under the mit license", 2, True),
     Notice("apache-2", "apache license version 2", 2, True),
     Notice("cc-by-nc", "cc by nc", 0, True),
-    Notice("gpl", "gnu general public license", 2),
+    Notice("agpl", "gnu affero general public license", 3),
+    Notice("apache-2", "licensed under the apache license", 3),
+    Notice("artistic-2", "the artistic license 2 0", 2),
+    Notice("boost", "boost software license version 1 0", 3),
     Notice("bsd", "redistribution and use in source and binary forms", 4),
-    Notice("mpl-2", "mozilla public license version 2", 3),
-    Notice("cc-by-sa", "creative commons attribution sharealike", 3),
+    Notice("bsd", "neither the name of the copyright holder", 3),
+    Notice("cc-by", "creative commons attribution 4 0 international", 3),
     Notice("cc-by-nc", "creative commons attribution noncommercial", 3),
+    Notice("cc-by-nd", "creative commons attribution noderivatives", 3),
+    Notice("cc-by-sa", "creative commons attribution sharealike", 3),
+    Notice("cc0", "cc0 1 0 universal", 1),
+    Notice("cc0", "no rights reserved", 1),
+    Notice("cddl", "common development and distribution license", 3),
+    Notice("cecill", "cecill free software license agreement", 3),
+    Notice("epl", "eclipse public license", 2),
+    Notice("eupl", "european union public licence", 3),
+    Notice("gfdl", "gnu free documentation license", 3),
+    Notice("gpl", "gnu general public license", 2),
+    Notice("isc", "permission to use copy modify and or distribute this software", 4),
+    Notice("lgpl", "gnu lesser general public license", 3),
+    Notice("lgpl", "gnu library general public license", 3),
+    Notice("mit", "permission is hereby granted free of charge to any person obtaining a copy", 4),
+    Notice("mpl-2", "mozilla public license version 2", 3),
+    Notice("ms-pl", "microsoft public license", 2),
+    Notice("odbl", "open data commons open database license", 3),
+    Notice("ofl", "sil open font license", 2),
     Notice("proprietary", "all rights reserved", 1),
+    Notice("python", "python software foundation license", 3),
+    Notice("spdx", "spdx license identifier", 2),
+    Notice("unlicense", "this is free and unencumbered software", 3),
+    Notice("wtfpl", "do what the fuck you want to public license", 3),
+    Notice("zlib", "this software is provided as is without any express or implied warranty", 4),
 )
 
 
@@ -87,8 +111,8 @@ class Scanner:
         self.checks = [regex.compile(rf"(?e)(?<![^ ])(?:{regex.escape(n.text, literal_spaces=True)}){{e<={n.edits}}}(?![^ ])") for n in notices]
 
     def spans(self, folded: bytes) -> list[Span]:
-        """All base places and fuzzy spans in text order; offsets count bytes of the folded text."""
-        text = folded.decode("latin-1")
+        """All base places and fuzzy spans in text order; offsets and edits count characters of the folded text."""
+        text = folded.decode()
         exact: dict[int, set[int]] = {}
         windows: dict[int, list[list[int]]] = {}
         for end, (size, uses) in self.seeds.iter(text):
@@ -133,18 +157,12 @@ def scanner(notices: tuple[Notice, ...] = NOTICES) -> Scanner:
 
 
 def scan(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES) -> DataFrame:
-    """doc_id, n_words and every span (label, first word, byte offsets in the folded text, edits, base, likeness)."""
+    """doc_id, n_words and every span (label, first word, offsets in the folded text, edits, base, likeness)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(texts: list) -> dict:
+        folded = [words_of(t) for t in texts]
         find = scanner(notices)
-        for batch in batches:
-            folded = [words_of(t) for t in batch["text"]]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"],
-                "n_words": [w.count(b" ") + 1 if w else 0 for w in folded],
-                "spans": [[(s.label, s.first_word, s.start, s.end, s.edits, s.base, s.likeness) for s in find.spans(w)] for w in folded],
-            })
-
-    return columns(docs, doc_id="long", text="string").mapInPandas(
-        run, "doc_id long, n_words long, spans array<struct<label string, first_word long, start long, end long, edits int, base boolean, likeness double>>"
-    )
+        return {"n_words": [w.count(b" ") + 1 if w else 0 for w in folded], "spans": [[asdict(s) for s in find.spans(w)] for w in folded]}
+
+    schema = "doc_id long, n_words long, spans array<struct<label string, first_word long, start long, end long, edits int, base boolean, likeness double>>"
+    return by_row(columns(docs, doc_id="long", text="string"), make, schema)

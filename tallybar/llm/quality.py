@@ -5,18 +5,21 @@ A text's features x are the presence of its words and of their heads, and of its
 and lines, word lengths, each in steps), hashed into a table of fixed size. The expected grade is the sum of the tail
 probabilities; a document is kept if the probability of the best grade reaches a bound.
 
-Weights are fitted on the driver by accelerated proximal gradient steps with an L1 penalty, on a sample of labelled rows
-of at most ``sample`` rows (those with the smallest hash of their id); features of the sample are made by executors.
-
-Defined results: a null or empty text has only shape features; labels without grade or document count for nothing; of
-repeated labels of one document the smallest grade counts; without any label, or with labels of a single grade, nothing
-can be told and every document is kept; an empty table gives no rows.
+Weights are fitted by accelerated proximal gradient steps with an L1 penalty, on a sample of labelled documents of at most
+``sample`` (those with the smallest hash of their id). Features of the sample are made where its texts are read; the fit is
+one task of an executor, since its rows are bounded, and the driver gets nothing but the weights that are not zero.
+
+Defined results: a null or empty text has only shape features; labels without grade or document count for nothing, nor does
+a label of good quality without toxicity; of repeated labels of one document the smallest grade counts, and of documents
+with one id the one whose features come first; without any label, or with labels of a single grade, nothing can be told
+and every document is kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybar.llm.common import bounded_batches, columns
+from tallybar.llm.common import by_row, columns
 from tallybar.llm.license_scan import words_of
 
 SAMPLE = 10_000
@@ -83,9 +86,18 @@ def features(text: str | None) -> np.ndarray:
 
 @dataclass
 class Model:
-    weights: np.ndarray
+    """The weights that are not zero, by place, and the thresholds."""
+
+    places: np.ndarray
+    values: np.ndarray
     thresholds: np.ndarray
 
+    @cached_property
+    def weights(self) -> np.ndarray:
+        out = np.zeros(1 << BITS)
+        out[self.places] = self.values
+        return out
+
     def tails(self, places: list[np.ndarray]) -> np.ndarray:
         """P(grade > k) by row and k."""
         size = np.array([len(p) for p in places])
@@ -146,38 +158,38 @@ def fit(places: list[np.ndarray], grades: np.ndarray, penalty: float = PENALTY,
         after = (1 + (1 + 4 * t * t) ** 0.5) / 2
         wy, ry = new + (t - 1) / after * (new - w), new_raw + (t - 1) / after * (new_raw - raw)
         w, raw, t = new, new_raw, after
-    weights = np.zeros(1 << BITS)
-    weights[used] = w
-    return Model(weights, _thresholds(raw))
+    told = np.flatnonzero(w)
+    return Model(used[told], w[told], _thresholds(raw))
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The model of a sample of labelled documents; None if they have fewer than two grades."""
-    bounded_batches(spark)
-    rows = columns(labels, doc_id="long", quality="int", toxic="int").select("doc_id", grade_of(F.col("quality"), F.coalesce("toxic", F.lit(0))).alias("grade")).dropna()
+    rows = columns(labels, doc_id="long", quality="int", toxic="int").select("doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade")).dropna()
     chosen = rows.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    met = columns(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
+    met = columns(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id")  # `chosen` has `sample` rows at most
+    marked = by_row(met.select("doc_id", "grade", "text"), lambda texts: {"places": [features(t).astype(np.int32).tobytes() for t in texts]}, "doc_id long, grade int, places binary", ("doc_id", "grade"))
+    once = marked.groupBy("doc_id").agg(F.first("grade").alias("grade"), F.min("places").alias("places"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "grade": batch["grade"], "places": [features(t).astype(np.int32) for t in batch["text"]]})
+        found = sorted(row for batch in batches for row in zip(batch["doc_id"].tolist(), batch["grade"].tolist(), batch["places"].tolist(), strict=True))
+        grades = np.array([g for _, g, _ in found], np.int64)
+        if len(np.unique(grades)) < 2:
+            return
+        model = fit([np.frombuffer(p, np.int32) for _, _, p in found], grades)
+        yield pd.DataFrame({"places": [model.places.astype(np.int32).tobytes()], "values": [model.values.tobytes()], "thresholds": [model.thresholds.tobytes()]})
 
-    found = met.mapInPandas(run, "doc_id long, grade int, places array<int>").toPandas()
-    if found["grade"].nunique() < 2:
-        return None
-    order = np.lexsort((found["places"].map(len), found["doc_id"]))
-    return fit([found["places"].iat[i] for i in order], found["grade"].to_numpy(np.int64)[order])
+    got = once.coalesce(1).mapInPandas(run, "places binary, values binary, thresholds binary").collect()  # one row
+    return Model(np.frombuffer(got[0]["places"], np.int32), np.frombuffer(got[0]["values"]), np.frombuffer(got[0]["thresholds"])) if got else None
 
 
 def scored(docs: DataFrame, model: Model | None, bound: float = BOUND) -> DataFrame:
     """doc_id, expected_grade, tail_probability (of the best grade) and keep of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            tails = np.ones((len(batch), GRADES - 1)) if model is None else model.tails([features(t) for t in batch["text"]])
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "expected_grade": tails.sum(1), "tail_probability": tails[:, -1], "keep": tails[:, -1] >= bound})
+    def make(texts: list) -> dict:
+        tails = np.ones((len(texts), GRADES - 1)) if model is None else model.tails([features(t) for t in texts])
+        return {"expected_grade": tails.sum(1), "tail_probability": tails[:, -1], "keep": tails[:, -1] >= bound}
 
-    return columns(docs, doc_id="long", text="string").mapInPandas(run, "doc_id long, expected_grade double, tail_probability double, keep boolean")
+    return by_row(columns(docs, doc_id="long", text="string"), make, "doc_id long, expected_grade double, tail_probability double, keep boolean")
 
 
 def kept(docs: DataFrame, model: Model | None, bound: float = BOUND) -> DataFrame:

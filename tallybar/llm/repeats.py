@@ -11,27 +11,29 @@ equal anchors at equal places. A text is thereby cut into contexts: an anchor wi
 4. A third pass gives a member row (document, place) for each anchor in the bitmap. Verdicts are joined to the members
    and gathered by document, and the documents concerned meet their intervals.
 
-A key with very many occurrences does not gather in one task: its contexts are cut into slices of a few windows, dealt
-by the hash of what these windows have in common.
+A key with more than HOT occurrences does not gather in one task: each window of its contexts goes alone, under two hashes
+of its own, and only counts and the smallest document travel. So what a task holds of one key is bounded: up to HOT
+contexts, or one window, whose rows are merged as they stream in.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybar.llm.common import bounded_batches, materialize
+from tallybar.llm.common import by_row, discard, materialize
 
 SEGMENT = 1 << 18
-#: Bits of a bitmap: 16 or more for each entry, within these bounds (16 MB at most).
-MAP_BITS = (1 << 16, 1 << 27)
-#: A key is hot from this many occurrences, and from this share of all, so that there are fewer than 100,000 hot keys.
-HOT, HOT_SHARE = 20_000, 1e-5
+#: Bits of a bitmap: 16 or more for each entry, within these bounds (128 MB at most). A fuller one holds more than it should,
+#: which costs shuffles and changes no result.
+MAP_BITS = (1 << 16, 1 << 30)
+#: A key is hot beyond this many occurrences.
+HOT = 20_000
 #: Contexts that a resolver works on at a time, about; documents whose contexts are merged before they are written.
 BATCH, DOCUMENTS = 1_024, 4_000
 LAST = 2**63 - 1
@@ -45,23 +47,20 @@ def _powers(n: int, base: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
 class Powers:
-    """Powers of the rolling hash's base and of its inverse, as far as needed."""
+    """Powers of a rolling hash's base and of its inverse, as far as needed."""
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
+    def __init__(self, base: int) -> None:
+        self.base, self.up, self.down = base, np.ones(1, np.uint64), np.ones(1, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            self.up, self.down = _powers(n, _BASE), _powers(n, _INVERSE)
+            self.up, self.down = _powers(n, self.base), _powers(n, pow(self.base, -1, 1 << 64))
         return self.up, self.down
 
 
-POWERS = Powers()
+#: The second base is for windows that go alone.
+POWERS, OTHER = Powers(0xD1342543DE82EF95), Powers(0x9FB21C651E98DF25)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -70,16 +69,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_sums(codes: np.ndarray) -> np.ndarray:
-    up, _ = POWERS.upto(len(codes) + 1)
+def prefix_sums(codes: np.ndarray, powers: Powers = POWERS) -> np.ndarray:
+    up, _ = powers.upto(len(codes) + 1)
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(codes * up[: len(codes)], out=sums[1:])
     return sums
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Powers = POWERS) -> np.ndarray:
     """Hashes of the spans [start, end) of the codes behind the sums; equal spans have equal hashes wherever they lie."""
-    return mixed(((sums[end] - sums[start]) * POWERS.upto(len(sums))[1][start]) ^ ((end - start).astype(np.uint64) * _ODD))
+    return mixed(((sums[end] - sums[start]) * powers.upto(len(sums))[1][start]) ^ ((end - start).astype(np.uint64) * _ODD))
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -102,7 +101,7 @@ class Anchors:
 
 
 def anchors_of(codes: np.ndarray, window: int, gram: int) -> Iterator[tuple[Anchors, np.ndarray, int]]:
-    """Anchors of a text of 64-bit codes with the prefix sums and the offset of its segment; places count from there."""
+    """Anchors of a text of 64-bit codes with the codes and the offset of their segment; places count from there."""
     for at in range(0, len(codes) - window + 1, SEGMENT):
         part = codes[at : at + SEGMENT + window - 1]
         sums = prefix_sums(part)
@@ -115,7 +114,7 @@ def anchors_of(codes: np.ndarray, window: int, gram: int) -> Iterator[tuple[Anch
         last = np.concatenate([first[1:], [len(least)]]) - 1
         place = (least[first] & np.uint64((1 << 20) - 1)).astype(np.int64)
         ctx = mixed(span_hash(sums, first, last + window) ^ ((place - first).astype(np.uint64) * _ODD))
-        yield Anchors(keys[place], ctx, first, last, place), sums, at
+        yield Anchors(keys[place], ctx, first, last, place), part, at
 
 
 class Bitmap:
@@ -150,7 +149,8 @@ class Tokens:
     content: Callable[[object, int, int], bytes]
     window: int
     gram: int
-    slice: int
+    #: How many times BATCH contexts a resolver takes at a time.
+    batches: int = 1
 
 
 MEMBER = "key long, ctx long, doc long, thash long, first long"
@@ -175,28 +175,20 @@ def repeated_keys(docs: DataFrame, tokens: Tokens) -> DataFrame:
     return docs.select("text").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-def _slices(tokens: Tokens, a: Anchors, sums: np.ndarray, hot: np.ndarray) -> Anchors:
-    """Hot anchors cut by blocks of offsets; a slice's key is the hash of what all windows of its block share."""
+def _alone(a: Anchors, codes: np.ndarray, window: int, hot: np.ndarray) -> Anchors:
+    """Hot anchors as single windows, each under two hashes of its own."""
     if not hot.any():
         return a
-    parts = []
-    for i in np.flatnonzero(hot):
-        first, last, place, c = int(a.first[i]), int(a.last[i]), int(a.place[i]), tokens.slice
-        blocks = np.arange((place - last) // c, (place - first) // c + 1)
-        lo, hi = np.maximum(first, place - (blocks + 1) * c + 1), np.minimum(last, place - blocks * c)
-        core = span_hash(sums, place - blocks * c, place - (blocks + 1) * c + 1 + tokens.window)
-        key = mixed(core ^ mixed(a.key[i] ^ (blocks.astype(np.uint64) * _ODD)))
-        ctx = mixed(span_hash(sums, lo, hi + tokens.window) ^ ((place - lo).astype(np.uint64) * _ODD))
-        parts.append((key, ctx, lo, hi, np.full(len(blocks), place)))
-    cut = [np.concatenate(x) for x in zip(*parts, strict=True)]
-    cold = ~hot
+    cold, at = ~hot, np.flatnonzero(hot)
+    count = a.last[at] - a.first[at] + 1
+    owner = np.repeat(at, count)
+    start = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + a.first[owner]
+    key = mixed(span_hash(prefix_sums(codes), start, start + window) ^ _ODD)
+    ctx = span_hash(prefix_sums(codes, OTHER), start, start + window, OTHER)
+    cut = (key, ctx, start, start, a.place[owner])
     return Anchors(*[np.concatenate([own[cold], new]) for own, new in zip((a.key, a.ctx, a.first, a.last, a.place), cut, strict=True)])
 
 
-def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
-
-
 def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Small batches put together."""
     held, rows = [], 0
@@ -210,42 +202,48 @@ def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held)
 
 
-def _batches(batches: Iterator[pd.DataFrame], tokens: Tokens, bitmap: Bitmap, hot_keys: np.ndarray) -> Iterator[tuple[pd.DataFrame, list, np.ndarray, Anchors]]:
-    """(documents, sources of their content, document by anchor, anchors in the bitmap), some documents at a time."""
+def _batches(batches: Iterator[pd.DataFrame], tokens: Tokens, bitmap: Bitmap, hot_keys: Bitmap) -> Iterator[tuple[pd.DataFrame, list, np.ndarray, Anchors, np.ndarray]]:
+    """(documents, sources of their content, document by anchor, anchors in the bitmap, which are alone), some documents at a time."""
     for whole in _gathered(batches):
         for i in range(0, len(whole), DOCUMENTS):
             batch = whole.iloc[i : i + DOCUMENTS]
             parts, owner, sources = [], [], []
             for text in batch["text"]:
                 codes, source = tokens.codes(text)
-                for a, sums, at in anchors_of(codes, tokens.window, tokens.gram):
+                for a, part, at in anchors_of(codes, tokens.window, tokens.gram):
                     held = bitmap.holds(a.key)
                     if held.any():
                         a = Anchors(*[x[held] for x in (a.key, a.ctx, a.first, a.last, a.place)])
-                        a = _slices(tokens, a, sums, _among(a.key, hot_keys)) if len(hot_keys) else a
-                        parts.append((a.key, a.ctx, a.first + at, a.last + at, a.place + at))
+                        hot = hot_keys.holds(a.key)
+                        cold = len(hot) - int(hot.sum())
+                        a = _alone(a, part, tokens.window, hot)
+                        parts.append((a.key, a.ctx, a.first + at, a.last + at, a.place + at, np.arange(len(a.key)) >= cold))
                         owner.append(len(sources))
                 sources.append(source)
             if parts:
-                yield batch, sources, np.repeat(owner, [len(p[0]) for p in parts]), Anchors(*[np.concatenate(x) for x in zip(*parts, strict=True)])
+                *own, alone = [np.concatenate(x) for x in zip(*parts, strict=True)]
+                yield batch, sources, np.repeat(owner, [len(p[0]) for p in parts]), Anchors(*own), alone
 
 
-def members(docs: DataFrame, tokens: Tokens, bitmap: Bitmap, hot_keys: np.ndarray) -> DataFrame:
+def members(docs: DataFrame, tokens: Tokens, bitmap: Bitmap, hot_keys: Bitmap) -> DataFrame:
     """A row for each anchor in the bitmap: its context, its document and the first window start."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch, _, owner, a in _batches(batches, tokens, bitmap, hot_keys):
+        for batch, _, owner, a, _ in _batches(batches, tokens, bitmap, hot_keys):
             doc, thash = (batch[c].to_numpy(np.int64)[owner] for c in ("doc", "thash"))
             yield pd.DataFrame({"key": a.key.view(np.int64), "ctx": a.ctx.view(np.int64), "doc": doc, "thash": thash, "first": a.first})
 
     return _keyed(docs).mapInPandas(run, MEMBER)
 
 
-def contexts(docs: DataFrame, tokens: Tokens, bitmap: Bitmap, hot_keys: np.ndarray) -> DataFrame:
-    """Once in some documents, each distinct context with its occurrences in them, smallest document and content."""
+def contexts(docs: DataFrame, tokens: Tokens, bitmap: Bitmap, hot_keys: Bitmap) -> DataFrame:
+    """Once in some documents, each distinct context with its occurrences in them, smallest document and content.
+
+    A window that is alone has no content: its two hashes name it.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch, sources, owner, a in _batches(batches, tokens, bitmap, hot_keys):
+        for batch, sources, owner, a, alone in _batches(batches, tokens, bitmap, hot_keys):
             doc = batch["doc"].to_numpy(np.int64)[owner]
             order = np.lexsort((doc, a.ctx, a.key))  # of equal contexts the one of the smallest document comes first
             new = np.ones(len(order), bool)
@@ -255,7 +253,7 @@ def contexts(docs: DataFrame, tokens: Tokens, bitmap: Bitmap, hot_keys: np.ndarr
             yield pd.DataFrame({
                 "key": a.key[one].view(np.int64), "ctx": a.ctx[one].view(np.int64), "n": np.diff(np.append(np.flatnonzero(new), len(order))), "doc": doc[one],
                 "off": (a.place[one] - first).astype(np.int32), "m": (last - first + 1).astype(np.int32),
-                "content": [tokens.content(sources[o], f, e) for o, f, e in zip(owner[one].tolist(), first.tolist(), (last + tokens.window).tolist(), strict=True)],
+                "content": [b"" if x else tokens.content(sources[o], f, e) for o, f, e, x in zip(owner[one].tolist(), first.tolist(), (last + tokens.window).tolist(), alone[one].tolist(), strict=True)],
             })
 
     return _keyed(docs).mapInPandas(run, CONTEXT)
@@ -280,21 +278,38 @@ class Contexts:
         return Contexts(*[x[at] for x in (self.key, self.ctx, self.n, self.doc, self.off, self.m, self.content)])
 
     @classmethod
-    def merged(cls, rows: pd.DataFrame) -> Contexts:
-        """Rows in order of key as contexts in order of (key, ctx), equal ones merged."""
-        key, ctx = rows["key"].to_numpy(np.int64), rows["ctx"].to_numpy(np.int64)
-        order = np.lexsort((ctx, key))
-        key, ctx = key[order], ctx[order]
-        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])]))
-        first = order[new]
-        n, doc = (rows[c].to_numpy(np.int64)[order] for c in ("n", "doc"))
-        return cls(key[new], ctx[new], np.add.reduceat(n, new), np.minimum.reduceat(doc, new), rows["off"].to_numpy(np.int64)[first], rows["m"].to_numpy(np.int64)[first], rows["content"].to_numpy()[first])
+    def of(cls, rows: pd.DataFrame) -> Contexts:
+        """Rows in order of (key, ctx) as contexts, equal ones merged."""
+        numbers = [rows[c].to_numpy(np.int64) for c in ("key", "ctx", "n", "doc", "off", "m")]
+        return cls(*numbers, rows["content"].to_numpy()).merged()
+
+    def merged(self) -> Contexts:
+        new = np.flatnonzero(np.concatenate([[True], (self.key[1:] != self.key[:-1]) | (self.ctx[1:] != self.ctx[:-1])]))
+        once = self.part(new)
+        once.n, once.doc = np.add.reduceat(self.n, new), np.minimum.reduceat(self.doc, new)
+        return once
 
+    def with_more(self, more: Contexts) -> Contexts:
+        """These and those that come after them in order."""
+        return Contexts(*[np.concatenate([getattr(self, c.name), getattr(more, c.name)]) for c in fields(Contexts)]).merged()
 
-def resolved(rows: DataFrame, resolve: Callable[[Contexts], tuple[np.ndarray, list]], partitions: int) -> DataFrame:
-    """(key, ctx, runs) of the contexts for which `resolve`, given whole groups of equal keys, returns runs of numbers."""
+
+def resolved(rows: DataFrame, resolve: Callable[[Contexts], tuple[np.ndarray, list]], partitions: int, width: int, batch_size: int) -> DataFrame:
+    """(key, ctx, runs) of the contexts for which `resolve`, given whole groups of equal keys, returns runs of `width` numbers.
+
+    A window that is alone needs no resolver: its run is its only window, with the smallest document, if it occurs again.
+    """
 
     def verdicts(work: Contexts) -> Iterator[pd.DataFrame]:
+        alone = np.fromiter((not c for c in work.content), bool, len(work))
+        if alone.any():
+            again = work.part(alone & (work.n > 1))
+            if len(again):
+                runs = np.stack([0 * again.n, 0 * again.n, again.doc], axis=1)[:, :width]
+                yield pd.DataFrame({"key": again.key, "ctx": again.ctx, "runs": list(runs)})
+            work = work.part(~alone)
+        if not len(work):
+            return
         edge = np.flatnonzero(np.concatenate([[True], work.key[1:] != work.key[:-1]]))
         twice = np.add.reduceat(work.n, edge) > 1  # a key that the bitmap held by chance has one occurrence
         work = work.part(np.repeat(twice, np.diff(np.append(edge, len(work)))))
@@ -302,8 +317,8 @@ def resolved(rows: DataFrame, resolve: Callable[[Contexts], tuple[np.ndarray, li
             return
         edge = np.flatnonzero(np.concatenate([[True], work.key[1:] != work.key[:-1]]))
         begin = 0
-        while begin < len(edge):  # groups of about BATCH contexts together
-            end = max(int(np.searchsorted(edge, edge[begin] + BATCH, side="right")) - 1, begin + 1)
+        while begin < len(edge):  # groups of about batch_size contexts together
+            end = max(int(np.searchsorted(edge, edge[begin] + batch_size, side="right")) - 1, begin + 1)
             low, high = edge[begin], edge[end] if end < len(edge) else len(work)
             some = work.part(slice(low, high))
             told, runs = resolve(some)
@@ -312,20 +327,19 @@ def resolved(rows: DataFrame, resolve: Callable[[Contexts], tuple[np.ndarray, li
             begin = end
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []  # rows of the last key, which the next batch may go on with
+        held: Contexts | None = None  # of the last keys, which are resolved once there are enough and the next key begins
         for batch in batches:
             if not len(batch):
                 continue
-            key = batch["key"].to_numpy(np.int64)
-            cut = int(np.searchsorted(key, key[-1]))
-            if cut or held and held[0]["key"].iat[0] != key[0]:
-                yield from verdicts(Contexts.merged(pd.concat([*held, batch.iloc[:cut]])))
-                held = []
-            held.append(batch.iloc[cut:])
-        if held:
-            yield from verdicts(Contexts.merged(pd.concat(held)))
-
-    dealt = rows.repartition(partitions, "key").sortWithinPartitions("key")
+            held = Contexts.of(batch) if held is None else held.with_more(Contexts.of(batch))
+            cut = int(np.searchsorted(held.key, held.key[-1]))
+            if cut >= batch_size:
+                yield from verdicts(held.part(slice(0, cut)))
+                held = held.part(slice(cut, None))
+        if held is not None:
+            yield from verdicts(held)
+
+    dealt = rows.repartition(partitions, "key").sortWithinPartitions("key", "ctx")
     return dealt.mapInPandas(run, "key long, ctx long, runs array<long>")
 
 
@@ -341,52 +355,50 @@ def covered(spark: SparkSession, docs: DataFrame, tokens: Tokens, resolve: Calla
 
     names: of the numbers of a run; spans: makes an array of (start, end) from runs, doc and first.
     """
-    bounded_batches(spark)
     keys = materialize(spark, repeated_keys(docs, tokens), "repeated-keys")
-    bitmap = Bitmap(keys, "key")
-    total = keys.agg(F.sum("n")).first()[0] or 0
-    hot_keys = np.sort(np.array([r["key"] for r in keys.where(F.col("n") > max(hot, HOT_SHARE * total)).select("key").collect()], np.int64).view(np.uint64))  # fewer than 1 / HOT_SHARE
+    bitmap, hot_keys = Bitmap(keys, "key"), Bitmap(keys.where(F.col("n") > hot), "key")
+    discard(spark, keys)
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    verdicts = resolved(contexts(docs, tokens, bitmap, hot_keys), resolve, partitions)
+    verdicts = resolved(contexts(docs, tokens, bitmap, hot_keys), resolve, partitions, len(names), tokens.batches * BATCH)
     found = members(docs, tokens, bitmap, hot_keys).join(verdicts, ["key", "ctx"])
     each = found.select("doc", "thash", spans(unflatten(F.col("runs"), names), F.col("doc"), F.col("first")).alias("spans")).where(F.size("spans") > 0)
-    gathered = each.groupBy("doc", "thash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # a set, so that equal rows, of which there may be any number, have their spans once
+    gathered = each.groupBy("doc", "thash").agg(F.flatten(F.collect_set("spans")).alias("spans"))
     gathered = materialize(spark, gathered, "covered")
     return gathered, Bitmap(gathered.select("thash"), "thash")
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("tb_doc", F.coalesce(F.col("doc_id"), F.lit(LAST))).withColumn("tb_thash", F.xxhash64(F.coalesce("text", F.lit(""))))
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, made longer where docs have such columns."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
-def split_by_spans(docs: DataFrame, gathered: DataFrame, bitmap: Bitmap) -> tuple[DataFrame, DataFrame]:
-    """(docs that have no spans, the others with tb_spans). Only texts that the bitmap holds are moved to meet theirs."""
+def split_by_spans(docs: DataFrame, gathered: DataFrame, bitmap: Bitmap) -> tuple[DataFrame, DataFrame, str]:
+    """(docs that have no spans, the others with theirs, the name of that column). Only texts that the bitmap holds are moved to meet theirs."""
 
     @F.pandas_udf("boolean")
     def held(thash: pd.Series) -> pd.Series:
         return pd.Series(bitmap.holds(thash.to_numpy(np.int64)))
 
-    named = _named(docs)
-    spans = gathered.select(F.col("doc").alias("tb_doc"), F.col("thash").alias("tb_thash"), F.col("spans").alias("tb_spans"))
-    met = named.where(held("tb_thash")).join(spans, ["tb_doc", "tb_thash"], "left").select(*docs.columns, "tb_spans")
-    return named.where(~held("tb_thash")).select(*docs.columns), met
-
+    doc, text, spans = free_names(docs, "tb_doc", "tb_thash", "tb_spans")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.select(*own, F.coalesce(F.col("doc_id"), F.lit(LAST)).alias(doc), F.xxhash64(F.coalesce("text", F.lit(""))).alias(text))
+    found = gathered.select(F.col("doc").alias(doc), F.col("thash").alias(text), F.col("spans").alias(spans))
+    met = named.where(held(text)).join(found, [doc, text], "left").select(*own, spans)
+    return named.where(~held(text)).select(*own), met, spans
 
-def finished(docs: DataFrame, gathered: DataFrame, bitmap: Bitmap, finish: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """`finish` of all rows of docs (doc_id, text) and their tb_spans; rows without any are done where they are read."""
-
-    def where_read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            free = batch[~bitmap.holds(batch["tb_thash"].to_numpy(np.int64))]
-            if len(free):
-                yield finish(free.reset_index(drop=True).assign(tb_spans=None))
-
-    def where_met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield finish(batch)
 
-    _, met = split_by_spans(docs, gathered, bitmap)
-    return _named(docs).drop("tb_doc").mapInPandas(where_read, schema).unionByName(met.mapInPandas(where_met, schema))
+def finished(docs: DataFrame, gathered: DataFrame, bitmap: Bitmap, finish: Callable[[list, list], dict], schema: str) -> DataFrame:
+    """`finish` of the texts and spans of all rows of docs (doc_id, text); rows without spans are done where they are read."""
+    free, met, spans = split_by_spans(docs, gathered, bitmap)
+    done = by_row(free.select("doc_id", "text"), lambda texts: finish(texts, [None] * len(texts)), schema)
+    return done.unionByName(by_row(met.select("doc_id", "text", spans), finish, schema))
 
 
 def merged(spans: list, size: int) -> list[tuple[int, int]]:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybar.llm.common import bounded_batches, columns, materialize
+from tallybar.llm.common import by_row, columns, materialize
 from tallybar.llm.components import connected_components
 
 BITS = 3
@@ -77,12 +77,11 @@ def majority(hashed: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """tb_row, doc_id, fp (the 64 bits as a signed long) and id (the same) of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            bits = [majority(gram_hashes(t, shingle)) for t in batch["text"]]
-            yield pd.DataFrame({"tb_row": batch["tb_row"].astype("Int64"), "doc_id": batch["doc_id"].astype("Int64"), "fp": bits, "id": bits})
+    def make(texts: list) -> dict:
+        bits = [majority(gram_hashes(t, shingle)) for t in texts]
+        return {"fp": bits, "id": bits}
 
-    return columns(docs, tb_row="long", doc_id="long", text="string").mapInPandas(run, "tb_row long, doc_id long, fp long, id long")
+    return by_row(columns(docs, tb_row="long", doc_id="long", text="string"), make, "tb_row long, doc_id long, fp long, id long", ("tb_row", "doc_id"))
 
 
 def band_keys(grams: np.ndarray) -> np.ndarray:
@@ -98,18 +97,18 @@ def band_keys(grams: np.ndarray) -> np.ndarray:
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     """tb_row, doc_id, fp, id (a hash of the shingle set), size, grams (the set's sorted hashes) and bands of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                hashed = gram_hashes(text, shingle)
-                grams = np.unique(hashed)
-                own = np.array([xxhash.xxh3_64_intdigest(grams.tobytes())], np.uint64).view(np.int64)
-                out.append((majority(hashed), int(own[0]), len(grams), grams.tobytes(), band_keys(grams)))
-            keys = pd.DataFrame({"tb_row": batch["tb_row"].astype("Int64"), "doc_id": batch["doc_id"].astype("Int64")})
-            yield keys.join(pd.DataFrame(out, columns=["fp", "id", "size", "grams", "bands"], index=batch.index))
+    def make(texts: list) -> dict:
+        out: dict[str, list] = {"fp": [], "id": [], "size": [], "grams": [], "bands": []}
+        for text in texts:
+            hashed = gram_hashes(text, shingle)
+            grams = np.unique(hashed)
+            own = np.array([xxhash.xxh3_64_intdigest(grams.tobytes())], np.uint64).view(np.int64)
+            for name, value in zip(out, (majority(hashed), int(own[0]), len(grams), grams.tobytes(), band_keys(grams)), strict=True):
+                out[name].append(value)
+        return out
 
-    return columns(docs, tb_row="long", doc_id="long", text="string").mapInPandas(run, "tb_row long, doc_id long, fp long, id long, size long, grams binary, bands array<long>")
+    schema = "tb_row long, doc_id long, fp long, id long, size long, grams binary, bands array<long>"
+    return by_row(columns(docs, tb_row="long", doc_id="long", text="string"), make, schema, ("tb_row", "doc_id"))
 
 
 class Tree:
@@ -319,7 +318,6 @@ def grouped(spark: SparkSession, docs: DataFrame, shingle: int, bits: int, simil
     first is the (no_id, doc_id, tb_row) of the row that stands for its component: the smallest doc_id, then the smallest
     tb_row; rows without a doc_id come last.
     """
-    bounded_batches(spark)
     if similarity is None:
         found = materialize(spark, fingerprints(docs, shingle), "simhash")
     else:
