@@ -23,5 +23,8 @@ def build(app: str = "tallybar", **more: str) -> SparkSession:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: in spark.checkpoint.dir, a local one only where that is unset."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/tallybar-checkpoint'}/{name}-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share: in spark.checkpoint.dir, or of this machine where all runs in one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{named or '/tmp/tallybar-checkpoint'}/{name}-{uuid.uuid4().hex}"
