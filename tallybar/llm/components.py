@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybar.llm.common import materialize
+from tallybar.llm.common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,4 +40,5 @@ def connected_components(spark: SparkSession, links: DataFrame) -> DataFrame:
         if found["n"] == 0 or (found["n"], found["s"]) == mark:
             return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
         mark = (found["n"], found["s"])
-        edges = materialize(spark, _small_star(_large_star(edges)), "links")
+        before, edges = edges, materialize(spark, _small_star(_large_star(edges)), "links")
+        discard(spark, before)

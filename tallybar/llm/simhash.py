@@ -30,8 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybar.llm.common import by_row, columns, materialize
+from tallybar.llm.common import by_row, columns, discard, materialize
 from tallybar.llm.components import connected_components
+from tallybar.llm.repeats import Bitmap
 
 BITS = 3
 SEED = 42
@@ -288,12 +289,20 @@ def similar_links(grams: list[np.ndarray], similarity: float) -> list[tuple[int,
 
 def similar(spark: SparkSession, found: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between ids of found: a spanning forest, in each task, of the pairs of sets that are so similar."""
-    sets = found.where("size > 0").groupBy("id").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
-    keyed = materialize(spark, sets.select("id", "size", F.explode("bands").alias("band")), "bands")
+    sets = found.where("size > 0").groupBy("id").agg(F.first("bands").alias("bands"))
+    keyed = materialize(spark, sets.select("id", F.explode("bands").alias("band")), "bands")
     shared = keyed.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least != most")
-    families = connected_components(spark, keyed.join(shared.select("band", "least"), "band").select("least", "id"))
+    families = materialize(spark, connected_components(spark, keyed.join(shared.select("band", "least"), "band").select("least", "id")), "families")
+    discard(spark, keyed)
+    bitmap = Bitmap(families, "node")
+
+    @F.pandas_udf("boolean")
+    def related(ids: pd.Series) -> pd.Series:
+        return pd.Series(bitmap.holds(ids.to_numpy(np.int64)))
+
+    found = found.where(related("id"))  # the sets of texts without a family stay where they are
     sized = families.join(found.groupBy("id").agg(F.first("size").alias("size")), families["node"] == F.col("id")).select("id", "root", "size")
-    sized = materialize(spark, sized, "families")
+    sized = materialize(spark, sized, "family-sizes")
     grams = sized.groupBy("root").agg(F.sum("size").alias("grams"))
     tasks = 1 + (sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // TASK_GRAMS)
     n = F.ceil(F.col("grams") / TASK_GRAMS).cast("int")
