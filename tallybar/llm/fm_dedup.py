@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tallybar.llm import repeats
 from tallybar.llm.common import columns
 
-WINDOW, GRAM = 13, 4
+WINDOW, GRAM, SLICE = 13, 4, 4
 
 
 def _content(words: np.ndarray, start: int, end: int) -> bytes:
@@ -32,7 +32,7 @@ def _content(words: np.ndarray, start: int, end: int) -> bytes:
 
 
 def tokens(window: int = WINDOW) -> repeats.Tokens:
-    return repeats.Tokens(repeats.word_codes, _content, window, min(GRAM, window))
+    return repeats.Tokens(repeats.word_codes, _content, window, min(GRAM, window), SLICE)
 
 
 class WaveletMatrix:

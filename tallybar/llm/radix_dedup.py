@@ -6,8 +6,8 @@ a digit being eight bytes of the text; after each pass those that are alone in t
 anchors is ordered in the same way, read backwards. Two windows with one offset from their anchor are equal if they are
 in one group of both orders, that of the bytes behind the anchor and that of the bytes before it, each at its depth; groups of
 two or more are the repeated windows, and every byte in one of them is removed, judged on the input. So all bytes of a
-window are compared as such; only the windows of keys with more than `hot` occurrences, and contexts that are alike as a
-whole, are told by two hashes of 64 bits.
+window are compared as such; only contexts that are alike as a whole, and windows that go alone, are told
+by two hashes of 64 bits.
 
 Defined results: a null or empty text has no bytes and keeps none; texts shorter than the window stay as they are;
 repeated rows are copies of each other and lose all their windows; an empty table gives no rows.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tallybar.llm import repeats
 from tallybar.llm.common import columns
 
-WINDOW, GRAM = 400, 64
+WINDOW, GRAM, SLICE = 400, 64, 16
 #: Bytes of a digit.
 DIGIT = 8
 #: Windows that are grouped at a time, about, and how many times the usual number of contexts are ordered at a time.
@@ -38,7 +38,7 @@ def _content(raw: bytes, start: int, end: int) -> bytes:
 
 
 def tokens(window: int = WINDOW) -> repeats.Tokens:
-    return repeats.Tokens(repeats.byte_codes, _content, window, min(GRAM, window), BATCHES)
+    return repeats.Tokens(repeats.byte_codes, _content, window, min(GRAM, window), SLICE, BATCHES)
 
 
 def digits(raw: np.ndarray, place: np.ndarray, left: np.ndarray, forward: bool) -> np.ndarray:

@@ -11,9 +11,11 @@ equal anchors at equal places. A text is thereby cut into contexts: an anchor wi
 4. A third pass gives a member row (document, place) for each anchor in the bitmap. Verdicts are joined to the members
    and gathered by document, and the documents concerned meet their intervals.
 
-A key with more than HOT occurrences does not gather in one task: each window of its contexts goes alone, under two hashes
-of its own, and only counts and the smallest document travel. So what a task holds of one key is bounded: up to HOT
-contexts, or one window, whose rows are merged as they stream in.
+A key with more than HOT occurrences does not gather in one task: its contexts are cut into slices of a few windows, dealt
+by the hash of what these windows have in common. Slices within a common passage are alike and merge; one that reaches
+over its end differs from text to text, and where a slice's key has more than HOT distinct contexts, its windows go alone,
+under two hashes of their own, with counts and the smallest document only. So what a task holds of one key is bounded: up to
+HOT contexts, or one window, whose rows are merged as they stream in.
 """
 
 from __future__ import annotations
@@ -99,6 +101,9 @@ class Anchors:
     last: np.ndarray
     place: np.ndarray
 
+    def part(self, at: np.ndarray) -> Anchors:
+        return Anchors(*[getattr(self, f.name)[at] for f in fields(self)])
+
 
 def anchors_of(codes: np.ndarray, window: int, gram: int) -> Iterator[tuple[Anchors, np.ndarray, int]]:
     """Anchors of a text of 64-bit codes with the codes and the offset of their segment; places count from there."""
@@ -121,7 +126,7 @@ class Bitmap:
     """A set of longs that may hold more than it was given; its size is bounded whatever their number."""
 
     def __init__(self, entries: DataFrame, name: str, bounds: tuple[int, int] = MAP_BITS):
-        count = entries.count()
+        self.entries = count = entries.count()
         self.bits = min(bounds[1], max(bounds[0], 1 << (16 * count - 1).bit_length() if count else 0))
         slot = F.pmod(F.col(name), F.lit(self.bits))
         words = entries.select(slot.alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(s % 64))")).alias("b"))
@@ -149,10 +154,20 @@ class Tokens:
     content: Callable[[object, int, int], bytes]
     window: int
     gram: int
+    #: Windows of a slice.
+    slice: int
     #: How many times BATCH contexts a resolver takes at a time.
     batches: int = 1
 
 
+@dataclass(frozen=True)
+class Hot:
+    """Keys whose contexts are cut into slices, and keys of slices whose windows go alone."""
+
+    keys: Bitmap
+    slices: Bitmap
+
+
 MEMBER = "key long, ctx long, doc long, thash long, first long"
 CONTEXT = "key long, ctx long, n long, doc long, off int, m int, content binary"
 
@@ -175,18 +190,40 @@ def repeated_keys(docs: DataFrame, tokens: Tokens) -> DataFrame:
     return docs.select("text").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-def _alone(a: Anchors, codes: np.ndarray, window: int, hot: np.ndarray) -> Anchors:
-    """Hot anchors as single windows, each under two hashes of its own."""
-    if not hot.any():
-        return a
-    cold, at = ~hot, np.flatnonzero(hot)
-    count = a.last[at] - a.first[at] + 1
-    owner = np.repeat(at, count)
+def _sliced(a: Anchors, codes: np.ndarray, tokens: Tokens) -> Anchors:
+    """Anchors cut by blocks of offsets; a slice's key is the hash of what all windows of its block share."""
+    window, width = tokens.window, tokens.slice
+    least, most = (a.place - a.last) // width, (a.place - a.first) // width
+    count = most - least + 1
+    owner = np.repeat(np.arange(len(a.key)), count)
+    block = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + least[owner]
+    place = a.place[owner]
+    first, last = np.maximum(a.first[owner], place - (block + 1) * width + 1), np.minimum(a.last[owner], place - block * width)
+    sums = prefix_sums(codes)
+    core = span_hash(sums, place - block * width, place - (block + 1) * width + 1 + window)
+    key = mixed(core ^ mixed(a.key[owner] ^ (block.astype(np.uint64) * _ODD)))
+    return Anchors(key, mixed(span_hash(sums, first, last + window) ^ ((place - first).astype(np.uint64) * _ODD)), first, last, place)
+
+
+def _alone(a: Anchors, codes: np.ndarray, window: int) -> Anchors:
+    """Anchors as single windows, each under two hashes of its own."""
+    count = a.last - a.first + 1
+    owner = np.repeat(np.arange(len(a.key)), count)
     start = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + a.first[owner]
     key = mixed(span_hash(prefix_sums(codes), start, start + window) ^ _ODD)
-    ctx = span_hash(prefix_sums(codes, OTHER), start, start + window, OTHER)
-    cut = (key, ctx, start, start, a.place[owner])
-    return Anchors(*[np.concatenate([own[cold], new]) for own, new in zip((a.key, a.ctx, a.first, a.last, a.place), cut, strict=True)])
+    return Anchors(key, span_hash(prefix_sums(codes, OTHER), start, start + window, OTHER), start, start, a.place[owner])
+
+
+def _dealt(a: Anchors, codes: np.ndarray, tokens: Tokens, hot: Hot) -> tuple[Anchors, np.ndarray]:
+    """Anchors, those of hot keys cut up, and which of them are windows that go alone."""
+    held = hot.keys.holds(a.key)
+    if not held.any():
+        return a, np.zeros(len(a.key), bool)
+    cut = _sliced(a.part(held), codes, tokens)
+    apart = hot.slices.holds(cut.key)
+    single = _alone(cut.part(apart), codes, tokens.window)
+    every = [a.part(~held), cut.part(~apart), single]
+    return Anchors(*[np.concatenate([getattr(x, f.name) for x in every]) for f in fields(Anchors)]), np.repeat([False, False, True], [len(x.key) for x in every])
 
 
 def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,7 +239,7 @@ def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held)
 
 
-def _batches(batches: Iterator[pd.DataFrame], tokens: Tokens, bitmap: Bitmap, hot_keys: Bitmap) -> Iterator[tuple[pd.DataFrame, list, np.ndarray, Anchors, np.ndarray]]:
+def _batches(batches: Iterator[pd.DataFrame], tokens: Tokens, bitmap: Bitmap, hot: Hot) -> Iterator[tuple[pd.DataFrame, list, np.ndarray, Anchors, np.ndarray]]:
     """(documents, sources of their content, document by anchor, anchors in the bitmap, which are alone), some documents at a time."""
     for whole in _gathered(batches):
         for i in range(0, len(whole), DOCUMENTS):
@@ -213,11 +250,8 @@ def _batches(batches: Iterator[pd.DataFrame], tokens: Tokens, bitmap: Bitmap, ho
                 for a, part, at in anchors_of(codes, tokens.window, tokens.gram):
                     held = bitmap.holds(a.key)
                     if held.any():
-                        a = Anchors(*[x[held] for x in (a.key, a.ctx, a.first, a.last, a.place)])
-                        hot = hot_keys.holds(a.key)
-                        cold = len(hot) - int(hot.sum())
-                        a = _alone(a, part, tokens.window, hot)
-                        parts.append((a.key, a.ctx, a.first + at, a.last + at, a.place + at, np.arange(len(a.key)) >= cold))
+                        a, alone = _dealt(a.part(held), part, tokens, hot)
+                        parts.append((a.key, a.ctx, a.first + at, a.last + at, a.place + at, alone))
                         owner.append(len(sources))
                 sources.append(source)
             if parts:
@@ -225,25 +259,44 @@ def _batches(batches: Iterator[pd.DataFrame], tokens: Tokens, bitmap: Bitmap, ho
                 yield batch, sources, np.repeat(owner, [len(p[0]) for p in parts]), Anchors(*own), alone
 
 
-def members(docs: DataFrame, tokens: Tokens, bitmap: Bitmap, hot_keys: Bitmap) -> DataFrame:
+def hot_slices(docs: DataFrame, tokens: Tokens, hot_keys: Bitmap, hot: int) -> DataFrame:
+    """Keys of slices of hot keys that have more than `hot` distinct contexts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for text in batch["text"]:
+                for a, part, _ in anchors_of(tokens.codes(text)[0], tokens.window, tokens.gram):
+                    held = hot_keys.holds(a.key)
+                    if held.any():
+                        cut = _sliced(a.part(held), part, tokens)
+                        found.append(np.stack([cut.key, cut.ctx], axis=1))
+            if found:
+                pairs = np.unique(np.concatenate(found), axis=0).view(np.int64)
+                yield pd.DataFrame({"key": pairs[:, 0], "ctx": pairs[:, 1]})
+
+    return docs.select("text").mapInPandas(run, "key long, ctx long").distinct().groupBy("key").count().where(F.col("count") > hot).select("key")
+
+
+def members(docs: DataFrame, tokens: Tokens, bitmap: Bitmap, hot: Hot) -> DataFrame:
     """A row for each anchor in the bitmap: its context, its document and the first window start."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch, _, owner, a, _ in _batches(batches, tokens, bitmap, hot_keys):
+        for batch, _, owner, a, _ in _batches(batches, tokens, bitmap, hot):
             doc, thash = (batch[c].to_numpy(np.int64)[owner] for c in ("doc", "thash"))
             yield pd.DataFrame({"key": a.key.view(np.int64), "ctx": a.ctx.view(np.int64), "doc": doc, "thash": thash, "first": a.first})
 
     return _keyed(docs).mapInPandas(run, MEMBER)
 
 
-def contexts(docs: DataFrame, tokens: Tokens, bitmap: Bitmap, hot_keys: Bitmap) -> DataFrame:
+def contexts(docs: DataFrame, tokens: Tokens, bitmap: Bitmap, hot: Hot) -> DataFrame:
     """Once in some documents, each distinct context with its occurrences in them, smallest document and content.
 
     A window that is alone has no content: its two hashes name it.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch, sources, owner, a, alone in _batches(batches, tokens, bitmap, hot_keys):
+        for batch, sources, owner, a, alone in _batches(batches, tokens, bitmap, hot):
             doc = batch["doc"].to_numpy(np.int64)[owner]
             order = np.lexsort((doc, a.ctx, a.key))  # of equal contexts the one of the smallest document comes first
             new = np.ones(len(order), bool)
@@ -357,10 +410,12 @@ def covered(spark: SparkSession, docs: DataFrame, tokens: Tokens, resolve: Calla
     """
     keys = materialize(spark, repeated_keys(docs, tokens), "repeated-keys")
     bitmap, hot_keys = Bitmap(keys, "key"), Bitmap(keys.where(F.col("n") > hot), "key")
+    slices = Bitmap(materialize(spark, hot_slices(docs, tokens, hot_keys, hot), "hot-slices"), "key") if hot_keys.entries else hot_keys
     discard(spark, keys)
+    cut = Hot(hot_keys, slices)
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    verdicts = resolved(contexts(docs, tokens, bitmap, hot_keys), resolve, partitions, len(names), tokens.batches * BATCH)
-    found = members(docs, tokens, bitmap, hot_keys).join(verdicts, ["key", "ctx"])
+    verdicts = resolved(contexts(docs, tokens, bitmap, cut), resolve, partitions, len(names), tokens.batches * BATCH)
+    found = members(docs, tokens, bitmap, cut).join(verdicts, ["key", "ctx"])
     each = found.select("doc", "thash", spans(unflatten(F.col("runs"), names), F.col("doc"), F.col("first")).alias("spans")).where(F.size("spans") > 0)
     # a set, so that equal rows, of which there may be any number, have their spans once
     gathered = each.groupBy("doc", "thash").agg(F.flatten(F.collect_set("spans")).alias("spans"))
