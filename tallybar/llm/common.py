@@ -17,7 +17,7 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 LOCAL_DIR = "/tmp/tallybar-checkpoint"
 BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
 #: Bytes of text that an operator works on at a time, about; Spark bounds what it sends at once by 64 MB.
-PART_BYTES = 1 << 23
+PART_BYTES = 1 << 22
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -47,7 +47,7 @@ _STEPS = np.array([0.002, 0.01, 0.03, 0.06, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6,
 
 class _Hashed(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         at = self[word] = xxhash.xxh3_64_intdigest(word) & ((1 << BITS) - 1)
         return at
@@ -123,8 +123,8 @@ def fit(places: list[np.ndarray], grades: np.ndarray, penalty: float = PENALTY,
     used = np.flatnonzero(np.bincount(flat, minlength=1 << BITS))
     number = np.zeros(1 << BITS, np.int32)
     number[used] = np.arange(len(used))
-    at = number[flat]
-    del flat
+    at, owner = number[flat], np.repeat(np.arange(n, dtype=np.int32), size)
+    del flat, number
     w, raw = np.zeros(len(used)), np.zeros(n_grades - 1)
     tail = np.array([np.clip((grades > k).mean(), 1e-3, 1 - 1e-3) for k in range(n_grades - 1)])
     start = -np.log(tail / (1 - tail))
@@ -150,7 +150,7 @@ def fit(places: list[np.ndarray], grades: np.ndarray, penalty: float = PENALTY,
         for k in range(n_grades - 1):
             d_theta[k] = (slope[i, k + 1] * ((grades == k + 1) / mass - (grades == k) / mass)).sum() / n
         d_raw = np.concatenate([[d_theta.sum()], np.exp(ry[1:]) * np.cumsum(d_theta[::-1])[::-1][1:]])
-        g = np.bincount(at, weights=np.repeat(d_score, size), minlength=len(used))
+        g = np.bincount(at, weights=d_score[owner], minlength=len(used))
         step = scale * rate
         moved = wy - step * g
         new = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0)
@@ -175,7 +175,9 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
         grades = np.array([g for _, g, _ in found], np.int64)
         if len(np.unique(grades)) < 2:
             return
-        model = fit([np.frombuffer(p, np.int32) for _, _, p in found], grades)
+        places = [np.frombuffer(p, np.int32) for _, _, p in found]
+        del found
+        model = fit(places, grades)
         yield pd.DataFrame({"places": [model.places.astype(np.int32).tobytes()], "values": [model.values.tobytes()], "thresholds": [model.thresholds.tobytes()]})
 
     got = once.coalesce(1).mapInPandas(run, "places binary, values binary, thresholds binary").collect()  # one row
