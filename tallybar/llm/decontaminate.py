@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 from tallybar.llm.common import columns, materialize
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same in a text that is not lower-cased yet, and its words.
+RAW_SEPARATORS, RAW_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 10
 MAX_SET = 50_000
@@ -150,9 +151,9 @@ def cut_contaminated(spark: SparkSession, docs: DataFrame, bench: DataFrame, win
     """docs with all columns and rows; hit words go out of text, each with the separators before it, and n_chars counts what is left."""
     found, _ = scan(spark, docs, bench, window, max_set, keep=tuple(docs.columns))
     name = {f.name: F.col(f"kept_{i}") for i, f in enumerate(docs.schema.fields)}
-    pieces = F.regexp_extract_all(name["text"], F.lit(f"{SEPARATORS[:-1]}*{WORD}"), F.lit(0))
+    pieces = F.regexp_extract_all(name["text"], F.lit(RAW_SEPARATORS + RAW_WORD), F.lit(0))
     free = F.filter(pieces, lambda _, i: ~F.exists("hits", lambda h: (h["start"] <= i + 1) & (i + 1 < h["end"])))
-    text = F.concat(F.array_join(free, ""), F.regexp_extract(name["text"], f"{SEPARATORS[:-1]}*\\z", 0))
+    text = F.concat(F.array_join(free, ""), F.regexp_extract(name["text"], RAW_SEPARATORS + r"\z", 0))
     hit = F.col("n_hit") > 0
     name["text"] = F.when(hit, text).otherwise(name["text"])
     if "n_chars" in name:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from tallybar.llm import html_extract
@@ -53,3 +55,72 @@ def test_rows(spark):
     assert got.columns == ["page_id", "url", "text"]
     assert sorted(((r[0] or -1, r[1], r[2]) for r in got.collect()), key=str) == sorted([(1, "u", LONG.strip())] * 2 + [(2, None, ""), (-1, "v", "")], key=str)
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+PROSE = f"<h1>Head</h1><p>{LONG}</p><p>{LONG * 2}</p>"
+WANT = "\n\n".join(["Head", LONG.strip(), (LONG * 2).strip()])
+MENU = "<div>" + "".join(f'<a href="/{i}">Entry {i} of it</a> | ' for i in range(12)) + "</div>"
+
+
+@pytest.mark.parametrize("around", [
+    '<div class="content has-sidebar">%s</div>', '<div class="no-ads">%s</div>', '<div id="skip-target">%s</div>', '<div class="site-content no-sidebar search-enabled">%s</div>',
+    '<div title="a hidden gem">%s</div>', '<p class="share">Share%s', '<ul><li class="ad">Buy</ul>%s', '<p class="share">Share<p hidden>x%s', "<article>%s</article><article><h2><a href=x>Teaser</a></h2><p>short</p></article>",
+    "<article><div>%s</div>" + MENU + "</article>", "<div><section>%s</section></div>" + MENU,
+])
+def test_names_and_densities_that_mislead(around):
+    assert extract_text(page(NAV + around % PROSE)) == WANT
+
+
+def test_noise_in_lists_ends_with_its_item():
+    assert extract_text(page("<article><ul><li class=ad>Buy<li>one</ul><p>two</article>")) == "one\n\ntwo"
+
+
+def by_recursion(node, share):
+    """(density, density sum, characters, tags, linked characters, links) by the definition, from a nested (tag, children)."""
+    tag, items = node
+    below = [by_recursion(x, share) for x in items if not isinstance(x, str)]
+    chars = sum(len("".join(x.split())) for x in items if isinstance(x, str)) + sum(b[2] for b in below)
+    tags = len(below) + sum(b[3] for b in below)
+    linked = chars if tag == "a" else sum(b[4] for b in below)
+    links = sum(b[5] for b in below) + sum(1 for x in items if not isinstance(x, str) and x[0] == "a")
+    return composite(chars, tags, linked, links, share), sum(b[0] for b in below), chars, tags, linked, links
+
+
+def written(node):
+    return f"<{node[0]}>" + "".join(x if isinstance(x, str) else written(x) for x in node[1]) + f"</{node[0]}>"
+
+
+def every(node):
+    return [node, *[y for x in node[1] if not isinstance(x, str) for y in every(x)]]
+
+
+def text_of(node):
+    """Blocks of a nested node as their words."""
+    return [w for x in node[1] for w in (x.split() if isinstance(x, str) else text_of(x))]
+
+
+def test_menus_by_brute_force():
+    """A body of sections, some of them menus without a name: what is left is told by the definition alone."""
+    rng = random.Random(8)
+    dropped = 0
+    for _ in range(60):
+        prose = lambda: ("section", [("p", [LONG * rng.randint(1, 3)]) for _ in range(rng.randint(1, 4))])
+        menu = lambda: ("div", [("a", [f"entry {rng.randint(1, 99)} of it "]) for _ in range(rng.randint(2, 9))] + [LONG[: rng.randint(0, 60)]])
+        body = ("html", [rng.choice((prose, prose, menu))() for _ in range(rng.randint(2, 5))])
+        share = by_recursion(body, 0.0)[4] / max(by_recursion(body, 0.0)[2], 1)
+        told = {id(x): by_recursion(x, share) for x in every(body)}
+        best = max(every(body), key=lambda x: told[id(x)][1])
+        path = [x for x in every(body) if any(y is best for y in every(x))]
+        bound = min(told[id(x)][0] for x in path)
+        menus = [x for p in path for x in p[1] if not isinstance(x, str) and x not in path and x[0] in ("div", "section") and told[id(x)][5] > 1 and 2 * told[id(x)][4] > told[id(x)][2] and told[id(x)][0] < bound]
+        want = [w for x in body[1] if not any(x is m for m in menus) for w in text_of(x)]
+        assert extract_text(written(body)).split() == want
+        dropped += len(menus)
+    assert dropped > 10
+
+
+def test_density_decides(monkeypatch):
+    pages = [page(PROSE.join(("<div>", "</div>")) + MENU), page("<article><div>%s</div>%s</article>" % (PROSE, MENU))]
+    before = [extract_text(x) for x in pages]
+    monkeypatch.setattr(html_extract, "composite", lambda *_: 1.0)
+    assert before == [WANT, WANT] and all(extract_text(x) != b for x, b in zip(pages, before, strict=True))

@@ -235,3 +235,27 @@ def test_decontamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r["contaminated"] for r in decontaminate.report(spark, table(spark, ["a b"]), none).collect()] == [False]
     assert decontaminate.report(spark, table(spark, []), none).count() == 0
+
+
+@pytest.mark.parametrize("max_set", [50_000, 1])
+def test_cutting_hit_words_out(spark, max_set):
+    texts = [None, "", "nothing of it", "(Alpha) beta, GAMMA; delta eps zeta eta theta iota kappa lambda. end!", "x alpha beta gamma delta eps zeta eta theta iota kappa y alpha"]
+    bench = spark.createDataFrame([(None, "alpha beta gamma delta eps zeta eta theta iota kappa")], "item_id long, text string")
+    docs = table(spark, texts)
+    got = {r["doc_id"]: r for r in decontaminate.cut_contaminated(spark, docs, bench, max_set=max_set).collect()}
+    assert [got[i]["text"] for i in range(5)] == [None, "", "nothing of it", " lambda. end!", "x y alpha"]
+    assert got[4]["n_chars"] == 9 and got[2]["n_chars"] == len(texts[2])
+    assert [r["n_items"] for r in sorted(decontaminate.report(spark, docs, bench, max_set=max_set).collect())] == [0, 0, 0, 1, 1]
+    assert decontaminate.cut_contaminated(spark, docs, bench, max_set=max_set).columns == docs.columns
+
+
+def test_ties_of_turn_and_role_go_by_text(spark):
+    rows = [(1, 0, "user", t) for t in ("<a", "<|", "\\b", "[z", None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").select("*", chat_format.text_part(F.col("text")).alias("parts"))
+    (read,) = chat_format.format_turns(turns).select(chat_format.parse_turns(F.col("formatted")).alias("t")).collect()
+    assert [t["text"] for t in read["t"]] == sorted(["<a", "<|", "\\b", "[z", ""])
+
+
+def test_edits_count_characters():
+    (span,) = license_scan.scanner().spans(license_scan.words_of("ünder thé MIT license"))
+    assert (span.label, span.edits, span.start, span.end) == ("mit", 2, 0, 21)

@@ -125,3 +125,34 @@ def test_fm_index_counts(texts, window):
     assert sorted(found.tolist()) == [i for i, g in enumerate(grams) if grams.count(g) > 1]
     for i, a, b in zip(found, low, high, strict=True):
         assert {tuple(flat[s : s + window]) for s in index.order[a:b]} == {grams[i]} and b - a == grams.count(grams[i])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.binary(max_size=30)), min_size=1, max_size=25), st.integers(1, 24), st.booleans())
+def test_radix_order(strings, depth, forward):
+    """Order and shared bytes of strings within their group, against sorting them."""
+    alphabet = [(g, bytes(b % 3 + 97 for b in s)) for g, s in strings]
+    raw = np.frombuffer(b"\0" * 8 + b"".join(s if forward else s[::-1] for _, s in alphabet) + b"\0" * 8, np.uint8)
+    size = np.array([len(s) for _, s in alphabet])
+    place = np.cumsum(size) - size if forward else np.cumsum(size)
+    order, shared = radix_dedup.ordered(np.array([g for g, _ in alphabet]), raw, place, size, depth, forward)
+    cut = [(g, s[:depth].ljust(depth, b"\0")) for g, s in alphabet]
+    assert [cut[i] for i in order] == sorted(cut)
+    for a, b, n in zip(order, order[1:], shared[1:], strict=False):
+        same = next((i for i in range(depth) if cut[a][1][i] != cut[b][1][i]), depth) if cut[a][0] == cut[b][0] else -1
+        assert n == same
+
+
+def test_hot_slices_go_alone(spark):
+    """A passage of many texts: its slices merge, and the one over its end is cut into windows."""
+    passage = " ".join(f"p{i}" for i in range(160))
+    texts = [f"{chr(97 + i) * 9} lead {i * 7919} {passage} tail {i * 104729} {chr(97 + i) * 5}" for i in range(24)]
+    got = {r["doc_id"]: tuple(r)[1:] for r in radix_dedup.report(spark, table(spark, texts), 400, 5).collect()}
+    assert [got[i] for i in range(len(texts))] == bytes_by_loop(texts, 400)
+    got = {r["doc_id"]: tuple(r)[1:] for r in fm_dedup.report(spark, table(spark, texts), hot=5).collect()}
+    assert [got[i] for i in range(len(texts))] == words_by_loop(texts, range(len(texts)), 13)
+
+
+def test_clashing_names_of_helper_columns(spark):
+    docs = spark.createDataFrame([(1, "é" * 250 + " a", 7), (2, "é" * 250 + " b", 8)], "doc_id long, text string, tb_spans int")
+    assert sorted((r["tb_spans"], r["text"]) for r in radix_dedup.without_repeats(spark, docs).collect()) == [(7, "a"), (8, "b")]
