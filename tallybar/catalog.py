@@ -160,9 +160,11 @@ def trade_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(trades(spark, sf_dir))
 
 
-@query()
+#: The footer is read from the file, so the statement names the one of the scale at which results are compared.
+@query("""SELECT CAST(num_rows AS BIGINT) AS num_rows, CAST(num_row_groups AS BIGINT) AS num_row_groups, (SELECT string_agg(column_name, ',') FROM (DESCRIBE events)) AS column_names
+    FROM parquet_file_metadata('/root/testdata/sf0.01/events.parquet')""")
 def parquet_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.parquet_info(spark, f"{sf_dir}/events.parquet")
+    return readers.parquet_info(spark, f"{sf_dir}/events.parquet").drop("columns")
 
 
 # -- panel: days by brand, the price of a unit
@@ -336,6 +338,15 @@ def adf_t_lag0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.adf_t_lag0(series(spark, sf_dir), ("event_type",)), 5)
 
 
+@query(f"""WITH {SERIES}, n AS (SELECT event_type, x, lead(x) OVER (PARTITION BY event_type ORDER BY t) - x AS d FROM series),
+    f AS (SELECT event_type, CAST(regr_count(d, x) AS BIGINT) AS n, regr_slope(d, x) AS b, regr_sxx(d, x) AS sxx, regr_syy(d, x) AS syy, regr_sxy(d, x) AS sxy FROM n GROUP BY 1),
+    s AS (SELECT event_type, n, b / sqrt((syy - b * sxy) / (n - 2) / sxx) AS t FROM f)
+    SELECT event_type, CASE WHEN t <= -3.4336 - 5.999 / n - 29.25 / (n * n) THEN '1%' WHEN t <= -2.8621 - 2.738 / n - 8.36 / (n * n) THEN '5%'
+      WHEN t <= -2.5671 - 1.438 / n - 4.48 / (n * n) THEN '10%' ELSE 'above' END AS bucket FROM s""")
+def adf_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.adf_bucket(series(spark, sf_dir), ("event_type",))
+
+
 @query()
 def adf_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrays = stats.series_arrays(series(spark, sf_dir), ("event_type",))
@@ -377,18 +388,24 @@ def _ortho(left: str, terms: list[str], name: str) -> str:
 
 #: Trace statistic of pairs by projections: ln det is the sum of logarithms of squared lengths of Gram-Schmidt residuals.
 #: f1, f2 are the lagged steps, z1, z2, z3 the lagged levels and the ones, d1, d2 the steps.
-TRACE_PAIRS = f"""p AS (SELECT a.asset_idx AS i, b.asset_idx AS j, a.t, a.px / 1000 AS x, b.px / 1000 AS y FROM clean a JOIN clean b ON a.t = b.t AND a.asset_idx < b.asset_idx),
-    l AS (SELECT i, j, t, x - lag(x) OVER o AS d1, y - lag(y) OVER o AS d2, lag(x) OVER o AS z1, lag(y) OVER o AS z2, lag(x) OVER o - lag(x, 2) OVER o AS f1, lag(y) OVER o - lag(y, 2) OVER o AS f2
-      FROM p WINDOW o AS (PARTITION BY i, j ORDER BY t)),
-    s0 AS (SELECT *, CAST(1.0 AS DOUBLE) AS z3 FROM l WHERE f1 IS NOT NULL),
-    s1 AS (SELECT i, j, t, d1, d2, z1, z2, z3, f1, {_ortho("f2", ["f1"], "f2")} FROM s0 WINDOW g AS (PARTITION BY i, j)),
-    s2 AS (SELECT i, j, t, {_ortho("d1", ["f1", "f2"], "a1")}, {_ortho("d2", ["f1", "f2"], "a2")}, {_ortho("z1", ["f1", "f2"], "z1")}, {_ortho("z2", ["f1", "f2"], "z2")}, {_ortho("z3", ["f1", "f2"], "z3")}
-      FROM s1 WINDOW g AS (PARTITION BY i, j)),
-    s3 AS (SELECT i, j, t, a1, a2, z1, {_ortho("z2", ["z1"], "z2")}, {_ortho("z3", ["z1"], "z3")} FROM s2 WINDOW g AS (PARTITION BY i, j)),
-    s4 AS (SELECT i, j, t, a1, a2, z1, z2, {_ortho("z3", ["z2"], "z3")} FROM s3 WINDOW g AS (PARTITION BY i, j)),
-    s5 AS (SELECT i, j, t, a1, {_ortho("a2", ["a1"], "a2")}, {_ortho("a1", ["z1", "z2", "z3"], "b1")}, {_ortho("a2", ["z1", "z2", "z3"], "b2")} FROM s4 WINDOW g AS (PARTITION BY i, j)),
-    s6 AS (SELECT i, j, a1, a2, b1, {_ortho("b2", ["b1"], "b2")} FROM s5 WINDOW g AS (PARTITION BY i, j)),
-    traces AS (SELECT i, j, count(*) * (ln(sum(a1 * a1)) + ln(sum(a2 * a2)) - ln(sum(b1 * b1)) - ln(sum(b2 * b2))) AS trace FROM s6 GROUP BY i, j)"""
+def _traces(source: str, keys: str = "i, j", prefix: str = "") -> str:
+    g, p = f"PARTITION BY {keys}", prefix
+    return f"""{p}l AS (SELECT {keys}, t, x - lag(x) OVER o AS d1, y - lag(y) OVER o AS d2, lag(x) OVER o AS z1, lag(y) OVER o AS z2, lag(x) OVER o - lag(x, 2) OVER o AS f1, lag(y) OVER o - lag(y, 2) OVER o AS f2
+      FROM {source} WINDOW o AS ({g} ORDER BY t)),
+    {p}s0 AS (SELECT *, CAST(1.0 AS DOUBLE) AS z3 FROM {p}l WHERE f1 IS NOT NULL),
+    {p}s1 AS (SELECT {keys}, t, d1, d2, z1, z2, z3, f1, {_ortho("f2", ["f1"], "f2")} FROM {p}s0 WINDOW g AS ({g})),
+    {p}s2 AS (SELECT {keys}, t, {_ortho("d1", ["f1", "f2"], "a1")}, {_ortho("d2", ["f1", "f2"], "a2")}, {_ortho("z1", ["f1", "f2"], "z1")}, {_ortho("z2", ["f1", "f2"], "z2")}, {_ortho("z3", ["f1", "f2"], "z3")}
+      FROM {p}s1 WINDOW g AS ({g})),
+    {p}s3 AS (SELECT {keys}, t, a1, a2, z1, {_ortho("z2", ["z1"], "z2")}, {_ortho("z3", ["z1"], "z3")} FROM {p}s2 WINDOW g AS ({g})),
+    {p}s4 AS (SELECT {keys}, t, a1, a2, z1, z2, {_ortho("z3", ["z2"], "z3")} FROM {p}s3 WINDOW g AS ({g})),
+    {p}s5 AS (SELECT {keys}, t, a1, z1, z2, z3, {_ortho("a2", ["a1"], "a2")}, {_ortho("a1", ["z1", "z2", "z3"], "b1")}, {_ortho("a2", ["z1", "z2", "z3"], "b2")} FROM {p}s4 WINDOW g AS ({g})),
+    {p}s6 AS (SELECT {keys}, a1, a2, b1, z1, z2, z3, {_ortho("b2", ["b1"], "b2")} FROM {p}s5 WINDOW g AS ({g})),
+    {p}traces AS (SELECT {keys}, count(*) AS n, count(*) * (ln(sum(a1 * a1)) + ln(sum(a2 * a2)) - ln(sum(b1 * b1)) - ln(sum(b2 * b2))) AS trace, {_SHARED} AS shared FROM {p}s6 GROUP BY {keys})"""
+
+
+#: The sum of the eigenvalues: squared correlations of the orthogonal steps with the orthogonal levels.
+_SHARED = " + ".join(f"pow(sum({a} * {z}), 2) / sum({a} * {a}) / sum({z} * {z})" for a in ("a1", "a2") for z in ("z1", "z2", "z3"))
+TRACE_PAIRS = "p AS (SELECT a.asset_idx AS i, b.asset_idx AS j, a.t, a.px / 1000 AS x, b.px / 1000 AS y FROM clean a JOIN clean b ON a.t = b.t AND a.asset_idx < b.asset_idx),\n    " + _traces("p")
 
 
 def _pair_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -414,6 +431,14 @@ def johansen_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pair_tests(spark, sf_dir).select("i", "j", F.round("p_valor", 4).alias("p_valor"))
 
 
+@query(f"""WITH {CLEAN}, {TRACE_PAIRS}, e AS (SELECT *, exp(-trace / n) AS rest FROM traces),
+    two AS (SELECT *, (shared - sqrt(greatest(shared * shared - 4 * (rest - 1 + shared), 0))) / 2 AS least FROM e)
+    SELECT i, j, CAST(CASE WHEN trace <= 15.4943 THEN 0 WHEN -n * ln(1 - least) <= 3.8415 THEN 1 ELSE 2 END AS INTEGER) AS rank, round(-n * ln(1 - least), 2) AS trace1 FROM two""")
+def johansen_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank and second trace statistic of all pairs; two eigenvalues follow from their sum and from the first statistic."""
+    return _pair_tests(spark, sf_dir).select("i", "j", "rank", F.round(F.col("trace_stats")[1], 2).alias("trace1"))
+
+
 @query()
 def johansen_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One test of all assets together, with vectors and critical values."""
@@ -472,6 +497,47 @@ def n_combinations_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.lit(_walk(spark, sf_dir).n_testes_total).cast("long").alias("n_testes_total"))
 
 
+#: Pairs only, over the price panel itself: what SQL can follow up to the stability filter.
+PAIRS = walkforward.Config(passo_dias=STEP, top_n_corr=8, max_ativos=2, min_corr=MIN_CORR, alpha=0.03)
+_FOLD_PAIRS = f"""{FOLDS}, fr AS (SELECT f.fold, c.t - f.start AS t, c.asset_idx, c.px FROM folds f JOIN clean c ON c.t >= f.start AND c.t < f.start + {TRAIN}),
+    fm AS (SELECT fold, t, asset_idx, px, lag(px) OVER (PARTITION BY fold, asset_idx ORDER BY t) AS p0 FROM fr),
+    fc AS (SELECT fold, t, asset_idx, (px - p0) / p0 - avg((px - p0) / p0) OVER (PARTITION BY fold, asset_idx) AS c FROM fm WHERE p0 IS NOT NULL),
+    fs AS (SELECT a.fold, a.asset_idx AS i, b.asset_idx AS j, sum(a.c * b.c) AS s FROM fc a JOIN fc b ON a.fold = b.fold AND a.t = b.t AND a.asset_idx <= b.asset_idx GROUP BY 1, 2, 3),
+    fn AS (SELECT fold, i, greatest(sqrt(s), 1e-15) AS norm FROM fs WHERE i = j),
+    near AS (SELECT s.fold, s.i, s.j FROM fs s JOIN fn x ON x.fold = s.fold AND x.i = s.i JOIN fn y ON y.fold = s.fold AND y.i = s.j WHERE s.i <> s.j AND abs(s.s / x.norm / y.norm) >= {MIN_CORR}),
+    ends AS (SELECT fold, i AS asset_idx FROM near UNION ALL SELECT fold, j FROM near),
+    counts AS (SELECT a.fold, a.asset_idx, count(e.asset_idx) AS cnt FROM (SELECT DISTINCT fold, asset_idx FROM fr) a LEFT JOIN ends e ON e.fold = a.fold AND e.asset_idx = a.asset_idx GROUP BY 1, 2),
+    chosen AS (SELECT fold, asset_idx FROM counts QUALIFY row_number() OVER (PARTITION BY fold ORDER BY cnt DESC, asset_idx) <= {PAIRS.top_n_corr}),
+    kept AS (SELECT r.* FROM fr r JOIN chosen c ON c.fold = r.fold AND c.asset_idx = r.asset_idx),
+    p AS (SELECT a.fold, a.asset_idx AS i, b.asset_idx AS j, a.t, CAST(a.t // {TRAIN // SUBS} AS INTEGER) AS sub, a.px / 1000 AS x, b.px / 1000 AS y FROM kept a JOIN kept b ON a.fold = b.fold AND a.t = b.t AND a.asset_idx < b.asset_idx),
+    {_traces("p", "fold, i, j")}, found AS (SELECT fold, i, j, trace FROM traces WHERE trace > 15.4943)"""
+
+
+def _pair_walk(spark: SparkSession, sf_dir: str) -> walkforward.Result:
+    return walkforward.walk_forward(cleaned(spark, sf_dir), PAIRS, strict=False)
+
+
+@query(f"""WITH {CLEAN}, {_FOLD_PAIRS}, parts AS (SELECT * FROM p WHERE sub < {SUBS}), {_traces("parts", "fold, i, j, sub", "q")},
+    rates AS (SELECT fold, i, j, avg(CASE WHEN trace > 15.4943 THEN 1.0 ELSE 0.0 END) AS rate FROM qtraces GROUP BY 1, 2, 3)
+    SELECT f.fold, f.i, f.j, round(f.trace / 15.4943, 3) AS score, round(r.rate, 6) AS estabilidade FROM found f JOIN rates r ON r.fold = f.fold AND r.i = f.i AND r.j = f.j""")
+def stability_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fold's pairs of rank above zero with the share of sub-windows in which they are so too."""
+    screened = _pair_walk(spark, sf_dir).screened
+    return screened.select("fold", F.col("assets")[0].alias("i"), F.col("assets")[1].alias("j"), F.round("score_johansen", 3).alias("score"), F.round("estabilidade", 6).alias("estabilidade"))
+
+
+@query(f"""WITH {CLEAN}, {_FOLD_PAIRS},
+    tests AS (SELECT fold, i, j, CASE WHEN trace >= 19.9349 THEN 0.005 ELSE 0.05 - 0.04 * (trace - 15.4943) / (19.9349 - 15.4943) END AS pv FROM found),
+    r AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY pv, i, j) AS k, count(*) OVER (PARTITION BY fold) AS m FROM tests),
+    lasts AS (SELECT *, max(CASE WHEN pv <= CAST(k AS DOUBLE) / m * {PAIRS.alpha} THEN k END) OVER (PARTITION BY fold) AS last FROM r),
+    n AS (SELECT fold, count(*) AS found, sum(CASE WHEN k <= last THEN 1 ELSE 0 END) AS bh FROM lasts GROUP BY 1)
+    SELECT f.fold, CAST((SELECT count(DISTINCT asset_idx) FROM clean) AS BIGINT) AS ativos_inicial, CAST((SELECT count(*) FROM chosen c WHERE c.fold = f.fold) AS BIGINT) AS ativos_pos_corr,
+      CAST(coalesce(n.found, 0) AS BIGINT) AS pares_johansen, CAST(coalesce(n.bh, 0) AS BIGINT) AS pares_pos_bh FROM folds f LEFT JOIN n ON n.fold = f.fold""")
+def walk_forward_funnel_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The funnel of pairs, but for its last count, which needs hedge vectors."""
+    return _pair_walk(spark, sf_dir).funnel.drop("pares_final")
+
+
 DETAIL = """detail AS (SELECT event_type || ',' || CAST(user_id % 3 AS VARCHAR) AS ativos, CAST(2 AS INTEGER) AS n_ativos, value AS half_life, value / 500 AS adf_pvalor, (value % 100) / 100 AS hurst,
     value / 300 AS variance_ratio, (value % 10) / 10 AS estabilidade, value / 50 AS score_johansen FROM events)"""
 _AGG = {

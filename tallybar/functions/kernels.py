@@ -260,27 +260,30 @@ def half_life(series: np.ndarray) -> float:
 
 
 def hurst(series: np.ndarray, max_lag: int = 100) -> float:
-    s = np.asarray(series, float)
-    n = len(s)
+    return float(hursts(np.asarray(series, float)[None, :], max_lag)[0])
+
+
+def hursts(series: np.ndarray, max_lag: int = 100) -> np.ndarray:
+    """The exponent of each row: the slope of ln(R/S) on ln(lag) over blocks of so many values."""
+    count, n = series.shape
     if n < 20:
-        return 0.5
-    xs, ys = [], []
-    for lag in range(2, min(max_lag, n // 2) + 1):
-        parts = s[: n // lag * lag].reshape(-1, lag)
-        centred = parts - parts.mean(1, keepdims=True)
-        walk = np.cumsum(centred, axis=1)
-        deviation = np.sqrt((centred**2).mean(1))
+        return np.full(count, 0.5)
+    lags = np.arange(2, min(max_lag, n // 2) + 1)
+    means = np.zeros((count, len(lags)))
+    for k, lag in enumerate(lags.tolist()):
+        parts = series[:, : n // lag * lag].reshape(count, -1, lag)
+        centred = parts - parts.mean(2, keepdims=True)
+        walk = np.cumsum(centred, axis=2)
+        deviation = np.sqrt((centred**2).mean(2))
         good = deviation > 1e-12
-        if good.any():
-            mean = float(((walk.max(1) - walk.min(1))[good] / deviation[good]).mean())
-            if mean > 0:
-                xs.append(math.log(lag))
-                ys.append(math.log(mean))
-    if len(xs) < 3:
-        return 0.5
-    x, y = np.array(xs), np.array(ys)
-    below = len(x) * (x @ x) - x.sum() ** 2
-    return 0.5 if abs(below) < 1e-12 else float(np.clip((len(x) * (x @ y) - x.sum() * y.sum()) / below, 0.0, 1.0))
+        ratio = np.where(good, (walk.max(2) - walk.min(2)) / np.where(good, deviation, 1.0), 0.0)
+        means[:, k] = ratio.sum(1) / np.maximum(good.sum(1), 1)
+    used = means > 0
+    x, y = np.where(used, np.log(lags), 0.0), np.log(np.where(used, means, 1.0))
+    m, sx, sy = used.sum(1), x.sum(1), y.sum(1)
+    below = m * (x * x).sum(1) - sx**2
+    told = (m >= 3) & (np.abs(below) >= 1e-12)
+    return np.where(told, np.clip((m * (x * y).sum(1) - sx * sy) / np.where(told, below, 1.0), 0.0, 1.0), 0.5)
 
 
 def variance_ratio(series: np.ndarray, lag: int = 10) -> float:

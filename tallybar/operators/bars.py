@@ -22,35 +22,32 @@ CHUNK = 1_000_000
 FIELDS = names(BAR)
 
 
-def ohlcv() -> list[Column]:
-    return [
-        F.min_by("time", "seq").alias("timestamp"), F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
-        F.max_by("price", "seq").alias("close"), F.sum("qty").alias("volume"), F.sum("quote").alias("dollar_volume"), F.count(F.lit(1)).alias("trade_count"),
-    ]
+def extremes() -> list[Column]:
+    """high and low without regard to NaN prices; of nothing but those they are infinite."""
+    real = F.nanvl("price", F.lit(None).cast("double"))
+    return [F.coalesce(F.max(real), F.lit(-math.inf)).alias("high"), F.coalesce(F.min(real), F.lit(math.inf)).alias("low")]
 
 
-def with_window(trades: DataFrame, length: int, by: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
-    """Adds wid, the number of the window whose bar a trade joins: the largest floor(time / length) so far.
+def time_bars(trades: DataFrame, interval: str, by: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
+    """Bars of epoch-aligned windows; empty windows give none, the last open bar is given.
 
-    A late trade thus joins the open bar. The running maximum has two levels, over chunks and within them; only one row
-    for each chunk meets in a task.
+    A late trade joins the open bar: a trade's window is the largest floor(time / length) so far. Within a chunk of an
+    instrument this is a running maximum, by which the chunk's trades become parts of bars where they are; only these
+    meet over the chunks, where the running maximum goes on and parts of one bar become one.
     """
-    own = F.floor(F.col("time") / F.lit(length))
-    cut = trades.withColumn("tb_own", own).withColumn("tb_chunk", F.floor(F.col("seq") / F.lit(chunk)))
-    tops = cut.groupBy(*by, "tb_chunk").agg(F.max("tb_own").alias("tb_top"))
-    before = F.max("tb_top").over(W.partitionBy(*by).orderBy("tb_chunk").rowsBetween(W.unboundedPreceding, -1))
-    tops = tops.select(*[F.col(b).alias(f"tb_{b}") for b in by], F.col("tb_chunk").alias("tb_c"), before.alias("tb_before"))
-    on = F.col("tb_chunk") == F.col("tb_c")
-    for b in by:
-        on = on & F.col(b).eqNullSafe(F.col(f"tb_{b}"))
-    running = F.max("tb_own").over(W.partitionBy(*by, "tb_chunk").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
-    joined = cut.withColumn("tb_run", running).join(tops, on)
-    return joined.withColumn("wid", F.greatest("tb_run", "tb_before")).drop("tb_own", "tb_chunk", "tb_run", "tb_c", "tb_before", *[f"tb_{b}" for b in by])
-
-
-def time_bars(trades: DataFrame, interval: str, by: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
-    """Bars of epoch-aligned windows; empty windows give none, the last open bar is given."""
-    return with_window(trades, parse_interval(interval), by, chunk).groupBy(*by, "wid").agg(*ohlcv()).select(*by, *FIELDS)
+    own = F.floor(F.col("time") / F.lit(parse_interval(interval)))
+    running = F.max(own).over(W.partitionBy(*by, "tb_chunk").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
+    cut = trades.withColumn("tb_chunk", F.floor(F.col("seq") / F.lit(chunk))).withColumn("tb_run", running)
+    parts = cut.groupBy(*by, "tb_chunk", "tb_run").agg(
+        F.min("seq").alias("tb_first"), F.max("seq").alias("tb_last"), F.min_by("time", "seq").alias("timestamp"), F.min_by("price", "seq").alias("open"), *extremes(),
+        F.max_by("price", "seq").alias("close"), F.sum("qty").alias("volume"), F.sum("quote").alias("dollar_volume"), F.count(F.lit(1)).alias("trade_count"),
+    )
+    window = F.max("tb_run").over(W.partitionBy(*by).orderBy("tb_chunk", "tb_run").rowsBetween(W.unboundedPreceding, 0))
+    whole = parts.withColumn("tb_window", window).groupBy(*by, "tb_window").agg(
+        F.min_by("timestamp", "tb_first").alias("timestamp"), F.min_by("open", "tb_first").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max_by("close", "tb_last").alias("close"), F.sum("volume").alias("volume"), F.sum("dollar_volume").alias("dollar_volume"), F.sum("trade_count").alias("trade_count"),
+    )
+    return whole.select(*by, *FIELDS)
 
 
 class Fold:
@@ -78,7 +75,7 @@ class Fold:
         seen = self.open or [int(time[0]), float(price[0]), -math.inf, math.inf, 0.0, 0.0, 0.0, 0, 0.0]
         sum_of = lambda start, x: float(np.cumsum(np.concatenate([[start], x]))[-1])
         self.open = [
-            seen[0], seen[1], max(seen[2], float(price.max())), min(seen[3], float(price.min())), float(price[-1]), sum_of(seen[5], qty), sum_of(seen[6], quote),
+            seen[0], seen[1], max(seen[2], float(np.fmax.reduce(price, initial=-math.inf))), min(seen[3], float(np.fmin.reduce(price, initial=math.inf))), float(price[-1]), sum_of(seen[5], qty), sum_of(seen[6], quote),
             seen[7] + len(time), counted,
         ]
 

@@ -4,44 +4,65 @@ from __future__ import annotations
 
 from math import comb
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallybar.operators.panel import pct_returns
 
+#: Rows of a panel whose products are taken at once.
+ROWS = 512
 
-def correlation_counts(panel: DataFrame, min_corr: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """For each asset, with how many others its returns correlate at |r| >= min_corr.
 
-    Rows of one t are gathered into an array (its length is the number of assets), from which the products of pairs come
-    without a join; sums are pre-aggregated.
+def _products(panel: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(by, i, n, s, g): each asset's sum of returns over n rows and its row of the matrix of products, in order of assets.
+
+    Blocks of rows give partial matrices, which are added up row by row; nothing is emitted for a pair and a time.
     """
-    returns = pct_returns(panel, by)
-    centred = returns.withColumn("c", F.col("ret") - F.avg("ret").over(W.partitionBy(*by, "asset_idx")))
-    rows = centred.groupBy(*by, "t").agg(F.sort_array(F.collect_list(F.struct("asset_idx", "c"))).alias("v"))
-    pairs = F.flatten(F.transform("v", lambda a: F.transform(F.filter("v", lambda b: b["asset_idx"] >= a["asset_idx"]), lambda b: F.struct(a["asset_idx"].alias("i"), b["asset_idx"].alias("j"), (a["c"] * b["c"]).alias("p")))))
-    sums = rows.select(*by, F.explode(pairs).alias("x")).groupBy(*by, "x.i", "x.j").agg(F.sum("x.p").alias("s"))
-    norm = sums.where("i = j").select(*[F.col(b).alias(f"n_{b}") for b in by], F.col("i").alias("n"), F.greatest(F.sqrt("s"), F.lit(1e-15)).alias("norm"))
-
-    def same(left: str) -> F.Column:
-        on = F.col(left) == F.col("n")
-        for b in by:
-            on = on & (F.col(b) == F.col(f"n_{b}"))
-        return on
+    kinds = panel.schema
+    keys = [f"{b} {kinds[b].dataType.simpleString()}" for b in by]
+
+    def partial(block: pd.DataFrame) -> pd.DataFrame:
+        assets, column = np.unique(block["asset_idx"].to_numpy(), return_inverse=True)
+        times, row = np.unique(block["t"].to_numpy(), return_inverse=True)
+        returns = np.zeros((len(times), len(assets)))
+        returns[row, column] = block["ret"].to_numpy()
+        out = pd.DataFrame({"i": assets, "n": len(times), "s": returns.sum(0), "g": list(returns.T @ returns)})
+        for k in reversed(by):
+            out.insert(0, k, block[k].iloc[0])
+        return out
+
+    returns = pct_returns(panel, by).select(*by, "t", "asset_idx", "ret", F.floor(F.col("t") / ROWS).alias("tb_block"))
+    parts = returns.groupBy(*by, "tb_block").applyInPandas(partial, ", ".join([*keys, "i int", "n long", "s double", "g array<double>"]))
+    added = F.reduce(F.collect_list("g"), F.transform(F.first("g"), lambda _: F.lit(0.0)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    return parts.groupBy(*by, "i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), added.alias("g"))
+
 
-    drop = ("n", *[f"n_{b}" for b in by])
-    with_i = sums.where("i != j").join(norm, same("i")).drop(*drop).withColumnRenamed("norm", "ni")
-    scaled = with_i.join(norm, same("j")).drop(*drop).withColumn("r", F.col("s") / F.col("ni") / F.col("norm"))
-    near = scaled.where(F.abs("r") >= min_corr).select(*by, F.explode(F.array("i", "j")).alias("asset_idx")).groupBy(*by, "asset_idx").agg(F.count(F.lit(1)).alias("cnt"))
-    every = panel.select(*by, "asset_idx").distinct()
-    return every.join(near, [*by, "asset_idx"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)).cast("long"))
+def _counted(panel: DataFrame, min_corr: float, by: tuple[str, ...]) -> DataFrame:
+    """correlation_counts, with the number of returns."""
+    own = W.partitionBy(*by)
+    sums = _products(panel, by).withColumn("tb_at", (F.row_number().over(own.orderBy("i")) - 1).cast("int"))
+    scaled = sums.withColumn("norm", F.greatest(F.sqrt(F.greatest(F.get("g", "tb_at") - F.col("s") * F.col("s") / F.col("n"), F.lit(0.0))), F.lit(1e-15)))
+    every = scaled.withColumn("all", F.sort_array(F.collect_list(F.struct("i", "s", "norm")).over(own)))
+    near = F.transform("all", lambda x, j: (x["i"] != F.col("i")) & F.coalesce(F.nanvl(F.abs((F.get("g", j) - F.col("s") * x["s"] / F.col("n")) / F.col("norm") / x["norm"]), F.lit(0.0)) >= min_corr, F.lit(False)))
+    found = every.select(*by, F.col("i").alias("asset_idx"), F.size(F.filter(near, lambda x: x)).cast("long").alias("cnt"), "n")
+    return panel.select(*by, "asset_idx").distinct().join(found, [*by, "asset_idx"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0).cast("long")))
+
+
+def correlation_counts(panel: DataFrame, min_corr: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """For each asset, with how many others its returns correlate at |r| >= min_corr. The panel must be dense."""
+    return _counted(panel, min_corr, by).drop("n")
 
 
 def correlation_prefilter(panel: DataFrame, min_corr: float, top_n: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """The top_n assets by count, ties by lower index. The bound only ranks: assets without any such correlation stay in."""
-    ranked = correlation_counts(panel, min_corr, by).withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.col("cnt").desc(), "asset_idx")))
-    return ranked.where(F.col("rank") <= top_n).drop("rank")
+    """The top_n assets by count, ties by lower index. The bound only ranks: assets without any such correlation stay in.
+
+    Where there are fewer than three rows, nothing can be ranked and all assets stay.
+    """
+    ranked = _counted(panel, min_corr, by).withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.col("cnt").desc(), "asset_idx")))
+    return ranked.where((F.col("rank") <= top_n) | (F.coalesce("n", F.lit(0)) < 2)).drop("rank", "n")
 
 
 def combinations(selected: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:

@@ -26,6 +26,8 @@ from tallybar.schema import PAIR, names
 LOG = logging.getLogger(__name__)
 #: Sets of assets that a task tests for one packed window.
 CHUNK = 2_048
+#: Consecutive sets, of which those that are left are measured together.
+LOT = 512
 MIN_ROWS = 60
 
 
@@ -65,6 +67,12 @@ class Result:
     screened: DataFrame
     n_folds: int
     n_testes_total: int
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Free what is kept for detail, funnel and summary, once they have been read."""
+        for frame in self.held:
+            frame.unpersist()
 
 
 def pack(rows: DataFrame, selected: DataFrame) -> DataFrame:
@@ -97,7 +105,7 @@ def chunks(packed: DataFrame, cfg: Config) -> DataFrame:
 
 
 def screen(packed: DataFrame, cfg: Config) -> DataFrame:
-    """(fold, k, combo_id, places, p_valor, score_johansen, estabilidade) of the sets whose rank is above zero."""
+    """(fold, k, combo_id, places, assets, p_valor, score_johansen, estabilidade) of the sets whose rank is above zero."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -116,36 +124,41 @@ def screen(packed: DataFrame, cfg: Config) -> DataFrame:
                         part = kernels.Moments(data[i * size : (i + 1) * size], cfg.det_order, cfg.k_ar_diff)
                         passed += np.nan_to_num(part.trace(sets[found])) > crit[1]
                 out += [
-                    (fold, k, low + int(i), sets[i].tolist(), kernels.trace_p_value(trace[i], crit), trace[i] / crit[1], p / cfg.n_sub_janelas)
+                    (fold, k, low + int(i), sets[i].tolist(), [assets[x] for x in sets[i]], kernels.trace_p_value(trace[i], crit), trace[i] / crit[1], p / cfg.n_sub_janelas)
                     for i, p in zip(found, passed, strict=True)
                 ]
-            yield pd.DataFrame(out, columns=["fold", "k", "combo_id", "places", "p_valor", "score_johansen", "estabilidade"])
+            yield pd.DataFrame(out, columns=["fold", "k", "combo_id", "places", "assets", "p_valor", "score_johansen", "estabilidade"])
 
-    return chunks(packed, cfg).mapInPandas(run, "fold long, k int, combo_id long, places array<int>, p_valor double, score_johansen double, estabilidade double")
+    return chunks(packed, cfg).mapInPandas(run, "fold long, k int, combo_id long, places array<int>, assets array<int>, p_valor double, score_johansen double, estabilidade double")
 
 
 def measure(stable: DataFrame, packed: DataFrame, cfg: Config) -> DataFrame:
-    """Hedge vector and spread statistics of the sets that are left; sets without a finite half-life above zero go."""
+    """Hedge vector and spread statistics of the sets that are left; sets without a finite half-life above zero go.
+
+    Sets of one fold go together in lots, so that the fold's window travels once for each lot.
+    """
     schema = f"{PAIR}, combo_id long"
+    parts = ("combo_id", "places", "score_johansen", "p_valor", "estabilidade")
+    lots = stable.groupBy("fold", "k", F.floor(F.col("combo_id") / LOT).alias("lot")).agg(F.collect_list(F.struct(*parts)).alias("sets"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
             for r in batch.itertuples(index=False):
-                data = matrix(r.flat, len(r.names))[:, r.places]
-                result = kernels.johansen(data, cfg.det_order, cfg.k_ar_diff) if len(data) >= MIN_ROWS else None
-                if result is None:
-                    continue
-                vector = kernels.hedge_vector(result, len(r.places))
-                spread = data @ vector
-                life = kernels.half_life(spread)
-                if life <= 0 or math.isinf(life):
-                    continue
-                assets = [r.names[i] for i in r.places]
-                out.append((r.fold, assets, len(assets), vector, r.score_johansen, r.p_valor, r.estabilidade, life, kernels.adf_p_value(spread), kernels.hurst(spread), kernels.variance_ratio(spread), r.combo_id))
-            yield pd.DataFrame(out, columns=names(schema))
-
-    met = stable.join(packed.select("fold", "names", "flat"), "fold").repartition("fold", "combo_id", "k")
+                data, left, spreads = matrix(r.flat, len(r.names)), [], []
+                for combo, places, score, p, share in zip(r.combo_id, r.places, r.score_johansen, r.p_valor, r.estabilidade, strict=True):
+                    result = kernels.johansen(data[:, places], cfg.det_order, cfg.k_ar_diff) if len(data) >= MIN_ROWS else None
+                    if result is None:
+                        continue
+                    vector = kernels.hedge_vector(result, len(places))
+                    spread = data[:, places] @ vector
+                    life = kernels.half_life(spread)
+                    if not (life <= 0 or math.isinf(life)):
+                        left.append((r.fold, [r.names[i] for i in places], len(places), vector, score, p, share, life, kernels.adf_p_value(spread), kernels.variance_ratio(spread), combo))
+                        spreads.append(spread)
+                rough = np.concatenate([kernels.hursts(np.array(spreads[i : i + 32])) for i in range(0, len(spreads), 32)]) if spreads else []
+                yield pd.DataFrame([(*x[:9], h, *x[9:]) for x, h in zip(left, rough, strict=True)], columns=names(schema))
+
+    met = lots.select("fold", "k", "lot", *[F.col(f"sets.{c}").alias(c) for c in parts]).join(packed.select("fold", "names", "flat"), "fold").repartition("fold", "k", "lot")
     return met.mapInPandas(run, schema).withColumn("vetor_coint", F.transform("vetor_coint", lambda v: F.round(v, 6)))
 
 
@@ -177,4 +190,4 @@ def walk_forward(prices: DataFrame, cfg: Config | None = None, max_null_fraction
     funnel = funnel.select("fold", F.lit(n_assets).cast("long").alias("ativos_inicial"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("ativos_pos_corr", "pares_johansen", "pares_pos_bh", "pares_final")]).orderBy("fold")
     left = [r["ativos_pos_corr"] for r in funnel.select("ativos_pos_corr").collect()]  # one number a fold
     detail = measured.orderBy("fold", "n_ativos", "combo_id").drop("combo_id")
-    return Result(detail, funnel, summarize(measured.drop("combo_id")), screened, len(left), select.n_combinations(left, cfg.min_ativos, cfg.max_ativos))
+    return Result(detail, funnel, summarize(measured.drop("combo_id")), screened, len(left), select.n_combinations(left, cfg.min_ativos, cfg.max_ativos), (cleaned, packed, screened, measured))

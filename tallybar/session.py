@@ -10,6 +10,7 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
+    "spark.sql.legacy.parquet.nanosAsLong": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +16,13 @@ NUMBER = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|inf|infinity|nan)
 
 
 def millis(df: DataFrame, name: str) -> Column:
-    """A time column as milliseconds: longs are taken as such, timestamps with or without zone are converted."""
+    """A time column as milliseconds: longs are taken as such, timestamps with or without zone are converted; nulls are errors."""
     kind = df.schema[name].dataType
+    held = F.when(F.col(name).isNull(), F.raise_error(F.lit(f"null in {name}"))).otherwise(F.col(name))
     if isinstance(kind, T.LongType):
-        return F.col(name)
+        return held
     if isinstance(kind, T.TimestampNTZType | T.TimestampType):
-        return F.unix_millis(F.col(name).cast("timestamp"))
+        return F.unix_millis(held.cast("timestamp"))
     raise TypeError(f"time column {name} has type {kind.simpleString()}; a long or a timestamp is needed")
 
 
@@ -36,14 +38,48 @@ def as_trades(df: DataFrame, seq: str, time: str = "DateTime", price: str = "Pri
     return df.select(*by, F.col(seq).cast("long").alias("seq"), millis(df, time).alias("time"), p.alias("price"), q.alias("qty"), (p * q).alias("quote"))
 
 
-def read_trades(spark: SparkSession, path: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Trades of a Parquet file or folder in file order: (file, row) is the order, packed into one long."""
+NANOS = "spark.sql.legacy.parquet.nanosAsLong"
+
+
+def read_trades(spark: SparkSession, path: str, by: tuple[str, ...] = (), time: str = "DateTime") -> DataFrame:
+    """Trades of a Parquet file or folder in file order: (file, row) is the order, packed into one long.
+
+    Spark reads times in nanoseconds only as longs, in sessions with spark.sql.legacy.parquet.nanosAsLong, as `build`
+    makes them; the footer of a file tells them from longs that are milliseconds.
+    """
     df = spark.read.parquet(path).select("*", F.col("_metadata.row_index").alias("tb_row"), F.col("_metadata.file_path").alias("tb_file"))
     files = sorted(df.inputFiles())
+    if time in df.columns and isinstance(df.schema[time].dataType, T.LongType) and spark.conf.get(NANOS) == "true" and files:
+        if column_type(spark, files[0], time).startswith("timestamp[ns"):
+            df = df.withColumn(time, F.expr(f"`{time}` div 1000000"))
     if len(files) <= 1:
-        return as_trades(df, "tb_row", by=by)
+        return as_trades(df, "tb_row", time, by=by)
     number = F.element_at(F.create_map(*[F.lit(x) for i, f in enumerate(files) for x in (f, i)]), F.col("tb_file"))
-    return as_trades(df.withColumn("tb_seq", F.shiftleft(number.cast("long"), 40) + F.col("tb_row")), "tb_seq", by=by)
+    return as_trades(df.withColumn("tb_seq", F.shiftleft(number.cast("long"), 40) + F.col("tb_row")), "tb_seq", time, by=by)
+
+
+def footers(spark: SparkSession, files: list[str], read: Callable, schema: str) -> DataFrame:
+    """A row of what `read` takes from each file's footer, where the tasks run and through the paths that Spark lists."""
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.fs as pafs
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            out = []
+            for uri in batch["uri"]:
+                system, at = pafs.FileSystem.from_uri(uri)
+                with system.open_input_file(at) as f:
+                    out.append(read(pq.ParquetFile(f)))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return spark.createDataFrame([(f,) for f in files], "uri string").mapInPandas(run, schema)
+
+
+def column_type(spark: SparkSession, file: str, name: str) -> str:
+    """The Arrow type of a column, by the footer of one file."""
+    return footers(spark, [file], lambda f: (str(f.schema_arrow.field(name).type),), "kind string").first()["kind"]
 
 
 def number(cell: Column) -> Column:
@@ -79,28 +115,8 @@ def read_series(spark: SparkSession, path: str, exclude: tuple[str, ...] = ()) -
 
 
 def parquet_info(spark: SparkSession, path: str) -> DataFrame:
-    """num_rows, num_row_groups and column_names of a Parquet file or folder, from the footers alone.
-
-    Footers are read where the tasks run, through the path that Spark lists.
-    """
-    import pandas as pd
-
+    """num_rows, num_row_groups, column_names (joined by commas) and columns of a Parquet file or folder, from the footers alone."""
     df = spark.read.parquet(path)
-    files = df.inputFiles()
-    names = df.columns
-
-    def footers(batches):
-        import pyarrow.fs as pafs
-        import pyarrow.parquet as pq
-
-        for batch in batches:
-            out = []
-            for uri in batch["uri"]:
-                system, at = pafs.FileSystem.from_uri(uri)
-                with system.open_input_file(at) as f:
-                    meta = pq.ParquetFile(f).metadata
-                    out.append((meta.num_rows, meta.num_row_groups))
-            yield pd.DataFrame(out, columns=["r", "g"])
-
-    found = spark.createDataFrame([(f,) for f in files], "uri string").mapInPandas(footers, "r long, g long")
-    return found.agg(F.sum("r").alias("num_rows"), F.sum("g").alias("num_row_groups")).withColumn("column_names", F.lit(",".join(names)))
+    found = footers(spark, list(df.inputFiles()), lambda f: (f.metadata.num_rows, f.metadata.num_row_groups), "r long, g long")
+    sums = found.agg(F.sum("r").alias("num_rows"), F.sum("g").alias("num_row_groups"))
+    return sums.withColumn("column_names", F.lit(",".join(df.columns))).withColumn("columns", F.array(*[F.lit(c) for c in df.columns]))

@@ -181,3 +181,34 @@ def test_streams_give_the_closed_bars(spark, tmp_path, kind):
     closed = [b for b in want if b != still_open[b[0]]]
     assert len(closed) <= len(got) <= len(want)
     same(got, [*closed, *[b for b in still_open.values() if any(g[:2] == b[:2] for g in got)]])
+
+
+def test_nan_prices_and_null_times(spark, tmp_path):
+    nan = math.nan
+    trades = spark.createDataFrame([("a", i, 1000 * i, p, 1.0, p) for i, p in enumerate([nan, 2.0, nan, 3.0, nan])] + [("b", 0, 0, nan, 1.0, nan)], SCHEMA)
+    for made in (bars.time_bars(trades, "1h", ("k",)), bars.volume_bars(trades, 100.0, ("k",))):
+        got = {r["k"]: r for r in made.collect()}
+        assert (got["a"]["high"], got["a"]["low"], got["a"]["trade_count"]) == (3.0, 2.0, 5) and (got["b"]["high"], got["b"]["low"]) == (-math.inf, math.inf)
+    late = spark.createDataFrame([(1, None, 1.0, 1.0)], "s long, DateTime long, Price double, Qty double")
+    with pytest.raises(Exception, match="null in DateTime"):
+        readers.as_trades(late, "s").collect()
+
+
+def test_nanosecond_files(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "ns.parquet")
+    pq.write_table(pa.table({"DateTime": pa.array([1_704_067_200_123_456_789, -1_999_999], pa.timestamp("ns")), "Price": [1.0, 2.0], "Qty": [1.0, 1.0]}), path)
+    spark.conf.set(readers.NANOS, "true")
+    try:
+        assert [r["time"] for r in readers.read_trades(spark, path).orderBy("seq").collect()] == [1_704_067_200_123, -1]
+    finally:
+        spark.conf.unset(readers.NANOS)
+
+
+def test_names_with_commas(spark, tmp_path):
+    from tallybar import api
+
+    spark.createDataFrame([(1, 2)], "`a,b` long, c long").coalesce(1).write.parquet(str(tmp_path / "x.parquet"))
+    assert api.parquet_info(spark, str(tmp_path / "x.parquet")) == (1, 1, ["a,b", "c"])
