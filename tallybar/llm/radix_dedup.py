@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tallybar.llm import repeats
 from tallybar.llm.common import columns
 
-WINDOW, GRAM, SLICE = 400, 64, 16
+WINDOW, GRAM, SLICE = 400, 64, 32
 #: Bytes of a digit.
 DIGIT = 8
 #: Windows that are grouped at a time, about, and how many times the usual number of contexts are ordered at a time.
