@@ -31,6 +31,8 @@ WINDOW, GRAM, SLICE = 400, 64, 32
 DIGIT = 8
 #: Windows that are grouped at a time, about, and how many times the usual number of contexts are ordered at a time.
 WINDOWS, BATCHES = 300_000, 4
+#: Documents whose contexts are merged at a time: a context has several hundred bytes.
+DOCUMENTS = 2_000
 
 
 def _content(raw: bytes, start: int, end: int) -> bytes:
@@ -38,7 +40,7 @@ def _content(raw: bytes, start: int, end: int) -> bytes:
 
 
 def tokens(window: int = WINDOW) -> repeats.Tokens:
-    return repeats.Tokens(repeats.byte_codes, _content, window, min(GRAM, window), SLICE, BATCHES)
+    return repeats.Tokens(repeats.byte_codes, _content, window, min(GRAM, window), SLICE, BATCHES, DOCUMENTS)
 
 
 def digits(raw: np.ndarray, place: np.ndarray, left: np.ndarray, forward: bool) -> np.ndarray:

@@ -36,8 +36,8 @@ SEGMENT = 1 << 18
 MAP_BITS = (1 << 16, 1 << 30)
 #: A key is hot beyond this many occurrences.
 HOT = 20_000
-#: Contexts that a resolver works on at a time, about; documents whose contexts are merged before they are written.
-BATCH, DOCUMENTS = 1_024, 4_000
+#: Contexts that a resolver works on at a time, about.
+BATCH = 1_024
 LAST = 2**63 - 1
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -154,10 +154,12 @@ class Tokens:
     content: Callable[[object, int, int], bytes]
     window: int
     gram: int
-    #: Windows of a slice.
+    #: Windows of a slice; with one, all windows of hot keys go alone.
     slice: int
     #: How many times BATCH contexts a resolver takes at a time.
     batches: int = 1
+    #: Documents whose contexts are merged before they are written.
+    documents: int = 4_000
 
 
 @dataclass(frozen=True)
@@ -219,20 +221,20 @@ def _dealt(a: Anchors, codes: np.ndarray, tokens: Tokens, hot: Hot) -> tuple[Anc
     held = hot.keys.holds(a.key)
     if not held.any():
         return a, np.zeros(len(a.key), bool)
-    cut = _sliced(a.part(held), codes, tokens)
-    apart = hot.slices.holds(cut.key)
+    cut = _sliced(a.part(held), codes, tokens) if tokens.slice > 1 else a.part(held)
+    apart = hot.slices.holds(cut.key) if tokens.slice > 1 else np.ones(len(cut.key), bool)
     single = _alone(cut.part(apart), codes, tokens.window)
     every = [a.part(~held), cut.part(~apart), single]
     return Anchors(*[np.concatenate([getattr(x, f.name) for x in every]) for f in fields(Anchors)]), np.repeat([False, False, True], [len(x.key) for x in every])
 
 
-def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _gathered(batches: Iterator[pd.DataFrame], documents: int) -> Iterator[pd.DataFrame]:
     """Small batches put together."""
     held, rows = [], 0
     for batch in batches:
         held.append(batch)
         rows += len(batch)
-        if rows >= DOCUMENTS:
+        if rows >= documents:
             yield pd.concat(held)
             held, rows = [], 0
     if rows:
@@ -241,9 +243,9 @@ def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _batches(batches: Iterator[pd.DataFrame], tokens: Tokens, bitmap: Bitmap, hot: Hot) -> Iterator[tuple[pd.DataFrame, list, np.ndarray, Anchors, np.ndarray]]:
     """(documents, sources of their content, document by anchor, anchors in the bitmap, which are alone), some documents at a time."""
-    for whole in _gathered(batches):
-        for i in range(0, len(whole), DOCUMENTS):
-            batch = whole.iloc[i : i + DOCUMENTS]
+    for whole in _gathered(batches, tokens.documents):
+        for i in range(0, len(whole), tokens.documents):
+            batch = whole.iloc[i : i + tokens.documents]
             parts, owner, sources = [], [], []
             for text in batch["text"]:
                 codes, source = tokens.codes(text)
@@ -410,7 +412,7 @@ def covered(spark: SparkSession, docs: DataFrame, tokens: Tokens, resolve: Calla
     """
     keys = materialize(spark, repeated_keys(docs, tokens), "repeated-keys")
     bitmap, hot_keys = Bitmap(keys, "key"), Bitmap(keys.where(F.col("n") > hot), "key")
-    slices = Bitmap(materialize(spark, hot_slices(docs, tokens, hot_keys, hot), "hot-slices"), "key") if hot_keys.entries else hot_keys
+    slices = Bitmap(materialize(spark, hot_slices(docs, tokens, hot_keys, hot), "hot-slices"), "key") if hot_keys.entries and tokens.slice > 1 else hot_keys
     discard(spark, keys)
     cut = Hot(hot_keys, slices)
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -451,9 +453,9 @@ def split_by_spans(docs: DataFrame, gathered: DataFrame, bitmap: Bitmap) -> tupl
 
 def finished(docs: DataFrame, gathered: DataFrame, bitmap: Bitmap, finish: Callable[[list, list], dict], schema: str) -> DataFrame:
     """`finish` of the texts and spans of all rows of docs (doc_id, text); rows without spans are done where they are read."""
-    free, met, spans = split_by_spans(docs, gathered, bitmap)
+    free, met, spans = split_by_spans(docs, gathered, bitmap)  # what is returned is written first, in small batches of texts
     done = by_row(free.select("doc_id", "text"), lambda texts: finish(texts, [None] * len(texts)), schema)
-    return done.unionByName(by_row(met.select("doc_id", "text", spans), finish, schema))
+    return materialize(docs.sparkSession, done.unionByName(by_row(met.select("doc_id", "text", spans), finish, schema)), "finished")
 
 
 def merged(spans: list, size: int) -> list[tuple[int, int]]:
