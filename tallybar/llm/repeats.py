@@ -8,8 +8,9 @@ equal anchors at equal places. A text is thereby cut into contexts: an anchor wi
 3. A second pass takes, once in some documents for each distinct context in the bitmap, its content with count and
    smallest document; copies are thus merged before the shuffle. Contexts are dealt by key, and a resolver (a radix sort
    or an FM-index) decides every window of them exactly.
-4. A third pass gives a member row (document, place) for each anchor in the bitmap. Verdicts are joined to the members
-   and gathered by document, and the documents concerned meet their intervals.
+4. A third pass gives a member row for each distinct context in the bitmap of each document, with all its places there, so
+   that a line that a document repeats is shuffled once. Verdicts are joined to the members and gathered by document, and
+   the documents concerned meet their intervals.
 
 A key with more than HOT occurrences does not gather in one task: its contexts are cut into slices of a few windows, dealt
 by the hash of what these windows have in common. Slices within a common passage are alike and merge; one that reaches
@@ -25,8 +26,11 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallybar.llm.common import by_row, discard, materialize
 
@@ -170,7 +174,7 @@ class Hot:
     slices: Bitmap
 
 
-MEMBER = "key long, ctx long, doc long, thash long, first long"
+MEMBER = "key long, ctx long, doc long, thash long, firsts array<long>"
 CONTEXT = "key long, ctx long, n long, doc long, off int, m int, content binary"
 
 
@@ -281,14 +285,20 @@ def hot_slices(docs: DataFrame, tokens: Tokens, hot_keys: Bitmap, hot: int) -> D
 
 
 def members(docs: DataFrame, tokens: Tokens, bitmap: Bitmap, hot: Hot) -> DataFrame:
-    """A row for each anchor in the bitmap: its context, its document and the first window start."""
+    """A row for each distinct context in the bitmap of each document: the first window starts of all its occurrences there."""
+    target = to_arrow_schema(T.StructType.fromDDL(MEMBER))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch, _, owner, a, _ in _batches(batches, tokens, bitmap, hot):
-            doc, thash = (batch[c].to_numpy(np.int64)[owner] for c in ("doc", "thash"))
-            yield pd.DataFrame({"key": a.key.view(np.int64), "ctx": a.ctx.view(np.int64), "doc": doc, "thash": thash, "first": a.first})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, owner, a, _ in _batches((b.to_pandas() for b in batches), tokens, bitmap, hot):
+            order = np.lexsort((a.ctx, owner))
+            key, ctx, own = a.key[order], a.ctx[order], owner[order]
+            new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (ctx[1:] != ctx[:-1]) | (key[1:] != key[:-1])]))
+            firsts = pa.ListArray.from_arrays(pa.array(np.append(new, len(order)).astype(np.int32)), pa.array(a.first[order].astype(np.int64)))
+            doc, thash = (batch[c].to_numpy(np.int64)[own[new]] for c in ("doc", "thash"))
+            numbers = [pa.array(x) for x in (key[new].view(np.int64), ctx[new].view(np.int64), doc, thash)]
+            yield pa.RecordBatch.from_arrays([*numbers, firsts.cast(target.field("firsts").type)], schema=target)
 
-    return _keyed(docs).mapInPandas(run, MEMBER)
+    return _keyed(docs).mapInArrow(run, MEMBER)
 
 
 def contexts(docs: DataFrame, tokens: Tokens, bitmap: Bitmap, hot: Hot) -> DataFrame:
@@ -418,7 +428,8 @@ def covered(spark: SparkSession, docs: DataFrame, tokens: Tokens, resolve: Calla
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     verdicts = resolved(contexts(docs, tokens, bitmap, cut), resolve, partitions, len(names), tokens.batches * BATCH)
     found = members(docs, tokens, bitmap, cut).join(verdicts, ["key", "ctx"])
-    each = found.select("doc", "thash", spans(unflatten(F.col("runs"), names), F.col("doc"), F.col("first")).alias("spans")).where(F.size("spans") > 0)
+    everywhere = F.flatten(F.transform("firsts", lambda first: spans(unflatten(F.col("runs"), names), F.col("doc"), first)))
+    each = found.select("doc", "thash", everywhere.alias("spans")).where(F.size("spans") > 0)
     # a set, so that equal rows, of which there may be any number, have their spans once
     gathered = each.groupBy("doc", "thash").agg(F.flatten(F.collect_set("spans")).alias("spans"))
     gathered = materialize(spark, gathered, "covered")
