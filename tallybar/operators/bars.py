@@ -33,19 +33,22 @@ def time_bars(trades: DataFrame, interval: str, by: tuple[str, ...] = (), chunk:
 
     A late trade joins the open bar: a trade's window is the largest floor(time / length) so far. Within a chunk of an
     instrument this is a running maximum, by which the chunk's trades become parts of bars where they are; only these
-    meet over the chunks, where the running maximum goes on and parts of one bar become one.
+    meet over the chunks, where the running maximum goes on and parts of one bar become one. Trades of one seq follow
+    each other by time, price, qty and quote, so that bars do not depend on how rows are dealt.
     """
     own = F.floor(F.col("time") / F.lit(parse_interval(interval)))
-    running = F.max(own).over(W.partitionBy(*by, "tb_chunk").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
-    cut = trades.withColumn("tb_chunk", F.floor(F.col("seq") / F.lit(chunk))).withColumn("tb_run", running)
+    ordered = W.partitionBy(*by, "tb_chunk").orderBy("seq", "time", "price", "qty", "quote")
+    running = F.max(own).over(ordered.rowsBetween(W.unboundedPreceding, 0))
+    cut = trades.withColumn("tb_chunk", F.floor(F.col("seq") / F.lit(chunk))).withColumns({"tb_run": running, "tb_place": F.row_number().over(ordered)})
     parts = cut.groupBy(*by, "tb_chunk", "tb_run").agg(
-        F.min("seq").alias("tb_first"), F.max("seq").alias("tb_last"), F.min_by("time", "seq").alias("timestamp"), F.min_by("price", "seq").alias("open"), *extremes(),
-        F.max_by("price", "seq").alias("close"), F.sum("qty").alias("volume"), F.sum("quote").alias("dollar_volume"), F.count(F.lit(1)).alias("trade_count"),
+        F.min_by("time", "tb_place").alias("timestamp"), F.min_by("price", "tb_place").alias("open"), *extremes(),
+        F.max_by("price", "tb_place").alias("close"), F.sum("qty").alias("volume"), F.sum("quote").alias("dollar_volume"), F.count(F.lit(1)).alias("trade_count"),
     )
-    window = F.max("tb_run").over(W.partitionBy(*by).orderBy("tb_chunk", "tb_run").rowsBetween(W.unboundedPreceding, 0))
-    whole = parts.withColumn("tb_window", window).groupBy(*by, "tb_window").agg(
-        F.min_by("timestamp", "tb_first").alias("timestamp"), F.min_by("open", "tb_first").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
-        F.max_by("close", "tb_last").alias("close"), F.sum("volume").alias("volume"), F.sum("dollar_volume").alias("dollar_volume"), F.sum("trade_count").alias("trade_count"),
+    following = W.partitionBy(*by).orderBy("tb_chunk", "tb_run")
+    window = F.max("tb_run").over(following.rowsBetween(W.unboundedPreceding, 0))
+    whole = parts.withColumns({"tb_window": window, "tb_part": F.row_number().over(following)}).groupBy(*by, "tb_window").agg(
+        F.min_by("timestamp", "tb_part").alias("timestamp"), F.min_by("open", "tb_part").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max_by("close", "tb_part").alias("close"), F.sum("volume").alias("volume"), F.sum("dollar_volume").alias("dollar_volume"), F.sum("trade_count").alias("trade_count"),
     )
     return whole.select(*by, *FIELDS)
 

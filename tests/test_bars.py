@@ -79,6 +79,16 @@ def test_time_bars(spark, chunk):
     same(got, by_loop(rows, by_time(300_000)))
 
 
+@pytest.mark.parametrize("chunk", [1_000_000, 7])
+def test_time_bars_of_tied_trades(spark, chunk):
+    rng = random.Random(8)
+    rows = sorted(((k, seq // 6, time, *rest) for k, seq, time, *rest in rows_of(8)), key=lambda r: r[1:])
+    want = by_loop(rows, by_time(300_000))
+    for parts in (1, 3, 5):
+        rng.shuffle(rows)
+        same(bars.time_bars(spark.createDataFrame(rows, SCHEMA).repartition(parts), "5m", ("k",), chunk).collect(), want)
+
+
 def test_threshold_bars(spark):
     rows = rows_of(2)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
