@@ -8,12 +8,13 @@ a visitor of the other side as well (from outside to inside only, which meets ea
 decided exactly on all bits, and only a spanning forest of the links leaves it. Shards that are too large are
 split into blocks, and every two blocks meet in a task of their own.
 
-Where a Jaccard similarity of the shingle sets is asked for, the sets themselves decide. A net of fingerprints that holds
-all pairs of similarity 0.8 would be 19 of 64 bits wide and prune nothing, so the candidates come from MinHash: 32 bands of
-six minima, of which a pair at 0.8 shares one with a probability of 1 - 6e-5. Texts that bands connect are dealt to a task
-with their shingle sets, and there every pair is decided exactly through an index of shingles; only a spanning forest leaves
-it. Families of over a million shingles are split into blocks, and every two blocks meet in a task of their own. Shingles
-and sets are told apart by 64-bit hashes.
+Where a Jaccard similarity of the shingle sets is asked for, the net is of fingerprints too: SimHashes of 384 bits of the
+sets, of which about 58 differ at a similarity of 0.8 and 192 between unrelated texts. Pairs within 102 bits are candidates.
+The trees are over blocks of 24 bits, and as many are built as it takes for the chance that a pair at the similarity itself
+meets in none to fall to 1e-4, as measured on pairs planted in the sample. In a shard pairs are decided on all bits. Texts
+that candidate links connect are dealt to a task with their shingle sets, and there every pair is decided exactly through
+an index of shingles; only a spanning forest leaves it. Families of over a million shingles are split into blocks, and
+every two blocks meet in a task of their own. Shingles and sets are told apart by 64-bit hashes.
 
 Defined results: a text without words (null, empty, white space) has fingerprint zero and is linked like any other;
 fewer words than a shingle make one shingle; copies are one fingerprint from the start; a null doc_id takes part but is
@@ -41,10 +42,16 @@ SAMPLE, SAMPLE_SHARE = 65_536, 0.125
 #: Home fingerprints in a shard, about; points in a shard or block, at most.
 SHARD, BLOCK = 1_024, 16_384
 _CHUNK = 65_536
-#: Bands of so many minima for candidates; shingles in a task that decides pairs, about; shingles whose minima are taken at once.
-BANDS, BAND, TASK_GRAMS, _MINIMA = 32, 6, 1_000_000, 4_096
-_MASKS, _FACTORS = np.random.default_rng(11).integers(0, 2**64, (2, BANDS * BAND), np.uint64)
-_FACTORS |= np.uint64(1)
+#: Of a similarity's net: words of a fingerprint, bits of a tree's block, home points in a shard, points in one or a block of it.
+WORDS, NET_BITS, NET_SHARD, NET_BLOCK = 6, 24, 4_096, 32_768
+#: The chance that trees miss a pair at the similarity itself; trees, at most; pairs planted to measure it.
+NET_MISS, NET_TREES, _PLANTED = 1e-4, 128, 2_000
+#: Bits that a candidate may differ in over the first words: four deviations beyond what small sets have, 3/16 at a similarity of 0.8.
+NETS = [int(12 * k + 4 * (9.75 * k) ** 0.5) for k in range(1, WORDS + 1)]
+#: Shingles in a task that decides pairs, about.
+TASK_GRAMS = 1_000_000
+_STEPS = np.random.default_rng(11).integers(0, 2**64, WORDS, np.uint64)
+_PRINT = [f"w{k}" for k in range(WORDS)]
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -85,33 +92,54 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return by_row(columns(docs, tb_row="long", doc_id="long", text="string"), make, "tb_row long, doc_id long, fp long, id long", ("tb_row", "doc_id"))
 
 
-def band_keys(grams: np.ndarray) -> np.ndarray:
-    """A key for each band of minima of a set of shingle hashes; none of an empty set."""
-    if not len(grams):
-        return np.zeros(0, np.int64)
-    least = np.full(len(_MASKS), np.iinfo(np.uint64).max)
-    for i in range(0, len(grams), _MINIMA):
-        np.minimum(least, ((grams[i : i + _MINIMA, None] ^ _MASKS) * _FACTORS).min(0), out=least)
-    return np.array([xxhash.xxh64_intdigest(least[BAND * k : BAND * (k + 1)].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
+def set_print(grams: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of shingle hashes, WORDS words of 64 bits."""
+    counts = np.zeros(64 * WORDS, np.int64)
+    for i in range(0, len(grams), 255):
+        x = grams[i : i + 255, None] + _STEPS
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        counts += np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(grams), bitorder="little").view(np.int64)
 
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """tb_row, doc_id, fp, id (a hash of the shingle set), size, grams (the set's sorted hashes) and bands of every row."""
+def set_id(grams: np.ndarray) -> int:
+    return int(np.array([xxhash.xxh3_64_intdigest(grams.tobytes())], np.uint64).view(np.int64)[0])
+
+
+def shingle_prints(docs: DataFrame, shingle: int) -> DataFrame:
+    """tb_row, doc_id, fp, id (a hash of the shingle set), size and the words of its SimHash of every row."""
 
     def make(texts: list) -> dict:
-        out: dict[str, list] = {"fp": [], "id": [], "size": [], "grams": [], "bands": []}
-        for text in texts:
+        out: dict = {"fp": [], "id": [], "size": []}
+        words = np.zeros((len(texts), WORDS), np.int64)
+        for i, text in enumerate(texts):
             hashed = gram_hashes(text, shingle)
             grams = np.unique(hashed)
-            own = np.array([xxhash.xxh3_64_intdigest(grams.tobytes())], np.uint64).view(np.int64)
-            for name, value in zip(out, (majority(hashed), int(own[0]), len(grams), grams.tobytes(), band_keys(grams)), strict=True):
+            words[i] = set_print(grams)
+            for name, value in zip(out, (majority(hashed), set_id(grams), len(grams)), strict=True):
                 out[name].append(value)
-        return out
+        return out | dict(zip(_PRINT, words.T, strict=True))
 
-    schema = "tb_row long, doc_id long, fp long, id long, size long, grams binary, bands array<long>"
+    schema = "tb_row long, doc_id long, fp long, id long, size long, " + ", ".join(f"{w} long" for w in _PRINT)
     return by_row(columns(docs, tb_row="long", doc_id="long", text="string"), make, schema, ("tb_row", "doc_id"))
 
 
+def shingle_sets(docs: DataFrame, shingle: int, wanted: Bitmap) -> DataFrame:
+    """id and grams (the sorted hashes) of the shingle sets of all rows whose id may be a wanted one."""
+
+    def make(texts: list) -> dict:
+        out: dict[str, list] = {"id": [], "grams": []}
+        for text in texts:
+            grams = np.unique(gram_hashes(text, shingle))
+            own = set_id(grams)
+            out["id"].append(own)
+            out["grams"].append(grams.tobytes() if wanted.holds(np.array([own]))[0] else None)
+        return out
+
+    return by_row(columns(docs, text="string"), make, "id long, grams binary", ()).where("grams IS NOT NULL")
+
+
 class Tree:
     """A vantage-point tree over blocks of at most 32 bits whose leaves are shards; radius one."""
 
@@ -218,6 +246,18 @@ def spanning_links(points: np.ndarray, home: np.ndarray, bits: int) -> list[tupl
     return links
 
 
+def in_blocks(routed: DataFrame, most: int) -> DataFrame:
+    """routed with i and j: shards of more than so many points are split into blocks, and every two blocks meet in one (i, j)."""
+    large = routed.groupBy("shard").count().where(F.col("count") > most)
+    blocks = {r["shard"]: -(-r["count"] // most) for r in large.collect()}  # of the trees' shards, so bounded
+    if not blocks:
+        return routed.withColumns({"i": F.lit(0), "j": F.lit(0)})
+    count = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]), F.col("shard")), F.lit(1))
+    numbered = routed.withColumn("n", count).withColumn("i", F.pmod(F.xxhash64("id"), "n").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least("i", j).alias("i"), F.greatest("i", j).alias("j")))
+    return numbered.withColumn("b", F.explode(pairs)).select(*routed.columns, "b.i", "b.j")
+
+
 def links(spark: SparkSession, distinct: DataFrame, bits: int = BITS) -> DataFrame:
     """Links (a, b) between the rows (id, fp) of distinct fingerprints: a spanning forest of each shard's links."""
     of = bits // 2 + 1
@@ -237,16 +277,7 @@ def links(spark: SparkSession, distinct: DataFrame, bits: int = BITS) -> DataFra
                 shard, row, home = tree.route(block(fps, k, of))
                 yield pd.DataFrame({"shard": shard, "id": batch["id"].to_numpy(np.int64)[row], "fp": fps[row], "home": home})
 
-    routed = distinct.select("id", "fp").mapInPandas(visits, "shard int, id long, fp long, home boolean")
-    large = distinct.select("id", "fp").mapInPandas(visits, routed.schema).groupBy("shard").count().where(F.col("count") > BLOCK)
-    blocks = {r["shard"]: -(-r["count"] // BLOCK) for r in large.collect()}  # of the trees' shards, so bounded
-    if blocks:
-        count = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]), F.col("shard")), F.lit(1))
-        numbered = routed.withColumn("n", count).withColumn("i", F.pmod(F.xxhash64("id"), "n").cast("int"))
-        pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least("i", j).alias("i"), F.greatest("i", j).alias("j")))
-        dealt = numbered.select("shard", "id", "fp", "home", F.explode(pairs).alias("b")).select("shard", "b.i", "b.j", "id", "fp", "home")
-    else:
-        dealt = routed.select("shard", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "fp", "home")
+    dealt = in_blocks(distinct.select("id", "fp").mapInPandas(visits, "shard int, id long, fp long, home boolean"), BLOCK)
 
     def decide(shard: pd.DataFrame) -> pd.DataFrame:
         ids = shard["id"].to_numpy(np.int64)
@@ -256,6 +287,131 @@ def links(spark: SparkSession, distinct: DataFrame, bits: int = BITS) -> DataFra
     return dealt.groupBy("shard", "i", "j").applyInPandas(decide, "a long, b long")
 
 
+def cut(points: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """These bits of the points' words, as one number."""
+    return (((points[:, bits // 64] >> (bits % 64).astype(np.uint64)) & np.uint64(1)) << np.arange(len(bits), dtype=np.uint64)).sum(1).astype(np.uint32)
+
+
+def share_met(tree: Tree, values: np.ndarray, others: np.ndarray) -> float:
+    """The share of pairs that meet in a shard which is home to one of the two."""
+    n = 2 * len(values)
+    shard, row, home = tree.route(np.concatenate([values, others]))
+    own = np.zeros(n, np.int64)
+    own[row[home]] = shard[home]
+    other = np.roll(np.arange(n), len(values))
+    met = np.isin(own * n + other, shard.astype(np.int64) * n + row)
+    return float((met | met[other])[: len(values)].mean())
+
+
+def net_trees(sample: np.ndarray, leaf: int, similarity: float) -> list[tuple[np.ndarray, Tree]]:
+    """(bits, tree) of as many blocks as pairs at this similarity need: equal sets of that similarity differ in this share of bits."""
+    rng = np.random.default_rng(5)
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    own = sample[rng.integers(0, max(1, len(sample)), _PLANTED)] if len(sample) else sample
+    near = own ^ np.packbits(rng.random((len(own), 64 * WORDS)) < share, axis=1, bitorder="little").view(np.uint64)
+    trees: list[tuple[np.ndarray, Tree]] = []
+    order, miss = np.arange(64 * WORDS), 1.0
+    while not trees or miss > NET_MISS and len(trees) < NET_TREES:
+        at = len(trees) % (len(order) // NET_BITS)
+        if trees and not at:
+            order = rng.permutation(order)
+        bits = order[NET_BITS * at : NET_BITS * (at + 1)]
+        tree = Tree(np.sort(cut(sample, bits)), leaf, trees[-1][1].shards if trees else 0)
+        trees.append((bits, tree))
+        miss *= 1 - share_met(tree, cut(own, bits), cut(near, bits)) if len(own) else 0.0
+    return trees
+
+
+def spanning_net(points: np.ndarray, home: np.ndarray) -> list[tuple[int, int]]:
+    """As spanning_links, for points of WORDS words that are linked if they differ in NETS bits at most."""
+    order = np.argsort(~home, kind="stable")
+    words, home, n = np.ascontiguousarray(points[order].T), home[order], len(points)
+    linked = np.zeros(n, bool)
+
+    def decided(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+        apart = np.bitwise_count(words[0, rows][:, None] ^ words[0, others][None, :])
+        apart += np.bitwise_count(words[1, rows][:, None] ^ words[1, others][None, :])
+        near = apart <= NETS[1]
+        some = np.flatnonzero(near)
+        if 5 * len(some) > near.size:
+            apart = apart.astype(np.uint16)
+            for k in range(2, WORDS):
+                apart += np.bitwise_count(words[k, rows][:, None] ^ words[k, others][None, :])
+                near &= apart <= NETS[k]
+            return near
+        (i, j), apart = np.divmod(some, len(others)), apart.ravel()[some].astype(np.uint16)
+        near = np.zeros_like(near)
+        for k in range(2, WORDS):
+            apart = apart + np.bitwise_count(words[k, rows[i]] ^ words[k, others[j]])
+            left = apart <= NETS[k]
+            i, j, apart = i[left], j[left], apart[left]
+        near[i, j] = True
+        return near
+
+    for i in range(0, int(home.sum()), 16):
+        rows = np.arange(i, min(i + 16, int(home.sum())))
+        for j in range(i, n, 4096):
+            others = np.arange(j, min(j + 4096, n))
+            near = decided(rows, others)
+            own = rows[(rows >= j) & (rows < j + 4096)]
+            near[own - i, own - j] = False
+            linked[rows] |= near.any(1)
+            linked[others] |= near.any(0)
+    left = np.flatnonzero(linked)
+    links = []
+    while len(left):
+        group, todo, left = [int(left[0])], [int(left[0])], left[1:]
+        while todo and len(left):
+            at = todo.pop()
+            near = decided(np.array([at]), left)[0] & (home[at] | home[left])
+            if near.any():
+                new, left = left[near].tolist(), left[~near]
+                group += new
+                todo += new
+        links += [(int(order[group[0]]), int(order[x])) for x in group[1:]]
+    return links
+
+
+def net_links(spark: SparkSession, distinct: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between the rows (id, words) of distinct sets: a spanning forest of each shard's candidates."""
+    points = distinct.select("id", *_PRINT)
+    share = min(SAMPLE_SHARE, SAMPLE / max(points.count(), 1))
+    drawn = points.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20))).select(*_PRINT).limit(2 * SAMPLE)
+    sample = np.array([tuple(r) for r in drawn.collect()], np.int64).reshape(-1, WORDS).view(np.uint64)  # bounded by 2 x SAMPLE
+    trees = net_trees(sample[np.lexsort(sample.T)], max(8, int(NET_SHARD * share)), similarity)
+
+    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in gathered(batches, _CHUNK):
+            prints = rows[_PRINT].to_numpy(np.int64)
+            for bits, tree in trees:
+                shard, row, home = tree.route(cut(prints.view(np.uint64), bits))
+                for i in range(0, len(row), _CHUNK):
+                    part = row[i : i + _CHUNK]
+                    words = dict(zip(_PRINT, prints[part].T, strict=True))
+                    yield pd.DataFrame({"shard": shard[i : i + _CHUNK], "id": rows["id"].to_numpy(np.int64)[part], "home": home[i : i + _CHUNK]} | words)
+
+    def decide(shard: pd.DataFrame) -> pd.DataFrame:
+        ids = shard["id"].to_numpy(np.int64)
+        made = spanning_net(shard[_PRINT].to_numpy(np.int64).view(np.uint64), shard["home"].to_numpy(bool))
+        return pd.DataFrame([(ids[a], ids[b]) for a, b in made], columns=["a", "b"], dtype=np.int64)
+
+    schema = "shard int, id long, home boolean, " + ", ".join(f"{w} long" for w in _PRINT)
+    dealt = in_blocks(points.mapInPandas(visits, schema), NET_BLOCK)
+    return dealt.groupBy("shard", "i", "j").applyInPandas(decide, "a long, b long")
+
+
+def gathered(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+    """The same rows in frames of at least so many, but for the last."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= least:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def similar_links(grams: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """(least, other) places for each other set of every group of sets whose Jaccard similarity links them.
 
@@ -287,21 +443,12 @@ def similar_links(grams: list[np.ndarray], similarity: float) -> list[tuple[int,
     return links
 
 
-def similar(spark: SparkSession, found: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between ids of found: a spanning forest, in each task, of the pairs of sets that are so similar."""
-    sets = found.where("size > 0").groupBy("id").agg(F.first("bands").alias("bands"))
-    keyed = materialize(spark, sets.select("id", F.explode("bands").alias("band")), "bands")
-    shared = keyed.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least != most")
-    families = materialize(spark, connected_components(spark, keyed.join(shared.select("band", "least"), "band").select("least", "id")), "families")
-    discard(spark, keyed)
-    bitmap = Bitmap(families, "node")
-
-    @F.pandas_udf("boolean")
-    def related(ids: pd.Series) -> pd.Series:
-        return pd.Series(bitmap.holds(ids.to_numpy(np.int64)))
-
-    found = found.where(related("id"))  # the sets of texts without a family stay where they are
-    sized = families.join(found.groupBy("id").agg(F.first("size").alias("size")), families["node"] == F.col("id")).select("id", "root", "size")
+def similar(spark: SparkSession, docs: DataFrame, distinct: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) between ids of distinct: a spanning forest, in each task, of the pairs of sets that are so similar."""
+    sets = distinct.where("size > 0")
+    families = materialize(spark, connected_components(spark, net_links(spark, sets, similarity)), "families")
+    found = shingle_sets(docs, shingle, Bitmap(families, "node"))  # the sets of texts without a family stay where they are
+    sized = families.join(sets.select("id", "size"), families["node"] == F.col("id")).select("id", "root", "size")
     sized = materialize(spark, sized, "family-sizes")
     grams = sized.groupBy("root").agg(F.sum("size").alias("grams"))
     tasks = 1 + (sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // TASK_GRAMS)
@@ -330,10 +477,11 @@ def grouped(spark: SparkSession, docs: DataFrame, shingle: int, bits: int, simil
     if similarity is None:
         found = materialize(spark, fingerprints(docs, shingle), "simhash")
     else:
-        found = materialize(spark, shingle_sets(docs, shingle), "shingles")
+        found = materialize(spark, shingle_prints(docs, shingle), "set-prints")
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tb_row")
-    distinct = materialize(spark, found.groupBy("id").agg(F.first("fp").alias("fp"), F.min(own).alias("least")), "simhash-distinct")
-    groups = connected_components(spark, links(spark, distinct, bits) if similarity is None else similar(spark, found, similarity))
+    more = [F.first(c).alias(c) for c in ("fp", "size", *_PRINT) if c in found.columns]
+    distinct = materialize(spark, found.groupBy("id").agg(*more, F.min(own).alias("least")), "simhash-distinct")
+    groups = connected_components(spark, links(spark, distinct, bits) if similarity is None else similar(spark, docs, distinct, shingle, similarity))
     rooted = distinct.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = rooted.groupBy("root").agg(F.min("least").alias("first"))
     named = rooted.join(least, "root").select("id", "first")
@@ -343,8 +491,8 @@ def grouped(spark: SparkSession, docs: DataFrame, shingle: int, bits: int, simil
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 3, bits: int = BITS, similarity: float | None = None) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id that links reach) of every row.
 
-    Without a similarity, fingerprints of 64 bits are linked if they differ in at most `bits`. With one, texts are linked
-    if their shingle sets have this Jaccard similarity at least, whatever their fingerprints.
+    Without a similarity, fingerprints of 64 bits are linked if they differ in at most `bits`. With one, texts within the net
+    of the wider SimHashes are linked if their shingle sets have this Jaccard similarity at least.
     """
     return grouped(spark, docs, shingle, bits, similarity).select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 

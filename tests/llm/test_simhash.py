@@ -149,3 +149,48 @@ def test_one_row_of_each_group_whatever_its_doc_id(spark):
     kept = simhash.one_of_each(spark, docs, 5, 11, 0.8, null_ids_stay=False)
     assert kept.columns == docs.columns
     assert sorted((r["text"], r["doc_id"] or -1) for r in kept.collect()) == [(a, 1), (b, 7), (c, -1)]
+
+
+@pytest.mark.parametrize(("shard", "block"), [(4_096, 32_768), (16, 32_768), (64, 40)])
+def test_net_of_set_prints_loses_no_similar_pair(spark, monkeypatch, shard, block):
+    monkeypatch.setattr(simhash, "NET_SHARD", shard)
+    monkeypatch.setattr(simhash, "NET_BLOCK", block)
+    monkeypatch.setattr(simhash, "SAMPLE_SHARE", 0.9)
+    rng, texts = np.random.default_rng(3), []
+    for i in range(150):
+        own = [f"w{x}" for x in rng.integers(0, 100_000, 4 + 2 * i)]
+        for part in (own, own[: len(own) - len(own) // 20], [*own, "more"], [f"e{i}", *own[1:]]):
+            texts.append(" ".join(part))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    holders: dict = {}
+    for i, grams in enumerate(sets):
+        for gram in grams:
+            holders.setdefault(gram, []).append(i)
+    met = {(max(a, b), min(a, b)) for ids in holders.values() for a in ids for b in ids if a != b}
+    pairs = [(i, j) for i, j in met if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(pairs) > 500
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark, table(spark, texts), 5, 11, 0.8).collect()}
+    assert got == roots_by_loop(pairs, range(len(texts)))
+
+
+def test_trees_of_a_similarity_are_enough():
+    sample = np.random.default_rng(6).integers(0, 2**64, (20_000, simhash.WORDS), np.uint64)
+    trees = simhash.net_trees(sample, 500, 0.8)
+    rng, n = np.random.default_rng(7), 20_000
+    flipped = np.packbits(rng.random((n, 64 * simhash.WORDS)) < 0.1515, axis=1, bitorder="little").view(np.uint64)
+    assert (np.bitwise_count(flipped).sum(1) <= simhash.NETS[-1]).all()
+    missed = np.ones(n)
+    for bits, tree in trees:
+        missed *= 1 - simhash.share_met(tree, simhash.cut(sample, bits), simhash.cut(sample ^ flipped, bits))
+    assert 5 < len(trees) < 40 and missed.max() < 3e-4
+
+
+def test_pipeline_stage_finds_near_copies_through_the_trees(spark, monkeypatch):
+    import corpus_pipeline
+
+    built = []
+    monkeypatch.setattr(simhash, "Tree", lambda *a, own=simhash.Tree: built.append(own(*a)) or built[-1])
+    words = [f"w{i}" for i in range(200)]
+    docs = table(spark, [" ".join(words), " ".join([*words[:-1], "changed"]), " ".join(reversed(words))])
+    assert {r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()} == {0, 2}
+    assert built
